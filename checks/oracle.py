@@ -279,9 +279,9 @@ BODIES: dict[str, str] = {
     "csv_roundtrip_events": "SELECT * FROM master",
     "csv_roundtrip_items": """
         SELECT event_date, session_id, item_name, nullif(item_category, '') AS item_category,
-               round(item_revenue, 2) AS item_revenue, quantity
+               item_revenue, quantity
         FROM items""",
-    "items_clean": "SELECT * REPLACE (round(item_revenue, 2) AS item_revenue) FROM items",
+    "items_clean": "SELECT * FROM items",
     "attribution_filter": "SELECT * FROM raw_events WHERE source IS NOT NULL",
     "session_attribution": "SELECT * FROM session_origin",
     "session_attribution_purchase_first": """
@@ -326,10 +326,10 @@ BODIES: dict[str, str] = {
         SELECT event_name, count(*) AS n_rows, count(source) AS rows_with_source,
                round(count(source) * CAST(100 AS DOUBLE) / count(*), 2) AS coverage_pct
         FROM raw_events GROUP BY event_name""",
-    "funnel": _funnel("master") + "SELECT * FROM report",
-    "funnel_unmapped": _funnel("all_events") + "SELECT * FROM report",
-    "funnel_drop_unmapped": _funnel("all_events", unmapped=False) + "SELECT * FROM report",
-    "funnel_by_channel": _funnel("master", "channel") + "SELECT * FROM report",
+    "funnel": _funnel("master") + "\nSELECT * FROM report",
+    "funnel_unmapped": _funnel("all_events") + "\nSELECT * FROM report",
+    "funnel_drop_unmapped": _funnel("all_events", unmapped=False) + "\nSELECT * FROM report",
+    "funnel_by_channel": _funnel("master", "channel") + "\nSELECT * FROM report",
     "funnel_matrix": _funnel("master", "channel")
     + """
         SELECT channel,
@@ -341,7 +341,7 @@ BODIES: dict[str, str] = {
                max(dropoff_pct) FILTER (WHERE funnel_stage[1] = '6') AS purchase_dropoff_pct,
                max(cvr_from_top_pct) FILTER (WHERE funnel_stage[1] = '6') AS final_cvr_pct
         FROM report GROUP BY channel""",
-    "channel_attribution": _kpis("channel", where=RELIABLE) + "SELECT * FROM rated",
+    "channel_attribution": _kpis("channel", where=RELIABLE) + "\nSELECT * FROM rated",
     "channel_rps_ratio": _kpis("channel", where=RELIABLE)
     + """
         SELECT channel, revenue_per_session,
@@ -353,10 +353,10 @@ BODIES: dict[str, str] = {
                round(revenue_per_session / (SELECT revenue_per_session FROM rated
                                             WHERE channel = 'Google Paid'), 2) AS rps_ratio
         FROM rated""",
-    "revenue_by_device": _kpis("device_category") + "SELECT * FROM rated",
+    "revenue_by_device": _kpis("device_category") + "\nSELECT * FROM rated",
     "revenue_by_device_user_session": _kpis("device_category", "(user_pseudo_id, session_id)")
-    + "SELECT * FROM rated",
-    "monthly_trend": MONTHS + "SELECT * FROM trend",
+    + "\nSELECT * FROM rated",
+    "monthly_trend": MONTHS + "\nSELECT * FROM trend",
     "monthly_growth": MONTHS
     + """
         SELECT year_month, total_sessions,
@@ -382,7 +382,7 @@ BODIES: dict[str, str] = {
     "bounce_by_device": _bounce("device_category"),
     "bounce_by_country": _bounce("country", "v.total_sessions >= 150"),
     "bounce_by_channel": _bounce("channel"),
-    "new_vs_returning": USERS + "SELECT * FROM report",
+    "new_vs_returning": USERS + "\nSELECT * FROM report",
     "user_type_lift": USERS
     + """
         SELECT user_type,
@@ -421,8 +421,8 @@ BODIES: dict[str, str] = {
     + """
         SELECT year_month, item_category, round(revenue, 2) AS total_revenue, total_quantity
         FROM by_month""",
-    "channel_category": _channel_category() + "SELECT * FROM report",
-    "channel_category_dedup": _channel_category("DISTINCT") + "SELECT * FROM report",
+    "channel_category": _channel_category() + "\nSELECT * FROM report",
+    "channel_category_dedup": _channel_category("DISTINCT") + "\nSELECT * FROM report",
     "category_share": """
         sums AS (
             SELECT item_category, sum(item_revenue) AS revenue FROM shelved GROUP BY item_category
@@ -445,7 +445,7 @@ BODIES: dict[str, str] = {
         SELECT year_month, item_category, round(revenue, 2) AS total_revenue, total_sessions
         FROM by_month JOIN trend USING (year_month)""",
     "channel_category_aov": _channel_category()
-    + "SELECT *, round(total_revenue / orders, 2) AS aov FROM report",
+    + "\nSELECT *, round(total_revenue / orders, 2) AS aov FROM report",
     "top_category_per_channel": _channel_category()
     + """
         SELECT * FROM report

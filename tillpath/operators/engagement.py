@@ -122,7 +122,11 @@ def new_vs_returning(
                     F.col("new_n").alias("sessions"),
                     F.col("new_p").alias("purchases"),
                 ),
-                F.struct(F.lit(S.RETURNING_USER), F.col("old_n"), F.col("old_p")),
+                F.struct(
+                    F.lit(S.RETURNING_USER).alias("user_type"),
+                    F.col("old_n").alias("sessions"),
+                    F.col("old_p").alias("purchases"),
+                ),
             )
         )
     )

@@ -62,7 +62,7 @@ def page_rank_compare(events: DataFrame) -> DataFrame:
     entries = F.when(F.col("entry_rows") > 0, F.col("entries"))
     kinds = F.array(
         F.struct(F.lit("visit").alias("kind"), F.col("visits").alias("n")),
-        F.struct(F.lit("entry"), entries),
+        F.struct(F.lit("entry").alias("kind"), entries.alias("n")),
     )
     long = counts.select("page_location", F.inline(kinds)).filter(F.col("n").isNotNull())
     higher = (

@@ -68,14 +68,10 @@ def csv_roundtrip_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def csv_roundtrip_items(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "items-csv")
-    write_csv_table(_cents(_items(spark, folder), "item_revenue"), path)
+    write_csv_table(_items(spark, folder), path)
     return read_csv_table(spark, path, S.ITEMS_CLEAN)
 
 
-def items_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(_items(spark, folder), "item_revenue")
-
-
 # --- preparation ---------------------------------------------------------------------------------
 
 
@@ -293,7 +289,7 @@ def entry_pages_normalized(spark: SparkSession, folder: str) -> DataFrame:
 CATALOG: dict[str, Query] = {
     "csv_roundtrip_events": csv_roundtrip_events,
     "csv_roundtrip_items": csv_roundtrip_items,
-    "items_clean": items_clean,
+    "items_clean": _items,
     "attribution_filter": attribution_filter,
     "session_attribution": session_attribution,
     "session_attribution_purchase_first": session_attribution_purchase_first,
