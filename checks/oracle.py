@@ -7,7 +7,7 @@ rollups the Spark side uses. Ratios stay in DOUBLE, and sums of money are rounde
 
 from __future__ import annotations
 
-TABLES = """
+FIXTURE = """
 WITH parsed AS (
     SELECT event_id, ts, user_id, event_type, value,
            CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
@@ -73,11 +73,14 @@ raw_items AS (
     JOIN lineitem ON l_orderkey = e.event_id
     JOIN part ON p_partkey = l_partkey
     WHERE e.event_name = 'purchase'
-),
+)
+"""
+
+SHOP = """
 numbered AS (
-    SELECT *, event_name || lpad(CAST(event_id AS VARCHAR), 12, '0') AS place
+    SELECT *, coalesce(event_name, '~') || lpad(CAST(event_id AS VARCHAR), 12, '0') AS place
     FROM raw_events
-    WHERE source IS NOT NULL
+    WHERE source IS NOT NULL AND session_id IS NOT NULL
 ),
 session_origin AS (
     SELECT session_id,
@@ -129,10 +132,13 @@ stages(event_name, funnel_stage) AS (
 """
 
 
-def _with(body: str) -> str:
-    """``body`` continues the list of common tables or is the final SELECT."""
+def complete(body: str, fixture: str = FIXTURE) -> str:
+    """One statement from the raw tables to the report.
+
+    ``body`` continues the list of common tables or is the final SELECT.
+    """
     joint = "" if body.lstrip().upper().startswith("SELECT") else ","
-    return f"{TABLES.strip()}{joint}\n{body.strip()}"
+    return f"{fixture.strip()},\n{SHOP.strip()}{joint}\n{body.strip()}"
 
 
 def _funnel(table: str, by: str = "", unmapped: bool = True) -> str:
@@ -172,12 +178,15 @@ report AS (
 ),
 rated AS (
     SELECT {by}, sessions, purchase, round(revenue, 2) AS revenue,
-           round(revenue / sessions, 2) AS revenue_per_session,
-           round(purchase * CAST(100 AS DOUBLE) / sessions, 1) AS cvr_pct
+           round(revenue / nullif(sessions, 0), 2) AS revenue_per_session,
+           round(purchase * CAST(100 AS DOUBLE) / nullif(sessions, 0), 1) AS cvr_pct
     FROM report
 )"""
 
 
+USER_SESSION = """CASE WHEN user_pseudo_id IS NOT NULL AND session_id IS NOT NULL
+                               THEN (user_pseudo_id, session_id) END"""
+
 RELIABLE = "channel NOT IN ('Unknown', 'Obfuscated')"
 
 
@@ -190,7 +199,7 @@ visits AS (
     SELECT {by}, count(DISTINCT session_id) AS total_sessions FROM master GROUP BY {by}
 )
 SELECT v.{by}, v.total_sessions, count(*) AS bounced_sessions,
-       round(count(*) / CAST(v.total_sessions AS DOUBLE) * 100, 2) AS bounce_rate_pct
+       round(count(*) / CAST(nullif(v.total_sessions, 0) AS DOUBLE) * 100, 2) AS bounce_rate_pct
 FROM single s JOIN visits v ON s.{by} = v.{by}
 WHERE {having}
 GROUP BY v.{by}, v.total_sessions"""
@@ -203,6 +212,7 @@ months AS (
            count(DISTINCT session_id) AS total_sessions,
            sum(revenue) AS total_revenue
     FROM master
+    WHERE event_date IS NOT NULL
     GROUP BY 1
     HAVING bool_or(event_name = 'purchase')
 ),
@@ -217,7 +227,7 @@ USERS = """
 labels AS (
     SELECT user_pseudo_id,
            CASE WHEN count(DISTINCT session_id) = 1 THEN 'New' ELSE 'Returning' END AS user_type
-    FROM master GROUP BY user_pseudo_id
+    FROM master WHERE user_pseudo_id IS NOT NULL GROUP BY user_pseudo_id
 ),
 kinds AS (
     SELECT user_type, count(DISTINCT session_id) AS sessions,
@@ -228,8 +238,8 @@ kinds AS (
 ),
 report AS (
     SELECT user_type, sessions, purchases, round(revenue, 2) AS revenue,
-           round(revenue / sessions, 2) AS revenue_per_session,
-           round(purchases * CAST(100 AS DOUBLE) / sessions, 2) AS cvr_pct
+           round(revenue / nullif(sessions, 0), 2) AS revenue_per_session,
+           round(purchases * CAST(100 AS DOUBLE) / nullif(sessions, 0), 2) AS cvr_pct
     FROM kinds
 )"""
 
@@ -265,7 +275,7 @@ def _pages(name: str, where: str = "TRUE", normalize: bool = False) -> str:
     return f"""
 SELECT {page} AS page_location, count(user_pseudo_id) AS {name}
 FROM master WHERE {where}
-GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
+GROUP BY 1 ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 10"""
 
 
 EVENT_COLUMNS = (
@@ -288,7 +298,7 @@ BODIES: dict[str, str] = {
         placed AS (
             SELECT *, CASE event_name WHEN 'purchase' THEN 0 WHEN 'begin_checkout' THEN 1 ELSE 2 END
                       * 1000000000000 + event_id AS slot
-            FROM raw_events WHERE source IS NOT NULL
+            FROM raw_events WHERE source IS NOT NULL AND session_id IS NOT NULL
         )
         SELECT session_id,
                arg_min(source, slot) AS session_source,
@@ -354,7 +364,7 @@ BODIES: dict[str, str] = {
                                             WHERE channel = 'Google Paid'), 2) AS rps_ratio
         FROM rated""",
     "revenue_by_device": _kpis("device_category") + "\nSELECT * FROM rated",
-    "revenue_by_device_user_session": _kpis("device_category", "(user_pseudo_id, session_id)")
+    "revenue_by_device_user_session": _kpis("device_category", USER_SESSION)
     + "\nSELECT * FROM rated",
     "monthly_trend": MONTHS + "\nSELECT * FROM trend",
     "monthly_growth": MONTHS
@@ -374,11 +384,9 @@ BODIES: dict[str, str] = {
         single AS (
             SELECT session_id FROM master GROUP BY session_id HAVING count(event_name) = 1
         )
-        SELECT (SELECT count(DISTINCT session_id) FROM master) AS total_sessions,
-               count(*) AS bounced_sessions,
-               round(count(*) / CAST((SELECT count(DISTINCT session_id) FROM master) AS DOUBLE)
-                     * 100, 2) AS bounce_rate_pct
-        FROM single""",
+        SELECT max(n) AS total_sessions, count(*) AS bounced_sessions,
+               round(count(*) / nullif(CAST(max(n) AS DOUBLE), 0) * 100, 2) AS bounce_rate_pct
+        FROM single CROSS JOIN (SELECT count(DISTINCT session_id) AS n FROM master)""",
     "bounce_by_device": _bounce("device_category"),
     "bounce_by_country": _bounce("country", "v.total_sessions >= 150"),
     "bounce_by_channel": _bounce("channel"),
@@ -399,14 +407,15 @@ BODIES: dict[str, str] = {
         ranked AS (
             SELECT item_name, sum(item_revenue) AS revenue, sum(quantity) AS total_quantity,
                    count(session_id) AS no_of_orders
-            FROM items GROUP BY item_name ORDER BY revenue DESC, item_name LIMIT 10
+            FROM items GROUP BY item_name
+            ORDER BY revenue DESC NULLS LAST, item_name NULLS FIRST LIMIT 10
         )
         SELECT item_name, round(revenue, 2) AS total_revenue, total_quantity, no_of_orders
         FROM ranked""",
     "category_revenue": """
         SELECT item_category, round(sum(item_revenue), 2) AS total_revenue,
                sum(quantity) AS total_quantity, count(session_id) AS no_of_orders,
-               round(sum(item_revenue) / count(session_id), 2) AS aov
+               round(sum(item_revenue) / nullif(count(session_id), 0), 2) AS aov
         FROM shelved GROUP BY item_category""",
     "top_product_per_category": """
         sums AS (
@@ -415,7 +424,8 @@ BODIES: dict[str, str] = {
         )
         SELECT item_category, item_name, round(revenue, 2) AS total_revenue
         FROM sums s
-        WHERE revenue = (SELECT max(revenue) FROM sums t WHERE t.item_category = s.item_category)
+        WHERE revenue IS NOT DISTINCT FROM
+            (SELECT max(revenue) FROM sums t WHERE t.item_category = s.item_category)
         """,
     "category_monthly": CATEGORY_MONTHS
     + """
@@ -481,4 +491,4 @@ BODIES: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     """SQL text per registered report."""
-    return {name: _with(body) for name, body in BODIES.items()}
+    return {name: complete(body) for name, body in BODIES.items()}

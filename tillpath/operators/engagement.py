@@ -66,29 +66,39 @@ def new_vs_returning(
 
     Users are labelled by comparing their lowest and highest session. No label is joined back to
     the events, as one very active user would then meet all its rows in one task: a session's
-    returning users are all its users less the new ones, and a new user has one session only, so
-    three groupings that merge map-side give every count.
+    returning users are all its users less the new ones, and a new user has one session only.
+    Three groupings that merge map-side, by user, by session and user and by session, give every
+    count.
     """
     known = events.filter(F.col("user_pseudo_id").isNotNull()).withColumn(
         "session", session_key_column(session_key)
     )
     has_session = F.col("session").isNotNull()
-    bought = F.col("event_name") == S.PURCHASE_EVENT
-    users = known.groupBy("user_pseudo_id").agg(
-        F.min("session").alias("session"),
-        F.max("session").alias("last_session"),
-        F.coalesce(F.max((bought & has_session).cast("int")), F.lit(0)).alias("buyer"),
-        F.sum(F.col("revenue").cast("double")).alias("revenue"),
-    )
+    bought = F.coalesce(F.col("event_name") == S.PURCHASE_EVENT, F.lit(False))
     is_new = F.coalesce(F.col("session") == F.col("last_session"), F.lit(False))
-
-    user_type = F.when(is_new, S.NEW_USER).otherwise(S.RETURNING_USER)
-    amounts = users.groupBy(user_type.alias("user_type")).agg(F.sum("revenue").alias("revenue"))
-
-    everyone = (
+    users = (
+        known.groupBy("user_pseudo_id")
+        .agg(
+            F.min("session").alias("session"),
+            F.max("session").alias("last_session"),
+            F.max((bought & has_session).cast("int")).alias("buyer"),
+            F.sum(F.col("revenue").cast("double")).alias("revenue"),
+        )
+        .select(
+            F.when(is_new, F.col("session")).alias("session"),
+            F.lit(0).alias("users"),
+            F.lit(0).alias("buyers"),
+            is_new.cast("int").alias("new_users"),
+            F.when(is_new, F.col("buyer")).otherwise(0).alias("new_buyers"),
+            F.when(is_new, F.col("revenue")).alias("new_revenue"),
+            (~is_new).cast("int").alias("old_users"),
+            F.when(~is_new, F.col("revenue")).alias("old_revenue"),
+        )
+    )
+    visitors = (
         known.filter(has_session)
         .groupBy("session", "user_pseudo_id")
-        .agg(F.coalesce(F.max(bought.cast("int")), F.lit(0)).alias("buyer"))
+        .agg(F.max(bought.cast("int")).alias("buyer"))
         .select(
             "session",
             F.lit(1).alias("users"),
@@ -97,41 +107,37 @@ def new_vs_returning(
             F.lit(0).alias("new_buyers"),
         )
     )
-    newcomers = users.filter(is_new).select(
-        "session",
-        F.lit(0).alias("users"),
-        F.lit(0).alias("buyers"),
-        F.lit(1).alias("new_users"),
-        F.col("buyer").alias("new_buyers"),
-    )
-    sums = ["users", "buyers", "new_users", "new_buyers"]
-    by_session = (
-        everyone.union(newcomers).groupBy("session").agg(*[F.sum(c).alias(c) for c in sums])
+    sums = [c for c in users.columns if c != "session"]
+    totals = (
+        users.unionByName(visitors, allowMissingColumns=True)
+        .groupBy("session")
+        .agg(*[F.sum(c).alias(c) for c in sums])
+        .agg(
+            F.sum("new_users").alias("new_users"),
+            F.sum("old_users").alias("old_users"),
+            F.count_if(F.col("new_users") > 0).alias("new_sessions"),
+            F.count_if(F.col("users") > F.col("new_users")).alias("old_sessions"),
+            F.count_if(F.col("new_buyers") > 0).alias("new_purchases"),
+            F.count_if(F.col("buyers") > F.col("new_buyers")).alias("old_purchases"),
+            F.sum("new_revenue").alias("new_revenue"),
+            F.sum("old_revenue").alias("old_revenue"),
+        )
     )
-    new = F.col("new_users"), F.col("new_buyers")
-    totals = by_session.agg(
-        F.count_if(new[0] > 0).alias("new_n"),
-        F.count_if(new[1] > 0).alias("new_p"),
-        F.count_if(F.col("users") > new[0]).alias("old_n"),
-        F.count_if(F.col("buyers") > new[1]).alias("old_p"),
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit(S.NEW_USER).alias("user_type"),
-                    F.col("new_n").alias("sessions"),
-                    F.col("new_p").alias("purchases"),
-                ),
-                F.struct(
-                    F.lit(S.RETURNING_USER).alias("user_type"),
-                    F.col("old_n").alias("sessions"),
-                    F.col("old_p").alias("purchases"),
-                ),
+    kinds = F.array(
+        *[
+            F.struct(
+                F.lit(label).alias("user_type"),
+                F.col(f"{kind}_users").alias("users"),
+                F.col(f"{kind}_sessions").alias("sessions"),
+                F.col(f"{kind}_purchases").alias("purchases"),
+                F.col(f"{kind}_revenue").alias("revenue"),
             )
-        )
+            for kind, label in (("new", S.NEW_USER), ("old", S.RETURNING_USER))
+        ]
     )
     return (
-        amounts.join(F.broadcast(totals), "user_type")
+        totals.select(F.inline(kinds))
+        .filter(F.col("users") > 0)
         .select(
             "user_type",
             "sessions",
