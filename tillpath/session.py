@@ -28,6 +28,8 @@ def builder(app_name: str = "tillpath", input_bytes: int | None = None) -> Spark
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        # Recording the Python line of every column costs more than building the plan.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if input_bytes is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions_for(input_bytes))

@@ -7,95 +7,97 @@ whole tables with fixed rules, so that the derived tables grow with the test tab
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillpath import schema as S
 
+# Columns read of each test table; naming them keeps readers from opening files for their schema.
+EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string"
+)
+NATION = "n_nationkey int, n_name string"
+LINEITEM = (
+    "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, "
+    "l_discount double"
+)
+PART = "p_partkey bigint, p_name string, p_type string, p_size int"
 
-def _load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+# The event name of a test event, by its type and its number k.
+EVENT_NAME = """
+CASE event_type
+    WHEN 'signup' THEN 'session_start'
+    WHEN 'view' THEN 'view_item'
+    WHEN 'click' THEN if(k < 60, 'add_to_cart', 'begin_checkout')
+    WHEN 'error' THEN if(k < 50, 'add_payment_info', {otherwise})
+    WHEN 'purchase' THEN 'purchase'
+END
+"""
 
+# Source and medium of an event that is no session start, by k modulo 12.
+ORIGINS = {
+    0: ("google", "cpc"),
+    1: ("google", "organic"),
+    2: ("(direct)", "(none)"),
+    3: (S.OWN_HOSTS[0], "referral"),
+    4: ("partner.example.com", "referral"),
+    5: ("<Other>", "<Other>"),
+    6: ("(data deleted)", "(data deleted)"),
+    7: ("newsletter", "email"),
+    8: ("google", None),
+}
 
-def raw_events(spark: SparkSession, folder: str, keep_unmapped: bool = False) -> DataFrame:
-    """Raw shop events; ``keep_unmapped`` keeps rows that belong to no funnel stage."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    user = F.col("user_id")
-    events = _load(spark, folder, "events").select(
-        "event_id", "event_type", "value", user, k.alias("k"), F.to_date("ts").alias("day")
-    )
-    k = F.col("k")
-    kind = F.col("event_type")
-    name = (
-        F.when(kind == "signup", "session_start")
-        .when(kind == "view", "view_item")
-        .when(kind == "click", F.when(k < 60, "add_to_cart").otherwise("begin_checkout"))
-        .when((kind == "error") & (k < 50), "add_payment_info")
-        .when(kind == "purchase", "purchase")
-    )
-    if keep_unmapped:
-        name = F.coalesce(name, kind)
-    months_back = (F.floor(user / 2) % 3).cast("int")
-    dated = events.select(
-        "*",
-        name.alias("event_name"),
-        F.date_format(F.add_months("day", -months_back), "yyyyMMdd").alias("event_date"),
-    ).filter(F.col("event_name").isNotNull())
 
-    starts = F.col("event_name") == S.ENTRY_EVENT
-    pick = k % 12
-    source = (
-        F.when(starts, None)
-        .when(pick.isin(0, 1, 8), "google")
-        .when(pick == 2, "(direct)")
-        .when(pick == 3, S.OWN_HOSTS[0])
-        .when(pick == 4, "partner.example.com")
-        .when(pick == 5, "<Other>")
-        .when(pick == 6, "(data deleted)")
-        .when(pick == 7, "newsletter")
-    )
-    medium = (
-        F.when(starts, None)
-        .when(pick == 0, "cpc")
-        .when(pick == 1, "organic")
-        .when(pick == 2, "(none)")
-        .when(pick.isin(3, 4), "referral")
-        .when(pick == 5, "<Other>")
-        .when(pick == 6, "(data deleted)")
-        .when(pick == 7, "email")
+def _origin(part: int) -> str:
+    cases = " ".join(
+        f"WHEN {k} THEN '{names[part]}'" for k, names in ORIGINS.items() if names[part] is not None
     )
-    page = k % 15
-    location = (
-        F.when(page == 0, "https://shop.example.com/")
-        .when(page == 1, "https://example.com/")
-        .when(page == 2, "https://www.example.com/")
-        .otherwise(F.concat(F.lit("https://shop.example.com/p/"), page.cast("string")))
+    return f"if(event_name = '{S.ENTRY_EVENT}', NULL, CASE k % 12 {cases} END)"
+
+
+def _load(spark: SparkSession, folder: str, name: str, columns: str) -> DataFrame:
+    return spark.read.schema(columns).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def raw_events(spark: SparkSession, folder: str, keep_unmapped: bool = False) -> DataFrame:
+    """Raw shop events; ``keep_unmapped`` keeps rows that belong to no funnel stage."""
+    otherwise = "event_type" if keep_unmapped else "NULL"
+    events = (
+        _load(spark, folder, "events", EVENTS)
+        .selectExpr(
+            "event_id",
+            "event_type",
+            "value",
+            "user_id",
+            "cast(get_json_object(props, '$.k') AS int) AS k",
+            "add_months(to_date(ts), -cast((user_id div 2) % 3 AS int)) AS day",
+        )
+        .selectExpr(
+            "*",
+            f"{EVENT_NAME.format(otherwise=otherwise)} AS event_name",
+            "year(day) * 10000 + month(day) * 100 + dayofmonth(day) AS day_number",
+        )
+        .filter("event_name IS NOT NULL")
     )
     # 25 nations whatever the scale; left to Spark's own size check, no broadcast hint.
-    nations = _load(spark, folder, "nation").select(
-        F.col("n_nationkey").cast("long").alias("nation"), F.col("n_name").alias("country")
+    nations = _load(spark, folder, "nation", NATION).selectExpr(
+        "cast(n_nationkey AS bigint) AS nation", "n_name AS country"
     )
-    return dated.join(nations, user % 25 == F.col("nation"), "left").select(
+    return events.join(nations, events.user_id % 25 == nations.nation, "left").selectExpr(
         "event_id",
-        "event_date",
+        "cast(day_number AS string) AS event_date",
         "event_name",
-        (user * 100 + F.when(user % 3 == 0, 0).otherwise(F.dayofmonth("day"))).alias(
-            "user_pseudo_id"
-        ),
-        (
-            F.col("event_date").cast("long") * 1000000
-            + user
-            - F.when(user % 40 == 1, 1).otherwise(0)
-        ).alias("session_id"),
-        F.when(k % 20 == 7, "tablet")
-        .when(user % 2 == 0, "desktop")
-        .otherwise("mobile")
-        .alias("device_category"),
+        "user_id * 100 + if(user_id % 3 = 0, 0, dayofmonth(day)) AS user_pseudo_id",
+        "day_number * 1000000L + user_id - if(user_id % 40 = 1, 1, 0) AS session_id",
+        "CASE WHEN k % 20 = 7 THEN 'tablet' WHEN user_id % 2 = 0 THEN 'desktop' ELSE 'mobile' END"
+        " AS device_category",
         "country",
-        location.alias("page_location"),
-        source.alias("source"),
-        medium.alias("medium"),
-        F.when(~starts & (k % 5 == 0), F.concat(F.lit("c"), k.cast("string"))).alias("campaign"),
-        F.when(F.col("event_name") == S.PURCHASE_EVENT, F.col("value")).alias("revenue"),
+        "CASE k % 15 WHEN 0 THEN 'https://shop.example.com/' WHEN 1 THEN 'https://example.com/'"
+        " WHEN 2 THEN 'https://www.example.com/'"
+        " ELSE concat('https://shop.example.com/p/', k % 15) END AS page_location",
+        f"{_origin(0)} AS source",
+        f"{_origin(1)} AS medium",
+        f"if(event_name <> '{S.ENTRY_EVENT}' AND k % 5 = 0, concat('c', k), NULL) AS campaign",
+        f"if(event_name = '{S.PURCHASE_EVENT}', value, NULL) AS revenue",
     )
 
 
@@ -103,24 +105,20 @@ def raw_items(spark: SparkSession, folder: str) -> DataFrame:
     """One row per item of every purchase event."""
     purchases = (
         raw_events(spark, folder)
-        .filter(F.col("event_name") == S.PURCHASE_EVENT)
+        .filter(f"event_name = '{S.PURCHASE_EVENT}'")
         .select("event_id", "event_date", "session_id")
     )
-    lines = _load(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("event_id"),
-        F.col("l_partkey").alias("part"),
-        F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("item_revenue"),
+    lines = _load(spark, folder, "lineitem", LINEITEM).selectExpr(
+        "l_orderkey AS event_id",
+        "l_partkey AS part",
+        "l_quantity AS quantity",
+        "l_extendedprice * (1 - l_discount) AS item_revenue",
     )
-    size = F.col("p_size")
-    parts = _load(spark, folder, "part").select(
-        F.col("p_partkey").alias("part"),
-        F.col("p_name").alias("item_name"),
-        F.when(size == 1, None)
-        .when(size == 2, S.EMPTY_CATEGORIES[0])
-        .when(size == 3, S.EMPTY_CATEGORIES[1])
-        .otherwise(F.col("p_type"))
-        .alias("item_category"),
+    parts = _load(spark, folder, "part", PART).selectExpr(
+        "p_partkey AS part",
+        "p_name AS item_name",
+        "CASE p_size WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '(not set)' ELSE p_type END"
+        " AS item_category",
     )
     return (
         lines.join(purchases, "event_id")
