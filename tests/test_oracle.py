@@ -99,7 +99,7 @@ def _random_tables(spark, folder: Path, seed: int) -> None:
     spark.createDataFrame(items, S.RAW_ITEMS).write.parquet(str(folder / "items"))
 
 
-@pytest.fixture(scope="module", params=[1, 2, 3])
+@pytest.fixture(scope="module", params=[1, 2])
 def random_folder(spark, tmp_path_factory, request):
     folder = tmp_path_factory.mktemp("random")
     _random_tables(spark, folder, request.param)

@@ -52,11 +52,12 @@ def kpis_by(
 
 
 def monthly_trend(
-    events: DataFrame, session_key: str | Sequence[str] = "session_id"
+    events: DataFrame, session_key: str | Sequence[str] = "session_id", ordered: bool = True
 ) -> DataFrame:
     """Purchase sessions, sessions and revenue per month, for months with a purchase.
 
-    Here revenue counts on every row, not on purchase rows alone.
+    Here revenue counts on every row, not on purchase rows alone. ``ordered=False`` spares the
+    sort for a report that is built on top.
     """
     dated = events.withColumn("month", month_start("event_date")).filter(
         F.col("month").isNotNull()
@@ -73,14 +74,15 @@ def monthly_trend(
         .filter(F.col("purchase_rows") > 0)
     )
     sessions = F.col("total_sessions")
-    return months.select(
+    trend = months.select(
         month_label("month").alias("year_month"),
         "purchase_sessions",
         "total_sessions",
         "total_revenue",
         pct_ratio(F.col("purchase_sessions"), sessions, 2).alias("cvr_pct"),
         per_unit(F.col("total_revenue"), sessions, 2).alias("revenue_per_session"),
-    ).orderBy("year_month")
+    )
+    return trend.orderBy("year_month") if ordered else trend
 
 
 def monthly_growth(trend: DataFrame) -> DataFrame:

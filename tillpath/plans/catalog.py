@@ -1,8 +1,7 @@
-"""Every report by name, ready to run on a folder of test tables.
+"""Every report by name, ready to run on a folder of the generic test tables.
 
-Reports that need no channel read the prepared events, those per channel read the session mart.
-Sums of money and quantity are rounded to cents here, as their last digits depend on the order in
-which tasks add them; the operators themselves leave them exact.
+Sums of money are rounded to cents here, as their last digits depend on the order in which tasks
+add them; the reports themselves leave them exact.
 """
 
 from __future__ import annotations
@@ -13,16 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpath import schema as S
-from tillpath.operators import engagement, pages, products, profile, revenue
-from tillpath.operators.attribution import (
-    attribute_sessions,
-    attributed_rows,
-    fill_missing,
-    group_channels,
-)
-from tillpath.operators.funnel import funnel, funnel_matrix
-from tillpath.plans import channel_mart as mart
-from tillpath.plans.prepare import build_items, build_master, without_attribution
+from tillpath.plans.reports import REPORTS, bounce_by_country
+from tillpath.plans.tables import RawTables
 from tillpath.sources import (
     raw_events,
     raw_items,
@@ -36,305 +27,58 @@ Query = Callable[[SparkSession, str], DataFrame]
 COUNTRY_MIN_SESSIONS = 150
 """Smallest country reported; the test tables' countries are all above the usual 50."""
 
+CENTS = {
+    "channel_attribution": ["revenue"],
+    "revenue_by_device": ["revenue"],
+    "revenue_by_device_user_session": ["revenue"],
+    "monthly_trend": ["total_revenue"],
+    "top_products": ["total_revenue"],
+    "category_revenue": ["total_revenue"],
+    "top_product_per_category": ["total_revenue"],
+    "category_monthly": ["total_revenue"],
+    "category_share": ["total_revenue"],
+    "category_change": ["first_revenue", "last_revenue"],
+    "category_vs_sessions": ["total_revenue"],
+}
 
-def _cents(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 2) for c in columns})
-
-
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return without_attribution(raw_events(spark, folder))
-
-
-def _items(spark: SparkSession, folder: str) -> DataFrame:
-    return build_items(raw_items(spark, folder))
 
+def tables(spark: SparkSession, folder: str, keep_unmapped: bool = False) -> RawTables:
+    """The raw tables derived from a folder of test tables."""
+    return RawTables(raw_events(spark, folder, keep_unmapped), raw_items(spark, folder))
 
-def _master(spark: SparkSession, folder: str) -> DataFrame:
-    return build_master(raw_events(spark, folder))
 
+def _query(name: str) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        report = REPORTS[name](tables(spark, folder))
+        return report.withColumns({c: F.round(c, 2) for c in CENTS.get(name, [])})
 
-def _mart(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.session_mart(raw_events(spark, folder))
+    return run
 
 
-# --- sources and sinks ---------------------------------------------------------------------------
+def _on_unmapped(name: str) -> Query:
+    return lambda spark, folder: REPORTS[name](tables(spark, folder, keep_unmapped=True))
 
 
 def csv_roundtrip_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Master events written to CSV files and read back."""
     path = scratch_path(spark, "events-csv")
-    write_csv_table(_master(spark, folder), path)
+    write_csv_table(tables(spark, folder).master, path)
     return read_csv_table(spark, path, S.MASTER_EVENTS)
 
 
 def csv_roundtrip_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items written to CSV files and read back."""
     path = scratch_path(spark, "items-csv")
-    write_csv_table(_items(spark, folder), path)
+    write_csv_table(tables(spark, folder).items, path)
     return read_csv_table(spark, path, S.ITEMS_CLEAN)
 
 
-# --- preparation ---------------------------------------------------------------------------------
-
-
-def attribution_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return attributed_rows(raw_events(spark, folder))
-
-
-def session_attribution(spark: SparkSession, folder: str) -> DataFrame:
-    return attribute_sessions(raw_events(spark, folder))
-
-
-def session_attribution_purchase_first(spark: SparkSession, folder: str) -> DataFrame:
-    priority = [S.PURCHASE_EVENT, "begin_checkout"]
-    return attribute_sessions(raw_events(spark, folder), priority)
-
-
-def channel_grouping(spark: SparkSession, folder: str) -> DataFrame:
-    return group_channels(fill_missing(session_attribution(spark, folder)))
-
-
-def source_value_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.row_counts(_mart(spark, folder), "session_source")
-
-
-def channel_value_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.row_counts(_mart(spark, folder), "channel")
-
-
-def purchases_by_channel(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.row_counts(_mart(spark, folder), "channel", "purchase_rows")
-
-
-def attribution_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.attribution_coverage(raw_events(spark, folder))
-
-
-def table_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.table_shapes(
-        {"master_events": _master(spark, folder), "items_clean": _items(spark, folder)}
-    )
-
-
-def null_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.null_profile(raw_events(spark, folder))
-
-
-def coverage_by_event(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.coverage_by_event(raw_events(spark, folder))
-
-
-# --- funnel --------------------------------------------------------------------------------------
-
-
-def funnel_overall(spark: SparkSession, folder: str) -> DataFrame:
-    return funnel(_events(spark, folder))
-
-
-def funnel_unmapped(spark: SparkSession, folder: str) -> DataFrame:
-    return funnel(without_attribution(raw_events(spark, folder, keep_unmapped=True)))
-
-
-def funnel_drop_unmapped(spark: SparkSession, folder: str) -> DataFrame:
-    events = without_attribution(raw_events(spark, folder, keep_unmapped=True))
-    return funnel(events, drop_unmapped=True)
-
-
-def funnel_by_channel(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.channel_funnel(_mart(spark, folder))
-
-
-def channel_funnel_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return funnel_matrix(funnel_by_channel(spark, folder))
-
-
-# --- channels, devices, months -------------------------------------------------------------------
-
-
-def channel_attribution(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(mart.channel_kpis(_mart(spark, folder)), "revenue")
-
-
-def channel_rps_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return revenue.rps_ratio(mart.channel_kpis(_mart(spark, folder)))
-
-
-def channel_rps_vs_paid(spark: SparkSession, folder: str) -> DataFrame:
-    return revenue.rps_ratio(mart.channel_kpis(_mart(spark, folder)), baseline=S.GOOGLE_PAID)
-
-
-def revenue_by_device(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(revenue.kpis_by(_events(spark, folder), "device_category"), "revenue")
-
-
-def revenue_by_device_user_session(spark: SparkSession, folder: str) -> DataFrame:
-    report = revenue.kpis_by(
-        _events(spark, folder), "device_category", session_key=["user_pseudo_id", "session_id"]
-    )
-    return _cents(report, "revenue")
-
-
-def monthly_trend(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(revenue.monthly_trend(_events(spark, folder)), "total_revenue")
-
-
-def monthly_growth(spark: SparkSession, folder: str) -> DataFrame:
-    return revenue.monthly_growth(revenue.monthly_trend(_events(spark, folder)))
-
-
-# --- engagement ----------------------------------------------------------------------------------
-
-
-def bounce_overall(spark: SparkSession, folder: str) -> DataFrame:
-    return engagement.bounce_rate(_events(spark, folder))
-
-
-def bounce_by_device(spark: SparkSession, folder: str) -> DataFrame:
-    return engagement.bounce_rate(_events(spark, folder), "device_category")
-
-
-def bounce_by_country(spark: SparkSession, folder: str) -> DataFrame:
-    return engagement.bounce_rate(_events(spark, folder), "country", COUNTRY_MIN_SESSIONS)
-
-
-def bounce_by_channel(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.channel_bounce(_mart(spark, folder))
-
-
-def new_vs_returning(spark: SparkSession, folder: str) -> DataFrame:
-    return engagement.new_vs_returning(_events(spark, folder))
-
-
-def user_type_lift(spark: SparkSession, folder: str) -> DataFrame:
-    return engagement.user_type_lift(new_vs_returning(spark, folder))
-
-
-# --- products ------------------------------------------------------------------------------------
-
-
-def top_products(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(products.top_products(_items(spark, folder)), "total_revenue")
-
-
-def category_revenue(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(products.category_revenue(_items(spark, folder)), "total_revenue")
-
-
-def top_product_per_category(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(products.top_product_per_category(_items(spark, folder)), "total_revenue")
-
-
-def category_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(products.category_monthly(_items(spark, folder)), "total_revenue")
-
-
-def channel_category(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.channel_items(_items(spark, folder), _mart(spark, folder))
-
-
-def channel_category_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return mart.channel_items(_items(spark, folder), _mart(spark, folder), dedup=True)
-
-
-def category_share(spark: SparkSession, folder: str) -> DataFrame:
-    return _cents(products.category_share(_items(spark, folder)), "total_revenue")
-
-
-def category_change(spark: SparkSession, folder: str) -> DataFrame:
-    report = products.category_change(_items(spark, folder))
-    return _cents(report, "first_revenue", "last_revenue")
-
-
-def category_vs_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    by_month = products.category_monthly(_items(spark, folder))
-    trend = revenue.monthly_trend(_events(spark, folder))
-    return _cents(products.category_vs_sessions(by_month, trend), "total_revenue")
-
-
-def channel_category_aov(spark: SparkSession, folder: str) -> DataFrame:
-    return products.channel_category_aov(channel_category(spark, folder))
-
-
-def top_category_per_channel(spark: SparkSession, folder: str) -> DataFrame:
-    return products.top_category_per_channel(channel_category(spark, folder))
-
-
-def missing_channel_category(spark: SparkSession, folder: str) -> DataFrame:
-    return products.missing_channel_category(
-        channel_category(spark, folder), _items(spark, folder), _mart(spark, folder)
-    )
-
-
-# --- pages ---------------------------------------------------------------------------------------
-
-
-def top_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.top_pages(_events(spark, folder))
-
-
-def entry_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.entry_pages(_events(spark, folder))
-
-
-def page_rank_compare(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.page_rank_compare(_events(spark, folder))
-
-
-def top_pages_normalized(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.top_pages(_events(spark, folder), normalize=True)
-
-
-def entry_pages_normalized(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.entry_pages(_events(spark, folder), normalize=True)
-
-
-CATALOG: dict[str, Query] = {
+CATALOG: dict[str, Query] = {name: _query(name) for name in REPORTS} | {
     "csv_roundtrip_events": csv_roundtrip_events,
     "csv_roundtrip_items": csv_roundtrip_items,
-    "items_clean": _items,
-    "attribution_filter": attribution_filter,
-    "session_attribution": session_attribution,
-    "session_attribution_purchase_first": session_attribution_purchase_first,
-    "master_events": _master,
-    "channel_grouping": channel_grouping,
-    "source_value_counts": source_value_counts,
-    "channel_value_counts": channel_value_counts,
-    "purchases_by_channel": purchases_by_channel,
-    "attribution_coverage": attribution_coverage,
-    "table_shapes": table_shapes,
-    "null_profile": null_profile,
-    "coverage_by_event": coverage_by_event,
-    "funnel": funnel_overall,
-    "funnel_unmapped": funnel_unmapped,
-    "funnel_drop_unmapped": funnel_drop_unmapped,
-    "funnel_by_channel": funnel_by_channel,
-    "funnel_matrix": channel_funnel_matrix,
-    "channel_attribution": channel_attribution,
-    "channel_rps_ratio": channel_rps_ratio,
-    "channel_rps_vs_paid": channel_rps_vs_paid,
-    "revenue_by_device": revenue_by_device,
-    "revenue_by_device_user_session": revenue_by_device_user_session,
-    "monthly_trend": monthly_trend,
-    "monthly_growth": monthly_growth,
-    "bounce_overall": bounce_overall,
-    "bounce_by_device": bounce_by_device,
-    "bounce_by_country": bounce_by_country,
-    "bounce_by_channel": bounce_by_channel,
-    "new_vs_returning": new_vs_returning,
-    "user_type_lift": user_type_lift,
-    "top_products": top_products,
-    "category_revenue": category_revenue,
-    "top_product_per_category": top_product_per_category,
-    "category_monthly": category_monthly,
-    "channel_category": channel_category,
-    "channel_category_dedup": channel_category_dedup,
-    "category_share": category_share,
-    "category_change": category_change,
-    "category_vs_sessions": category_vs_sessions,
-    "channel_category_aov": channel_category_aov,
-    "top_category_per_channel": top_category_per_channel,
-    "missing_channel_category": missing_channel_category,
-    "top_pages": top_pages,
-    "entry_pages": entry_pages,
-    "page_rank_compare": page_rank_compare,
-    "top_pages_normalized": top_pages_normalized,
-    "entry_pages_normalized": entry_pages_normalized,
+    "funnel_unmapped": _on_unmapped("funnel"),
+    "funnel_drop_unmapped": _on_unmapped("funnel_drop_unmapped"),
+    "bounce_by_country": lambda spark, folder: bounce_by_country(
+        tables(spark, folder), COUNTRY_MIN_SESSIONS
+    ),
 }

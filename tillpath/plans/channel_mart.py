@@ -73,9 +73,11 @@ def row_counts(mart: DataFrame, column: str, rows: str = "rows") -> DataFrame:
     )
 
 
-def channel_items(items: DataFrame, mart: DataFrame, dedup: bool = False) -> DataFrame:
+def channel_items(
+    items: DataFrame, mart: DataFrame, dedup: bool = False, ordered: bool = True
+) -> DataFrame:
     """Revenue and orders of every reliable channel and category."""
     purchases = mart.filter(F.col("session").isNotNull() & (F.col("purchase_rows") > 0)).select(
         F.col("session").alias("session_id"), "channel", "purchase_rows"
     )
-    return channel_category_of_purchases(items, purchases, dedup)
+    return channel_category_of_purchases(items, purchases, dedup, ordered)
