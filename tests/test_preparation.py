@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.frames import items, raw, records, rows
 from tillpath import schema as S
 from tillpath.functions import channel_label, normalized_page
-from tillpath.operators.attribution import attach_sessions, attribute_sessions
+from tillpath.operators.attribution import attach_sessions, attribute_sessions, hot_sessions
 from tillpath.plans.channel_mart import session_mart
 from tillpath.plans.prepare import build_items, build_master, parsed_date, without_attribution
 from tillpath.session import shuffle_partitions_for
@@ -148,6 +148,15 @@ def test_a_dominant_session_joins_like_any_other(spark, hot_share):
     assert sorted(rows(found), key=repr) == sorted(rows(expected), key=repr)
 
 
+@pytest.mark.parametrize("hot_share", [0.001, 0.02, 0.05, 0.3, 0.9])
+def test_hot_sessions_are_those_above_the_share(spark, hot_share):
+    sizes = {n: n for n in range(1, 25)} | {99: 200, None: 100}
+    events = raw(spark, *[{"session_id": s} for s, rows_ in sizes.items() for _ in range(rows_)])
+    limit = hot_share * sum(sizes.values())
+    expected = {s for s, rows_ in sizes.items() if s is not None and rows_ > limit}
+    assert {r[0] for r in rows(hot_sessions(events.repartition(3), hot_share))} == expected
+
+
 @pytest.mark.parametrize("text", ["20201131", "2020-11-01", "x", "202011", "20201301", ""])
 def test_bad_dates_fail(spark, text):
     frame = spark.createDataFrame([(text,)], "event_date string")

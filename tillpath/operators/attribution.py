@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from tillpath.functions import channel_label
 ATTRIBUTES = {"source": "session_source", "medium": "session_medium", "campaign": "session_campaign"}
 
 HOT_SHARE = 1e-4
-"""A session with more than this share of all rows is joined by broadcast, see `attach_channels`."""
+"""A session with more than this share of all rows is joined by broadcast, see `attach_sessions`."""
 
 
 def attributed_rows(events: DataFrame) -> DataFrame:
@@ -77,6 +78,29 @@ def group_channels(df: DataFrame, own_hosts: Sequence[str] = S.OWN_HOSTS) -> Dat
     return df.withColumn("channel", channel_label("session_source", "session_medium", own_hosts))
 
 
+def hot_sessions(events: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+    """Ids of the sessions with more than ``hot_share`` of all rows, under ``1 / hot_share`` of them.
+
+    Counting every session would shuffle as many rows as there are sessions. Rows are counted per
+    hash bucket first, which merges to a few thousand counts per task. A hot session makes its
+    bucket hot, so only sessions of hot buckets are then counted one by one; mostly there are none
+    and adaptive execution skips that step.
+    """
+    buckets = math.ceil(2 / hot_share) if hot_share > 0 else 1
+    known = events.filter(F.col("session_id").isNotNull()).select(
+        "session_id", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
+    )
+    total = events.agg(F.count(F.lit(1)).alias("rows"))
+    threshold = F.lit(hot_share) * total.scalar()
+
+    def above_threshold(rows: DataFrame, key: str) -> DataFrame:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        return counts.filter(F.col("rows") > threshold).select(key)
+
+    hot_buckets = F.broadcast(above_threshold(known, "bucket"))
+    return above_threshold(known.join(hot_buckets, "bucket", "left_semi"), "session_id")
+
+
 def attach_sessions(
     events: DataFrame, sessions: DataFrame, hot_share: float = HOT_SHARE
 ) -> DataFrame:
@@ -84,26 +108,18 @@ def attach_sessions(
 
     Rows of one session meet in one task of a shuffled join, and so do all rows without a
     session. Neither is safe when a single key can hold a third of the table, so only ordinary
-    sessions take that join. A session above ``hot_share`` of all rows is joined by broadcast
-    where its rows lie; there are fewer than ``1 / hot_share`` such sessions in any table, which
-    bounds the broadcast. Rows without a session match nothing and are not joined at all. When no
-    session is hot, adaptive execution drops that branch with its scan.
+    sessions take that join. The rows of a hot session are joined by broadcast where they lie; the
+    number of such sessions is bounded for any table, see `hot_sessions`. Rows without a session
+    match nothing and are not joined at all. When no session is hot, adaptive execution drops that
+    branch with its scan.
     """
     attributes = [c for c in sessions.columns if c != "session_id"]
     known = events.filter(F.col("session_id").isNotNull())
-    total = events.agg(F.count(F.lit(1)).alias("rows"))
-    hot = (
-        known.groupBy("session_id")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > F.lit(hot_share) * total.scalar())
-        .select("session_id")
-    )
-    hot_sessions = F.broadcast(hot).join(sessions, "session_id", "left")
-
+    hot = hot_sessions(events, hot_share)
     ordinary = known.join(F.broadcast(hot), "session_id", "left_anti").join(
         sessions, "session_id", "left"
     )
-    heavy = known.join(F.broadcast(hot_sessions), "session_id")
+    heavy = known.join(F.broadcast(hot.join(sessions, "session_id", "left")), "session_id")
     nowhere = events.filter(F.col("session_id").isNull()).select(
         *events.columns,
         *[F.lit(None).cast(sessions.schema[c].dataType).alias(c) for c in attributes],
