@@ -85,6 +85,29 @@ def test_stored_tables_give_the_same_report(spark, given, store, name):
     assert rows(ours)
 
 
+def test_an_export_without_event_ids_and_with_fractional_user_ids(spark, tmp_path):
+    (tmp_path / "events.csv").write_text(
+        "event_date,event_name,user_pseudo_id,session_id,device_category,country,page_location,"
+        "source,medium,campaign,revenue\n"
+        "20201101,session_start,1026932.0858862293,11,desktop,Greece,https://a/,,,,\n"
+        "20201101,purchase,1026932.0858862293,11,desktop,Greece,https://a/,google,cpc,,12.5\n"
+        "20201102,session_start,1026932.0858862294,12,mobile,Greece,https://a/,,,,\n"
+    )
+    (tmp_path / "items.csv").write_text(
+        "event_date,session_id,item_name,item_category,item_revenue,quantity\n"
+        "20201101,11,hat,Hats,12.5,1\n"
+    )
+    out = str(tmp_path / "store")
+    files = ["--events", str(tmp_path / "events.csv"), "--items", str(tmp_path / "items.csv")]
+    main(["prepare", *files, "--out", out])
+    shop = StoredTables(spark, out)
+    assert "event_id" not in shop.master.columns
+    assert rows(REPORTS["new_vs_returning"](shop)) == [("New", 2, 1, 12.5, 6.25, 50.0)]
+    found = [("Google Paid", 1, 1, 12.5, 12.5, 100.0)]
+    assert rows(REPORTS["channel_attribution"](shop)) == found
+    assert rows(REPORTS["channel_category"](shop)) == [("Google Paid", "Hats", 12.5, 1)]
+
+
 def test_csv_copy_holds_the_master_events(spark, given, store):
     copy = read_csv_table(spark, f"{store}/master_events_csv", S.MASTER_EVENTS)
     assert sorted(rows(copy), key=repr) == sorted(rows(given.master), key=repr)

@@ -45,7 +45,7 @@ def main(given: list[str] | None = None) -> None:
     spark = builder().getOrCreate()
     if options.command == "prepare":
         raw = RawTables(
-            _read(spark, options.events, S.RAW_EVENTS, options.format),
+            _read(spark, options.events, S.CSV_EVENTS, options.format),
             _read(spark, options.items, S.RAW_ITEMS, options.format),
         )
         if options.format == "csv":

@@ -21,6 +21,14 @@ RAW_EVENTS = T.StructType(
     ]
 )
 
+# User ids in exports need not be whole numbers; as text they stay apart and unrounded.
+CSV_EVENTS = T.StructType(
+    [
+        T.StructField(f.name, T.StringType() if f.name == "user_pseudo_id" else f.dataType)
+        for f in RAW_EVENTS.fields
+    ]
+)
+
 MASTER_EVENTS = T.StructType(
     [
         T.StructField("event_id", T.LongType()),

@@ -27,6 +27,7 @@ def read_csv_table(
 ) -> DataFrame:
     """Columns of ``table`` from CSV files, in the table's order whatever the files' order.
 
+    Files without event ids give a table without them; any other missing column is an error.
     ``multiline`` accepts line breaks inside quotes; such files cannot be split between tasks.
     """
     text = (
@@ -36,7 +37,8 @@ def read_csv_table(
         .option("multiLine", multiline)
         .csv(path)
     )
-    return text.select([_typed(f.name, f.dataType) for f in table.fields])
+    present = [f for f in table.fields if f.name in text.columns or f.name != "event_id"]
+    return text.select([_typed(f.name, f.dataType) for f in present])
 
 
 def write_csv_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
