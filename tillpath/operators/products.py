@@ -139,11 +139,10 @@ def category_share(items: DataFrame) -> DataFrame:
 
 def category_change(items: DataFrame) -> DataFrame:
     """Revenue of each category in its first and last month, and the change between them."""
-    dated = with_category(items).withColumn("month", month_start("event_date"))
+    dated = with_category(items).filter(F.col("event_date").isNotNull())
     first, last = F.col("first_revenue"), F.col("last_revenue")
     return (
-        dated.filter(F.col("month").isNotNull())
-        .groupBy("item_category", "month")
+        dated.groupBy("item_category", month_start("event_date").alias("month"))
         .agg(F.sum("item_revenue").alias("revenue"))
         .groupBy("item_category")
         .agg(

@@ -59,8 +59,8 @@ def monthly_trend(
     Here revenue counts on every row, not on purchase rows alone. ``ordered=False`` spares the
     sort for a report that is built on top.
     """
-    dated = events.withColumn("month", month_start("event_date")).filter(
-        F.col("month").isNotNull()
+    dated = events.filter(F.col("event_date").isNotNull()).withColumn(
+        "month", month_start("event_date")
     )
     months = (
         session_rollup(dated, "month", session_key=session_key)
