@@ -23,7 +23,9 @@ def tables():
 
 
 def test_every_report_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.CATALOG) <= set(contract.queries())
+    assert set(catalog.CATALOG) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry_is_the_funnel(spark):
