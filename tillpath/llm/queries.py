@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillpath.llm.common import table
 from tillpath.llm.sharding import shard_documents
+from tillpath.llm.simhash import near_duplicates
 
 
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +27,15 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding}
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint and the component that it belongs to."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
