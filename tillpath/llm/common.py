@@ -13,6 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 CELL_ROWS = 2048
 """Rows numbered in one window partition, about; a fixed target, so cells grow with the input."""
 
+CELLS_SUMMED = 4096
+"""Cells whose counts are added up in one window partition, at most."""
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -55,20 +58,34 @@ def numbered(df: DataFrame, group: list[str], cell: str, order: list[Column], na
     the cells' counts, one row for some thousand input rows, meet per group.
     """
     keys = [*group, cell]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)),
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__start"),
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    counts = df.groupBy(*(F.col(k).alias(n) for k, n in names.items())).agg(
+        F.count(F.lit(1)).alias("__rows")
     )
+    starts = _starts(counts, [names[k] for k in group], names[cell])
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     ranked = df.withColumn("__within", within)
-    same = [ranked[k].eqNullSafe(starts[f"__k{i}"]) for i, k in enumerate(keys)]
-    on = same[0]
-    for more in same[1:]:
-        on = on & more
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & ranked[k].eqNullSafe(starts[n])
     return (
         ranked.join(starts, on)
         .withColumn(name, (F.col("__start") + F.col("__within")).cast("long"))
-        .drop("__within", "__start", *(f"__k{i}" for i in range(len(keys))))
+        .drop("__within", "__start", *names.values())
     )
+
+
+def _starts(counts: DataFrame, group: list[str], cell: str) -> DataFrame:
+    """``__start`` for each cell: the rows in earlier cells of its group, summed in two levels."""
+    blocks = counts.withColumn("__block", F.floor(F.col(cell) / CELLS_SUMMED).cast("long"))
+    earlier = Window.partitionBy(*group, "__block").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__near", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    sums = blocks.groupBy(*group, "__block").agg(F.sum("__rows").alias("__sum"))
+    before = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    far = F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__far")
+    sums = sums.select(*(F.col(g).alias(f"{g}b") for g in [*group, "__block"]), far)
+    on = F.lit(True)
+    for g in [*group, "__block"]:
+        on = on & blocks[g].eqNullSafe(sums[f"{g}b"])
+    start = (F.col("__near") + F.col("__far")).alias("__start")
+    return blocks.join(sums, on).select(*group, cell, start)

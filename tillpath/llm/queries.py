@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpath.llm.common import table
+from tillpath.llm.mixing import mix
 from tillpath.llm.sharding import shard_documents
 from tillpath.llm.simhash import near_duplicates
 
@@ -33,9 +34,18 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in a mixture of the sources."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mix(docs).select(
+        "doc_id", "source", "lane", "block", "slot", "release", "deadline", "position"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
