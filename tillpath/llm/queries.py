@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillpath.llm import oracle
 from tillpath.llm.common import table
 from tillpath.llm.mixing import mix
+from tillpath.llm.quality import judge
 from tillpath.llm.sharding import shard_documents
 from tillpath.llm.simhash import near_duplicates
+from tillpath.llm.urls import judge_urls
 
 
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,10 +45,23 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL against the rules."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality signals, votes and verdict."""
+    return judge(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op6_url_rules": op6_url_rules,
+    "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": oracle.MIXING, "op6_url_rules": oracle.URL_RULES}
