@@ -1,7 +1,7 @@
 """Quality by weak supervision: rules vote or abstain, and their accuracies are estimated.
 
-Each rule calls a text good (1) or bad (-1), or abstains (0). A text's quality is hidden; a rule
-that votes is right with an accuracy of its own. Expectation maximisation over the counts of
+Each rule calls a text good (1) or bad (-1), or abstains (0). A text's quality is hidden; each rule
+has its own accuracy on good and on bad texts. Expectation maximisation over the counts of
 vote patterns, of which there are at most 3 ** rules whatever the size of the corpus, estimates the
 accuracies and the share of good texts. A text is kept if its posterior probability of being good
 reaches a threshold, so that one failed rule is outvoted by reliable ones.
@@ -26,12 +26,15 @@ from tillpath.llm.common import kept
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 ROUNDS = 20
-THRESHOLD = 0.5
-SURE = (0.55, 0.99)
-"""Rules are taken to be better than chance, which fixes the sense of the hidden class."""
+THRESHOLD = 0.3
+VOTES = (-1, 0, 1)
+Rates = tuple[tuple[float, ...], tuple[float, ...]]
+START: Rates = ((0.02, 0.18, 0.80), (0.25, 0.10, 0.65))
+"""Starting rates of the votes -1, 0 and 1 about good texts and about bad texts."""
+START_PRIOR = 0.85
+STRENGTH = 0.5
+"""Weight of the starting rates, as a share of the texts."""
 
-SIGNALS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-SHARES = ["n_letters", "n_capitals", "n_stops"]
 
 
 def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -48,6 +51,7 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_letters": count(r"\P{L}+"),
             "n_capitals": count(r"\P{Lu}+"),
             "n_stops": count(r"[^.!?]+"),
+            "n_bare": F.regexp_count("__text", F.lit(r" [^\p{L}\p{N}\s]+(?= |$)")).cast("long"),
         }
     )
     out = out.withColumns(
@@ -90,6 +94,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "lines": (part("n_dup_lines", "n_lines") > 0.3, (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1)),
         "word_size": ((mean < 2.5) | (mean > 15), (mean >= 3) & (mean <= 11)),
         "letters": (part("n_letters", "word_chars") < 0.7, part("n_letters", "word_chars") >= 0.85),
+        "separators": (part("n_bare", "n_words") > 0.15, part("n_bare", "n_words") <= 0.03),
         "capitals": (part("n_capitals", "n_letters") > 0.4, part("n_capitals", "n_letters") <= 0.2),
         "sentences": ((F.col("n_stops") == 0) & (words >= 30), (F.col("n_stops") > 0) & (words >= 30)),
     }
@@ -103,37 +108,47 @@ def vote_columns(names: list[str]) -> dict[str, Column]:
     }
 
 
-def posterior(names: list[str], accuracy: dict[str, float], prior: float) -> Column:
+def posterior(names: list[str], rates: dict[str, Rates], prior: float) -> Column:
     """Probability that a text is good, given its votes."""
     logit = F.lit(math.log(prior / (1 - prior)))
     for n in names:
-        logit = logit + F.col(f"vote_{n}") * math.log(accuracy[n] / (1 - accuracy[n]))
+        good, bad = rates[n]
+        weight = [math.log(g / b) for g, b in zip(good, bad)]
+        logit = logit + F.get(F.array(*map(F.lit, weight)), F.col(f"vote_{n}") + 1)
     return 1 / (1 + F.exp(-logit))
 
 
-def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracy of each rule and share of good texts, by expectation maximisation.
+def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, Rates], float]:
+    """How often each rule says bad, nothing or good about good and about bad texts, and the
+    share of good texts, by expectation maximisation.
 
-    One pseudo-vote at the starting accuracy keeps a rule that never votes where it began.
+    The starting rates count as much as half of the texts. That keeps the two hidden classes in
+    their sense, and a rule that never votes where it began.
     """
     columns = [f"vote_{n}" for n in names]
     patterns = kept(votes.groupBy(*columns).agg(F.count(F.lit(1)).alias("texts")).coalesce(1))
-    accuracy, prior = {n: 0.8 for n in names}, 0.8
-    clip = lambda x, low, high: min(max(x, low), high)
+    rates, prior = {n: START for n in names}, START_PRIOR
     for _ in range(rounds):
-        good = posterior(names, accuracy, prior)
-        sums = [F.sum("texts").alias("all"), F.sum(F.col("texts") * good).alias("good")]
+        good = F.col("texts") * posterior(names, rates, prior)
+        sums = [F.sum("texts").alias("all"), F.sum(good).alias("good")]
         for n in names:
-            vote = F.col(f"vote_{n}")
-            right = F.when(vote > 0, good).when(vote < 0, 1 - good).otherwise(0.0)
-            sums.append(F.sum(F.col("texts") * right).alias(f"right_{n}"))
-            sums.append(F.sum(F.col("texts") * F.abs(vote)).alias(f"said_{n}"))
+            for v in VOTES:
+                said = F.col(f"vote_{n}") == v
+                sums.append(F.sum(F.when(said, good).otherwise(0.0)).alias(f"good_{n}_{v}"))
+                sums.append(F.sum(F.when(said, F.col("texts")).otherwise(0)).alias(f"all_{n}_{v}"))
         got = patterns.agg(*sums).first()
         if not got["all"]:
             break
-        accuracy = {n: clip((got[f"right_{n}"] + 0.8) / (got[f"said_{n}"] + 1), *SURE) for n in names}
-        prior = clip(got["good"] / got["all"], 0.05, 0.95)
-    return accuracy, prior
+        held = STRENGTH * got["all"] + 1
+        for n in names:
+            of_good = [got[f"good_{n}_{v}"] for v in VOTES]
+            of_bad = [got[f"all_{n}_{v}"] - got[f"good_{n}_{v}"] for v in VOTES]
+            rates[n] = tuple(
+                tuple((x + held * p) / (sum(seen) + held) for x, p in zip(seen, start))
+                for seen, start in zip((of_good, of_bad), START)
+            )
+        prior = (got["good"] + held * START_PRIOR) / (got["all"] + held)
+    return rates, prior
 
 
 def judge(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -141,8 +156,8 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     names = list(rules())
     found = with_signals(docs, text).drop(text).withColumns(vote_columns(names))
     found = kept(found)
-    accuracy, prior = fit(found, names)
+    rates, prior = fit(found, names)
     short, repeated = F.col("n_words") < 10, 100 * F.col("n_repeat_words") > 20 * F.col("n_words")
-    found = found.withColumn("p_good", posterior(names, accuracy, prior))
+    found = found.withColumn("p_good", posterior(names, rates, prior))
     found = found.withColumn("base_failed", short | repeated)
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
