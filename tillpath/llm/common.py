@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 """A word is a run of characters other than the six ASCII whitespace characters."""
 
-CELL_ROWS = 2048
+CELL_ROWS = 512
 """Rows numbered in one window partition, about; a fixed target, so cells grow with the input."""
 
 CELLS_SUMMED = 4096
@@ -55,7 +55,7 @@ def numbered(df: DataFrame, group: list[str], cell: str, order: list[Column], na
 
     ``cell`` must never fall along ``order``. Rows are numbered within (group, cell), and a cell
     starts after the rows of the earlier cells of its group, so no task needs a whole group. Only
-    the cells' counts, one row for some thousand input rows, meet per group.
+    the cells' counts, one row for some hundred input rows, meet per group.
     """
     keys = [*group, cell]
     names = {k: f"__k{i}" for i, k in enumerate(keys)}

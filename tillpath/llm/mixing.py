@@ -11,7 +11,7 @@ The schedule repeats after ``period`` slots, so one period is worked out, as one
 left, its slots stay empty and the others go on in their proportions; no row is left out.
 
 Rows of a source are taken in the order of a hash of their id. A source of any size is numbered in
-cells of some thousand rows.
+cells of some hundred rows.
 
 Null sources are a source of their own. Of more than ``lanes`` sources, those with the fewest rows
 share a lane, in which they are mixed in proportion to their size. Repeated rows and ties are placed

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillpath.llm import oracle
 from tillpath.llm.common import table
+from tillpath.llm.language import identify, train
 from tillpath.llm.mixing import mix
 from tillpath.llm.quality import judge
 from tillpath.llm.sharding import shard_documents
@@ -45,6 +46,14 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language from its text, its declared language and its source."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    languages, model = train(docs, "text", "lang", "doc_id")
+    found = identify(docs, languages, model, declared="lang", host="source")
+    return found.withColumn("kept", ~F.col("rejected"))
+
+
 def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's URL against the rules."""
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op5_language": op5_language,
     "op6_url_rules": op6_url_rules,
     "op9_quality": op9_quality,
 }
