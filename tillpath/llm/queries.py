@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillpath.llm import oracle
 from tillpath.llm.common import table
 from tillpath.llm.language import identify, train
+from tillpath.llm.licences import scan
 from tillpath.llm.mixing import mix
 from tillpath.llm.quality import judge
 from tillpath.llm.sharding import shard_documents
@@ -60,6 +61,11 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's licence notices."""
+    return scan(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality signals, votes and verdict."""
     return judge(table(spark, folder, "documents").select("doc_id", "text"))
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_language": op5_language,
     "op6_url_rules": op6_url_rules,
+    "op7_licences": op7_licences,
     "op9_quality": op9_quality,
 }
 
