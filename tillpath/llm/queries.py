@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillpath.llm import oracle
 from tillpath.llm.common import table
+from tillpath.llm.decontamination import find
 from tillpath.llm.language import identify, train
 from tillpath.llm.licences import scan
 from tillpath.llm.mixing import mix
@@ -66,6 +67,12 @@ def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item that some document holds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return find(docs, table(spark, folder, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality signals, votes and verdict."""
     return judge(table(spark, folder, "documents").select("doc_id", "text"))
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_url_rules": op6_url_rules,
     "op7_licences": op7_licences,
+    "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
 }
 
