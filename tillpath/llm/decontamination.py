@@ -39,7 +39,6 @@ SAMPLED = 2
 AGREEMENT = 0.5
 RECALL = 0.99
 MOST_BITS = 1 << 26
-PIECE = 8
 WALKED = 4096
 """Windows walked at a time."""
 
@@ -157,10 +156,15 @@ def item_hashes(items: DataFrame, repeats: int) -> DataFrame:
 
 
 def dense_enough(lengths: list[int], share: float) -> int:
-    """Word pairs of items that some ``PIECE`` pairs in a row must have in any window worth a look."""
+    """How many items' word pairs some stretch of a window has, if the window is worth a look.
+
+    A stretch is as many pairs in a row as the shortest item has. Were every stretch of a window to
+    have fewer, the whole window would have too few.
+    """
+    piece = lengths[0] - 1
     need = {n: max(1, n - 1 - 2 * allowed(n, share)) for n in lengths}
-    most = lambda n, t: (t - 1) * ((n - 1) // PIECE) + min((n - 1) % PIECE, t - 1)
-    return max([t for t in range(1, PIECE + 1) if all(most(n, t) < need[n] for n in lengths)], default=1)
+    most = lambda n, t: (t - 1) * ((n - 1) // piece) + min((n - 1) % piece, t - 1)
+    return max([t for t in range(1, piece + 1) if all(most(n, t) < need[n] for n in lengths)], default=1)
 
 
 def find(
@@ -186,16 +190,16 @@ def find(
         for c in ("plain", "pairs", "keys")
     }
     needed = {n: max(1, n - 1 - 2 * allowed(n, edits)) for n in lengths}
-    dense = dense_enough(lengths, edits)
+    dense = dense_enough(lengths, edits) if lengths else 0
 
     def likely(words: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(length, hashes, starts) of the windows with enough of the items' word pairs."""
         if not lengths or len(words) < lengths[0]:
             return []
         hashes = hashed(words)
-        piece = min(PIECE, len(words) - 1)
+        piece = lengths[0] - 1
         seen = np.cumsum(np.pad(in_table(tables["plain"], pairs_of(hashes)).astype(np.int64), (1, 0)))
-        if (seen[piece:] - seen[:-piece]).max() < min(dense, piece):
+        if (seen[piece:] - seen[:-piece]).max() < dense:
             return []
         out = []
         for n in lengths:
