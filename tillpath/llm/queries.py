@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillpath.llm import oracle
 from tillpath.llm.common import table
 from tillpath.llm.decontamination import find
+from tillpath.llm.html import extract_text
 from tillpath.llm.language import identify, train
 from tillpath.llm.licences import scan
 from tillpath.llm.mixing import mix
@@ -48,6 +49,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's visible text."""
+    return extract_text(table(spark, folder, "pages").select("page_id", "html"))
+
+
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's language from its text, its declared language and its source."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_html_text": op4_html_text,
     "op5_language": op5_language,
     "op6_url_rules": op6_url_rules,
     "op7_licences": op7_licences,
