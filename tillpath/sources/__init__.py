@@ -2,7 +2,13 @@
 
 from tillpath.sources.csv_files import read_csv_table, write_csv_table
 from tillpath.sources.derived import raw_events, raw_items
-from tillpath.sources.store import read_table, scratch_path, write_master, write_table
+from tillpath.sources.store import (
+    read_table,
+    scratch_path,
+    shared_folder,
+    write_master,
+    write_table,
+)
 
 __all__ = [
     "raw_events",
@@ -10,6 +16,7 @@ __all__ = [
     "read_csv_table",
     "read_table",
     "scratch_path",
+    "shared_folder",
     "write_csv_table",
     "write_master",
     "write_table",

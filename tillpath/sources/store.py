@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,15 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from tillpath.functions import month_label
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as on a single machine, a local folder stands in.
+    Where that is unset, a session on a single machine gets a temporary folder of its own, the same one
+    each time. On a cluster this raises, as executors would write to their own disks.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="tillpath-")
-    return f"{shared.rstrip('/')}/tillpath-{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tillpath-")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/tillpath-{name}-{uuid.uuid4().hex}"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
