@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillpath.sources import scratch_path, shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 """A word is a run of characters other than the six ASCII whitespace characters."""
 
@@ -23,23 +23,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the cluster's shared folder, so that a lost executor costs no rerun.
-
-    The folder is the one in ``spark.checkpoint.dir``. Where that is unset, a single-machine session
-    gets a temporary folder; on a cluster this raises, as executors don't share such a folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df`` checkpointed to the cluster's shared folder, so that a lost executor costs no rerun."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or "cluster" in context.master:
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tillpath-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the cluster's shared folder."""
+    return scratch_path(spark, name)
+
+
 def bits_for(rows: int, cell_rows: int = CELL_ROWS) -> int:
     """Leading hash bits that cut ``rows`` rows into cells of about ``cell_rows``."""
     return max(0, (max(rows, 1) // cell_rows).bit_length())

@@ -240,3 +240,24 @@ def identify(
             "rejected": ~letters | unlike | (F.array_max("__fused") < min_posterior),
         }
     ).drop(*(f"__{c}" for c in "declared host grams scores text post of prior label fused".split()))
+
+
+def identified(
+    docs: DataFrame,
+    text: str = "text",
+    declared: str = "lang",
+    host: str = "source",
+    row_id: str = "doc_id",
+) -> DataFrame:
+    """``docs`` without the rows that are rejected, the model being trained on their declared languages.
+
+    Rows equal in id and text share a decision: they go only if each of them is rejected.
+    """
+    languages, model = train(docs, text, declared, row_id)
+    slim = docs.select(
+        F.col(row_id).alias("__id"), F.xxhash64(text).alias("__hash"), text, declared, host
+    )
+    found = identify(slim, languages, model, text, declared, host)
+    gone = found.groupBy("__id", "__hash").agg(F.bool_and("rejected").alias("__gone")).where("__gone")
+    same = docs[row_id].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text]) == gone["__hash"])
+    return docs.join(gone, same, "left_anti")

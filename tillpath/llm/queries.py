@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tillpath.llm import oracle
 from tillpath.llm.common import table
 from tillpath.llm.decontamination import find
@@ -15,6 +16,7 @@ from tillpath.llm.language import identify, train
 from tillpath.llm.licences import scan
 from tillpath.llm.mixing import mix
 from tillpath.llm.quality import judge
+from tillpath.llm.secrets import judge_findings, weak_labels, with_features
 from tillpath.llm.sharding import shard_documents
 from tillpath.llm.simhash import near_duplicates
 from tillpath.llm.urls import judge_urls
@@ -84,6 +86,19 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate for a secret in the documents, with the forest's verdict."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    found = with_features(docs, path="source")
+    judged = judge_findings(found, weak_labels(found))
+    return judged.select("doc_id", "position", "candidate", "before", "after", "covered", "p_secret", "is_secret")
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
@@ -94,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licences": op7_licences,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": oracle.MIXING, "op6_url_rules": oracle.URL_RULES}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import WORD, bits_for, leading_bits, numbered
+from tillpath.llm.common import CELL_ROWS, WORD, bits_for, leading_bits, numbered
 
 SIZES = ("bytes", "tokens", "rows")
 BUNDLES_PER_SHARD = 512
@@ -120,7 +120,7 @@ def shard_documents(
         rows = rows.withColumn("__cell", leading_bits(F.col("__order"), bits_for(total[2] // shards)))
         by = [F.col("__order").bitwiseXOR(F.lit(-(2**63))), F.col(row_id).asc(), F.col("__key").asc()]
     else:
-        width = shards * 2048
+        width = shards * CELL_ROWS
         rows = rows.withColumn("__order", order)
         rows = rows.withColumn("__cell", F.floor(F.col("__order") / width))
         by = [F.col("__order").asc(), F.col(row_id).asc(), F.col("__key").asc()]
