@@ -8,8 +8,8 @@ distance becomes Hamming distance, and a key of ``SAMPLED`` positions of the wal
 probability that ``AGREEMENT`` bounds from below at the edit limit. ``repeats`` independent walks raise
 that to the target recall. Windows and items that share a key are compared by their exact edit distance.
 
-Most windows need no walk: one within e edits of an item of n words shares at least n - 1 - 2e word pairs
-with it. Word pairs of the items of each length are a bit table of bounded size, as are the items' keys, so
+Most windows need no walk: one within e edits of an item shares all but 2e of the item's distinct word
+pairs with it. Word pairs of the items of each length are a bit table of bounded size, as are the items' keys, so
 executors get a few megabytes whatever the benchmark's size; a table only prunes, and a full
 one would cost time and not results. Windows with a key in the table go to the join.
 
@@ -43,6 +43,7 @@ WALKED = 4096
 """Windows walked at a time."""
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def allowed(n: int, share: float) -> int:
@@ -110,12 +111,30 @@ def edits_within(a: list[str], b: list[str], limit: int) -> int | None:
     return score if score <= limit else None
 
 
+def first_windows(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Of windows with the same words, the first one."""
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes) - 1, MIX)])
+    sums = np.cumsum(np.r_[np.uint64(0), mixed(hashes) * powers])
+    back = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes) - 1, UNMIX)])
+    content = (sums[starts + n] - sums[starts]) * back[starts]
+    return np.sort(starts[np.unique(content, return_index=True)[1]])
+
+
+def earlier_same(values: np.ndarray) -> np.ndarray:
+    """For each value, where it stood last before, or -1."""
+    order = np.argsort(values, kind="stable")
+    same = values[order[1:]] == values[order[:-1]]
+    out = np.full(len(values), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
 def bit_table(rows: DataFrame, hashes: str, count: int) -> np.ndarray:
     """A packed table with a bit for each value of the long column ``hashes``.
 
-    Sixteen bits for each of ``count`` values, up to ``MOST_BITS``; merged by or-ing 64-bit words.
+    It has 128 bits for each of ``count`` values, up to ``MOST_BITS``; merged by or-ing 64-bit words.
     """
-    bits = min(MOST_BITS, 1 << max(16, (16 * max(count, 1) - 1).bit_length()))
+    bits = min(MOST_BITS, 1 << max(16, (128 * max(count, 1) - 1).bit_length()))
     slot = F.col(hashes).bitwiseAND(F.lit(bits - 1))
     word, place = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
     placed = rows.select(word.alias("w"), place.alias("p"))
@@ -155,16 +174,15 @@ def item_hashes(items: DataFrame, repeats: int) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, words string, n bigint, {lists}")
 
 
-def dense_enough(lengths: list[int], share: float) -> int:
+def dense_enough(need: dict[int, int]) -> int:
     """How many items' word pairs some stretch of a window has, if the window is worth a look.
 
     A stretch is as many pairs in a row as the shortest item has. Were every stretch of a window to
     have fewer, the whole window would have too few.
     """
-    piece = lengths[0] - 1
-    need = {n: max(1, n - 1 - 2 * allowed(n, share)) for n in lengths}
+    piece = min(need) - 1
     most = lambda n, t: (t - 1) * ((n - 1) // piece) + min((n - 1) % piece, t - 1)
-    return max([t for t in range(1, piece + 1) if all(most(n, t) < need[n] for n in lengths)], default=1)
+    return max([t for t in range(1, piece + 1) if all(most(n, t) < need[n] for n in need)], default=1)
 
 
 def find(
@@ -180,17 +198,18 @@ def find(
     """
     repeats = repeats_for(recall)
     known = item_hashes(items, repeats)
-    shape = known.agg(
-        F.collect_set("n").alias("lengths"), F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("items")
-    ).first()
-    lengths = sorted(shape["lengths"])
+    sizes = known.groupBy("n").agg(
+        F.count(F.lit(1)).alias("items"), F.min(F.size(F.array_distinct("plain"))).alias("distinct")
+    ).collect()
+    lengths = sorted(r["n"] for r in sizes)
+    items_in, pairs_in = sum(r["items"] for r in sizes), sum(r["items"] * r["n"] for r in sizes)
+    needed = {r["n"]: max(1, r["distinct"] - 2 * allowed(r["n"], edits)) for r in sizes}
+    dense = dense_enough(needed) if lengths else 0
     rest = [f.name for f in docs.schema.fields if f.name != text]
     tables = {
-        c: bit_table(known.select(F.explode(c).alias("h")), "h", (shape["pairs"] or 0) if c != "keys" else shape["items"] * repeats)
+        c: bit_table(known.select(F.explode(c).alias("h")), "h", items_in * repeats if c == "keys" else pairs_in)
         for c in ("plain", "pairs", "keys")
     }
-    needed = {n: max(1, n - 1 - 2 * allowed(n, edits)) for n in lengths}
-    dense = dense_enough(lengths, edits) if lengths else 0
 
     def likely(words: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(length, hashes, starts) of the windows with enough of the items' word pairs."""
@@ -198,15 +217,28 @@ def find(
             return []
         hashes = hashed(words)
         piece = lengths[0] - 1
-        seen = np.cumsum(np.pad(in_table(tables["plain"], pairs_of(hashes)).astype(np.int64), (1, 0)))
-        if (seen[piece:] - seen[:-piece]).max() < dense:
+        plain = np.zeros(len(hashes), np.int64)
+        np.cumsum(in_table(tables["plain"], pairs_of(hashes)), out=plain[1:])
+        if (plain[piece:] - plain[:-piece]).max() < dense:
             return []
         out = []
         for n in lengths:
             if n > len(words):
                 break
-            seen = np.cumsum(np.pad(in_table(tables["pairs"], pairs_of(hashes, n)).astype(np.int64), (1, 0)))
+            if (plain[n - 1 :] - plain[: len(plain) - n + 1]).max() < needed[n]:
+                continue
+            pairs = pairs_of(hashes, n)
+            hit = in_table(tables["pairs"], pairs)
+            seen = np.cumsum(np.pad(hit.astype(np.int64), (1, 0)))
             starts = np.flatnonzero(seen[n - 1 :] - seen[: len(seen) - n + 1] >= needed[n])
+            if len(starts):
+                starts = first_windows(hashes, starts, n)
+                before = np.where(hit, earlier_same(pairs), len(pairs))
+                inside = np.lib.stride_tricks.sliding_window_view(before, n - 1)
+                fresh = np.concatenate(
+                    [(inside[s] < s[:, None]).sum(axis=1) for s in np.split(starts, range(WALKED, len(starts), WALKED))]
+                )
+                starts = starts[fresh >= needed[n]]
             if len(starts):
                 out.append((n, hashes, starts))
         return out
