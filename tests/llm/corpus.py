@@ -1,0 +1,71 @@
+"""Small made-up tables with the awkward cases."""
+
+from __future__ import annotations
+
+import random
+
+SYLLABLES = {
+    "en": "the of and ing tion er ly with that was for ent ould ight".split(),
+    "de": "der die und sch ung keit ein ich auf mit nicht zu ge ver".split(),
+    "fr": "le la les des que eau tion oi ment pour dans est aux re".split(),
+}
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+#: Columns named like what operators add or use inside.
+CLASHING = [
+    "size", "shard", "slot", "tokens", "law", "fp", "cell", "first", "language", "posterior", "kept",
+    "position", "block", "lane", "rule", "verdict", "prefix", "digest", "title", "labels", "score",
+    "spans", "edits", "start", "item_id", "n_words", "vote_length", "label", "covered", "u", "v", "root",
+]
+
+
+def prose(rng: random.Random, lang: str, words: int) -> str:
+    made = ["".join(rng.choices(SYLLABLES[lang], k=rng.randint(1, 3))) for _ in range(words)]
+    return " ".join(made).capitalize() + "."
+
+
+def rows(seed: int = 1, count: int = 60) -> list[tuple]:
+    """Prose in three languages with copies, near copies and a source that holds a third."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(count):
+        lang = rng.choice(list(SYLLABLES))
+        text = prose(rng, lang, rng.choice([3, 12, 40, 120, 400]))
+        if i % 7 == 3:
+            text = out[rng.randrange(len(out))][1]
+        source = "big" if rng.random() < 0.34 else f"s{rng.randrange(5)}"
+        out.append((i, text, lang, source, len(text)))
+    return out
+
+
+def awkward(seed: int = 2) -> list[tuple]:
+    """Nulls in every column, empty and very long texts, repeated rows and ties."""
+    rng = random.Random(seed)
+    long = prose(rng, "en", 30_000)
+    plain = prose(rng, "de", 30)
+    return [
+        *rows(seed, 30),
+        (None, plain, "de", "s1", 5),
+        (None, plain, "de", "s1", 5),
+        (None, None, None, None, None),
+        (1000, None, "en", "s1", 0),
+        (1001, "", "en", None, 0),
+        (1001, "", "en", None, 0),
+        (1002, " \t\n\x0b\f\r ", None, "s2", 7),
+        (1003, long, "en", "s2", len(long)),
+        (1004, "#" * 500, "en", "s2", 500),
+        (1005, "x" * 200_000, "en", "", 200_000),
+        (1006, "日本語のテキスト 🙂 ñandú été", "xx-YY", "s3", 20),
+        (1007, plain, "de", "s1", 5),
+        (1007, plain, "de", "s1", 5),
+        (1007, plain + " Und mehr.", "de", "s1", 5),
+    ]
+
+
+def frame(spark, data, schema=SCHEMA, clashing=False):
+    out = spark.createDataFrame(data, schema)
+    if clashing:
+        from pyspark.sql import functions as F
+
+        out = out.withColumns({c: F.lit("given") for c in CLASHING if c not in out.columns})
+    return out

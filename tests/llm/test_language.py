@@ -1,0 +1,82 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.corpus import SCHEMA, awkward, frame, prose
+from tillpath.llm import language as L
+
+
+def labelled(seed=3, count=300):
+    rng = random.Random(seed)
+    langs = [rng.choice(["en", "de", "fr"]) for _ in range(count)]
+    return [(i, prose(rng, x, rng.choice([4, 30, 200])), x, f"{x}.example.{x}", 1) for i, x in enumerate(langs)]
+
+
+def test_chunks_give_the_grams_of_each_row(monkeypatch):
+    texts = ["Abc déf", None, "", "x", "ab", "abc" * 50, "a1b!c", "zz top"]
+    whole = {}
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(L, "CHUNK", size)
+        seen = {}
+        for at, starts, grams in L.gram_chunks(pa.array(["skip", *texts]).slice(1)):
+            for row, low, high in zip(at, starts, [*starts[1:], len(grams)]):
+                seen.setdefault(int(row), []).extend(g for g in grams[low:high].tolist() if g < L.GRAMS)
+        whole[size] = seen
+    assert {k: v for k, v in whole[7].items() if v} == {k: v for k, v in whole[1 << 20].items() if v}
+    assert len(whole[7][5]) == 150 and len(whole[7][3]) == 1
+
+
+def test_held_out_accuracy(spark):
+    data = labelled()
+    docs = frame(spark, data)
+    names, model = L.train(docs.where("doc_id < 150"), "text", "lang", "doc_id")
+    assert names == ["de", "en", "fr"]
+    found = L.identify(docs.where("doc_id >= 150"), names, model).collect()
+    right = {d[0]: d[2] for d in data}
+    assert np.mean([r["language"] == right[r["doc_id"]] for r in found]) > 0.97
+
+
+def test_host_and_declaration_decide_what_text_leaves_open(spark):
+    data = labelled()
+    names, model = L.train(frame(spark, data), "text", "lang", "doc_id")
+    flat = np.zeros_like(model)
+    # Without text evidence the corpus's counts are even, so the declaration alone would say nothing.
+    docs = frame(spark, data)
+    blind = L.identify(docs, names, flat, declared="lang", host="source")
+    assert blind.agg(F.max("posterior")).first()[0] < 0.6
+    seen = L.identify(docs, names, model, declared="lang", host="source").collect()
+    assert all(r["posterior"] > 0.9 and not r["rejected"] for r in seen)
+    short = frame(spark, [*data, (900, "x", "de", "new.example.de", 1), (901, "x", None, "other.de", 1)])
+    found = {r["doc_id"]: r for r in L.identify(short, names, model, declared="lang", host="source").collect()}
+    assert found[900]["language"] == "de" and found[901]["language"] == "de"
+
+
+def test_host_priors_fall_back_level_by_level(spark):
+    rows = [("a.x.de", [1.0, 0.0])] * 100 + [("b.y.com", [0.0, 1.0])] * 100 + [("new.x.de", [0.5, 0.5])]
+    texts = spark.createDataFrame(rows, "__host string, __post array<double>")
+    prior = {r["__of"]: r["__prior"] for r in L.host_priors(texts, 2).collect()}
+    assert prior["a.x.de"][0] > prior["new.x.de"][0] > 0.7 > 0.3 > prior["b.y.com"][0]
+    assert all(abs(sum(p) - 1) < 1e-9 for p in prior.values())
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_awkward_rows(spark, clashing):
+    data = [*labelled(count=120), *awkward()]
+    docs = frame(spark, data, clashing=clashing)
+    names, model = L.train(docs, "text", "lang", "doc_id")
+    found = L.identify(docs, names, model, declared="lang", host="source").collect()
+    assert len(found) == len(data)
+    assert {r["doc_id"] for r in found if r["language"] == "und"} >= {1000, 1001, 1002, 1004}
+    kept = L.identified(docs)
+    assert kept.columns == docs.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert set(range(30)) <= ids and not ids & {1000, 1001, 1002, 1004}
+
+
+def test_nothing_labelled_and_empty(spark):
+    docs = frame(spark, [(1, "some text", None, None, 1)])
+    assert [r["rejected"] for r in L.identify(docs, *L.train(docs, "text", "lang", "doc_id")).collect()] == [True]
+    assert L.identified(spark.createDataFrame([], SCHEMA)).count() == 0

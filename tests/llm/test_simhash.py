@@ -1,0 +1,115 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from tests.llm.corpus import SCHEMA, awkward, frame, rows
+from tillpath.llm.components import components
+from tillpath.llm.simhash import cells_of, deduplicated, fingerprint, forest, links, near_duplicates
+
+
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute(data, radius=3):
+    """Each row's fingerprint and least id of its component, and the least id of each component."""
+    prints = [plain_fingerprint(r[1]) for r in data]
+    root = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    ids = {}
+    for i, r in enumerate(root):
+        known = [x for x in (ids.get(r), data[i][0]) if x is not None]
+        ids[r] = min(known) if known else None
+    return prints, [ids[r] for r in root], list(ids.values())
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "one two", "A b c", "x " * 5000, "é Ü ß Ö ñ"])
+def test_fingerprint(text):
+    assert fingerprint(text) == plain_fingerprint(text)
+
+
+def test_fingerprint_of_a_text_beyond_a_block():
+    text = " ".join(str(i * i) for i in range(70_000))
+    assert fingerprint(text) == plain_fingerprint(text)
+
+
+def test_cells_lose_no_pair_within_three_bits():
+    rng = random.Random(4)
+    for _ in range(2000):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randint(1, 3)):
+            b ^= 1 << bit
+        cells = [set(cells_of(np.array([x], np.uint64))[0].tolist()) for x in (a, b)]
+        assert cells[0] & cells[1]
+
+
+def test_forest_connects_what_is_linked():
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    members = {base}
+    while len(members) < 300:
+        members.add(rng.choice(sorted(members)) ^ (1 << rng.randrange(64)))
+    found = forest(np.array(sorted(members), np.uint64))
+    assert len(found) == len(members) - 1
+    assert all((int(a) ^ int(b)).bit_count() <= 3 for a, b in found)
+
+
+def test_links_of_dense_and_sparse_fingerprints(spark):
+    rng = random.Random(6)
+    prints = {rng.getrandbits(64) for _ in range(300)}
+    for _ in range(500):
+        x = rng.choice(sorted(prints))
+        for bit in rng.sample(range(64), rng.randint(1, 4)):
+            x ^= 1 << bit
+        prints.add(x)
+    signed = [(x - 2**64 if x >= 2**63 else x,) for x in prints]
+    df = spark.createDataFrame(signed * 2, "fp long")
+    found = {r["node"]: r["root"] for r in components(links(df)).collect()}
+    groups = {x: x for (x,) in signed}
+    values = [x for (x,) in signed]
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 3 and groups[a] != groups[b]:
+                low, high = sorted((groups[a], groups[b]))
+                groups = {k: low if v == high else v for k, v in groups.items()}
+    assert {x: found.get(x, x) for x in values} == groups
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+@pytest.mark.parametrize("data", [awkward(), rows(7, 120)])
+def test_components_equal_brute_force(spark, data, clashing):
+    prints, expected, _ = brute(data)
+    found = near_duplicates(frame(spark, data, clashing=clashing)).collect()
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fingerprint"], r["component_id"]) for r in found)
+    want = sorted((d[0] is None, d[0] or 0, f"{p:016x}", c) for d, p, c in zip(data, prints, expected))
+    assert got == want
+
+
+def test_one_row_of_each_component_stays(spark):
+    data = awkward()
+    _, _, expected = brute(data)
+    kept = deduplicated(frame(spark, data, clashing=True))
+    assert kept.columns == frame(spark, data, clashing=True).columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(ids, key=str) == sorted(expected, key=str)
+
+
+def test_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(500)], "u long, v long")
+    found = components(edges).collect()
+    assert len(found) == 500 and {r["root"] for r in found} == {0}
+
+
+def test_empty_table(spark):
+    assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0

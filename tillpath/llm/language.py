@@ -60,25 +60,24 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def gram_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, starts, grams): hashed trigrams of a chunk, and where each row's begin in it.
 
-    Positions that aren't in the middle of a row's letters hold GRAMS.
+    There is one for each byte, with its neighbours; a row's ends count as spaces. Bytes that aren't
+    letters hold GRAMS.
     """
     data, offsets = _bytes_of(column)
     for low in range(0, len(data), CHUNK):
         high = min(low + CHUNK, len(data))
-        letters = FOLD[data[low : min(high + 2, len(data))]]
-        letters = np.pad(letters, (0, high - low + 2 - len(letters)), constant_values=32)
-        first, middle, last = letters[:-2], letters[1:-1], letters[2:]
-        grams = ((first << 16 | middle << 8 | last) * np.uint32(2654435761)) >> np.uint32(18)
-        grams[middle == 32] = GRAMS
+        letters = FOLD[data[max(low - 1, 0) : high + 1]]
+        letters = np.pad(letters, (int(low == 0), int(high == len(data))), constant_values=32)
+        first, middle, last = letters[:-2].copy(), letters[1:-1], letters[2:].copy()
         a = int(np.searchsorted(offsets, low, "right")) - 1
         b = int(np.searchsorted(offsets, high, "left"))
-        rows = np.arange(a, b)
-        begins, ends = np.maximum(offsets[a:b], low), np.minimum(offsets[a + 1 : b + 1], high)
-        some = ends > begins
-        rows, begins, ends = rows[some], begins[some] - low, ends[some] - low
-        over = np.concatenate([ends - 1, ends - 2])
-        grams[over[(over >= 0) & (np.concatenate([offsets[rows + 1]] * 2) <= high)]] = GRAMS
-        yield rows, begins, grams
+        rows = a + np.flatnonzero(offsets[a + 1 : b + 1] > offsets[a:b])
+        begins, ends = offsets[rows], offsets[rows + 1]
+        first[begins[begins >= low] - low] = 32
+        last[ends[ends <= high] - 1 - low] = 32
+        grams = ((first << 16 | middle << 8 | last) * np.uint32(2654435761)) >> np.uint32(18)
+        grams[middle == 32] = GRAMS
+        yield rows, np.maximum(begins, low) - low, grams
 
 
 def train(
