@@ -16,11 +16,10 @@ as the operators' modules say. Repeated rows of a document count as near duplica
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import scratch, table
+from tillpath.llm.common import scratch, table, with_place
 from tillpath.llm.decontamination import decontaminated
 from tillpath.llm.language import identified
 from tillpath.llm.mixing import mix
@@ -46,27 +45,28 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    placed = mix(docs.select("doc_id", "source", whole))
-    return placed.orderBy("position").select("__row.*")
+    """All documents, in the order of the mixture.
+
+    Places are worked out on ids and sources alone; texts move once to meet them and once to be sorted.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    read = with_place(docs)
+    if read is None:
+        whole = docs.select("doc_id", "source", F.struct(*columns).alias("__whole"))
+        return mix(whole).orderBy("position").select("__whole.*")
+    placed = mix(read.select("doc_id", "source", "__file", "__row"))
+    placed = placed.select("__file", "__row", F.col("position").alias("__position"))
+    return read.join(placed, ["__file", "__row"]).orderBy("__position").select(*columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their size, shard and slot."""
-    ordered, order = in_read_order(docs)
-    return shard_documents(ordered, SHARDS, order=order).drop("__at")
-
-
-def in_read_order(docs: DataFrame) -> tuple[DataFrame, Column | None]:
-    """``docs`` with each row's place in the files it is read from; none if not read from files."""
-    try:
-        part = F.regexp_extract("_metadata.file_name", r"part-(\d{1,9})", 1)
-        place = F.coalesce(F.expr("try_cast(__part AS bigint)"), F.lit(0)) * 2**40 + F.col("__row_index")
-        read = docs.select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__row_index"))
-    except AnalysisException:
-        return docs, None
-    return read.withColumn("__at", place).drop("__part", "__row_index"), F.col("__at")
+    """All documents with their size, shard and slot, in the order in which they were written."""
+    read = with_place(docs)
+    if read is None:
+        return shard_documents(docs, SHARDS)
+    part = F.regexp_extract("__file", r"part-(\d{1,9})[^/]*$", 1)
+    order = F.coalesce(F.try_to_number(part, F.lit("999999999")).cast("long"), F.lit(0)) * 2**32 + F.col("__row")
+    return shard_documents(read, SHARDS, order=order).drop("__file", "__row")
 
 
 STAGES = [

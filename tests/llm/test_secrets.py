@@ -1,0 +1,69 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.corpus import SCHEMA, awkward, frame, prose, rows
+from tillpath.llm import secrets as S
+
+
+def texts(seed=3, count=60):
+    rng = random.Random(seed)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    out = []
+    for i in range(count):
+        a, b = prose(rng, "en", 20), prose(rng, "en", 20)
+        kinds = [
+            f'token = "{hexes(40)}"', f"password: {hexes(24)}", f"card {rng.randrange(10**15, 10**16)}",
+            f"see http://example.org/{hexes(20)}", f"commit {hexes(40)} by",
+        ]
+        out.append((i, f"{a} {kinds[i % 5]} {b}", "en", "src/config.py" if i % 2 else "tests/x.py", 1))
+    return out
+
+
+def test_candidates_equal_a_plain_search(spark):
+    special = ["a1" * 8, "x=" + "1" * 16 + ";y=" + "2b" * 9 + "==", "letters" * 5, "1" * 15, "\n " + "9z" * 8, "é" + "7q" * 8]
+    data = [*texts(), *((100 + i, t, "en", "s", 1) for i, t in enumerate(special))]
+    found = S.candidates(frame(spark, data, clashing=True), path="source").collect()
+    pattern = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
+    want = sorted(
+        (d[0], i, c) for d in data for i, w in enumerate(d[1].split()) for c in pattern.findall(w)
+    )
+    assert sorted((r["doc_id"], r["position"], r["candidate"]) for r in found) == want
+    lead = {r["doc_id"]: (r["before"].split()[-1], r["lead"]) for r in found if r["doc_id"] < 2}
+    assert lead[0] == ("=", '"') and lead[1] == ("password:", "")
+
+
+def test_coverage_by_common_words(spark):
+    data = [(i, "common words here", "en", "s", 1) for i in range(6)]
+    data.append((9, "rare commonwords12345678 common-words-1234", "en", "s", 1))
+    docs = frame(spark, data)
+    found = S.with_features(docs).collect()
+    covered = {r["candidate"]: r["f_covered"] for r in found}
+    assert covered["common-words-1234"] == pytest.approx(11 / 17)
+    assert covered["commonwords12345678"] == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    found = S.with_features(frame(spark, texts(count=400)), path="source")
+    truth = F.when(F.col("doc_id") % 5 < 2, 1.0).otherwise(0.0)
+    judged = S.judge_findings(
+        found.where("doc_id >= 200"), found.where("doc_id < 200").withColumn("label", truth)
+    ).collect()
+    assert all(r["is_secret"] == (r["doc_id"] % 5 < 2) for r in judged)
+
+
+def test_nothing_to_learn(spark):
+    found = S.with_features(frame(spark, texts(count=10)))
+    assert {r["p_secret"] for r in S.judge_findings(found, found.withColumn("label", F.lit(1.0))).collect()} == {1.0}
+    unlabelled = found.withColumn("label", F.lit(None).cast("double"))
+    assert {r["p_secret"] for r in S.judge_findings(found, unlabelled).collect()} == {0.5}
+
+
+def test_awkward_rows_and_empty(spark):
+    for data in (awkward(), []):
+        docs = frame(spark, data, clashing=True) if data else spark.createDataFrame([], SCHEMA)
+        found = S.with_features(docs, path="source")
+        assert S.judge_findings(found, S.weak_labels(found)).count() == 0
+    assert S.word_counts(frame(spark, rows(2, 40))).count() > 0

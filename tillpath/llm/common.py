@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_place(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``__file`` and ``__row``, where each row stands in the files it is read from.
+
+    None if ``docs`` isn't read from files. The two are the same whenever the files are read.
+    """
+    try:
+        return docs.select(
+            "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+        )
+    except AnalysisException:
+        return None
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the cluster's shared folder."""
     return scratch_path(spark, name)
@@ -48,7 +62,7 @@ def leading_bits(hashed: Column, bits: int) -> Column:
 def numbered(df: DataFrame, group: list[str], cell: str, order: list[Column], name: str) -> DataFrame:
     """Number the rows of each group from 0, without gaps, as column ``name``.
 
-    ``cell`` must never fall along ``order``. Rows are numbered within (group, cell), and a cell
+    ``cell`` must never fall along ``order``; it and the group's columns must not be null. Rows are numbered within (group, cell), and a cell
     starts after the rows of the earlier cells of its group, so no task needs a whole group. Only
     the cells' counts, one row for some hundred input rows, meet per group.
     """
@@ -62,7 +76,7 @@ def numbered(df: DataFrame, group: list[str], cell: str, order: list[Column], na
     ranked = df.withColumn("__within", within)
     on = F.lit(True)
     for k, n in names.items():
-        on = on & ranked[k].eqNullSafe(starts[n])
+        on = on & (ranked[k] == starts[n])
     return (
         ranked.join(starts, on)
         .withColumn(name, (F.col("__start") + F.col("__within")).cast("long"))
@@ -81,6 +95,6 @@ def _starts(counts: DataFrame, group: list[str], cell: str) -> DataFrame:
     sums = sums.select(*(F.col(g).alias(f"{g}b") for g in [*group, "__block"]), far)
     on = F.lit(True)
     for g in [*group, "__block"]:
-        on = on & blocks[g].eqNullSafe(sums[f"{g}b"])
+        on = on & (blocks[g] == sums[f"{g}b"])
     start = (F.col("__near") + F.col("__far")).alias("__start")
     return blocks.join(sums, on).select(*group, cell, start)
