@@ -20,15 +20,16 @@ named AS (
                WHEN 'signup' THEN 'session_start'
                WHEN 'view' THEN 'view_item'
                WHEN 'click' THEN CASE WHEN k < 60 THEN 'add_to_cart' ELSE 'begin_checkout' END
-               WHEN 'error' THEN CASE WHEN k < 50 THEN 'add_payment_info' END
-               WHEN 'purchase' THEN 'purchase'
+               WHEN 'error' THEN 'add_payment_info'
+               ELSE event_type
            END AS stage_event
     FROM parsed
 ),
 all_events AS (
     SELECT event_id,
            strftime(day, '%Y%m%d') AS event_date,
-           coalesce(stage_event, event_type) AS event_name,
+           CASE WHEN event_type = 'error' AND coalesce(k, 100) >= 50 THEN 'error'
+                ELSE stage_event END AS event_name,
            stage_event,
            user_id * 100 + CASE WHEN user_id % 3 = 0 THEN 0 ELSE day(ts) END AS user_pseudo_id,
            CAST(strftime(day, '%Y%m%d') AS BIGINT) * 1000000 + user_id
@@ -61,18 +62,18 @@ all_events AS (
     FROM named LEFT JOIN nation ON n_nationkey = user_id % 25
 ),
 raw_events AS (
-    SELECT * EXCLUDE (stage_event) FROM all_events WHERE stage_event IS NOT NULL
+    SELECT * EXCLUDE (stage_event) REPLACE (stage_event AS event_name) FROM all_events
 ),
 raw_items AS (
-    SELECT e.event_date, e.session_id, p_name AS item_name,
-           CASE p_size WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '(not set)' ELSE p_type
-           END AS item_category,
-           l_extendedprice * (1 - l_discount) AS item_revenue,
+    SELECT coalesce(e.event_date, strftime(l_shipdate, '%Y%m%d')) AS event_date, e.session_id,
+           p_name AS item_name,
+           CASE p_size WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '(not set)'
+                ELSE p_type || ' ' || CAST(p_size AS VARCHAR) END AS item_category,
+           CAST(floor(l_extendedprice * (1 - l_discount)) AS DOUBLE) AS item_revenue,
            l_quantity AS quantity
-    FROM raw_events e
-    JOIN lineitem ON l_orderkey = e.event_id
-    JOIN part ON p_partkey = l_partkey
-    WHERE e.event_name = 'purchase'
+    FROM lineitem
+    LEFT JOIN raw_events e ON e.event_id = l_orderkey AND e.event_name = 'purchase'
+    LEFT JOIN part ON p_partkey = l_partkey
 )
 """
 
@@ -187,6 +188,39 @@ rated AS (
 USER_SESSION = """CASE WHEN user_pseudo_id IS NOT NULL AND session_id IS NOT NULL
                                THEN (user_pseudo_id, session_id) END"""
 
+# Master events whose channel is that of the user's own session.
+USER_MASTER = """
+user_origin AS (
+    SELECT user_pseudo_id, session_id,
+           arg_min(source, place) AS source,
+           arg_min(medium, place) FILTER (WHERE medium IS NOT NULL) AS medium
+    FROM numbered WHERE user_pseudo_id IS NOT NULL
+    GROUP BY user_pseudo_id, session_id
+),
+user_joined AS (
+    SELECT e.* EXCLUDE (session_source, session_medium, channel),
+           coalesce(o.source, 'unknown') AS session_source,
+           coalesce(o.medium, 'unknown') AS session_medium
+    FROM master e LEFT JOIN user_origin o
+      ON o.session_id = e.session_id AND o.user_pseudo_id = e.user_pseudo_id
+),
+user_master AS (
+    SELECT *,
+           CASE
+               WHEN session_source = 'unknown' THEN 'Unknown'
+               WHEN session_source = 'shop.googlemerchandisestore.com' THEN 'Self-Referral'
+               WHEN session_source = 'google' AND session_medium = 'cpc' THEN 'Google Paid'
+               WHEN session_source = 'google' AND session_medium = 'organic'
+                   THEN 'Google Organic'
+               WHEN session_source = '(direct)' OR session_medium = '(none)' THEN 'Direct'
+               WHEN session_medium = 'referral' THEN 'Referral'
+               WHEN session_source IN ('<Other>', '(data deleted)')
+                 OR session_medium IN ('<Other>', '(data deleted)') THEN 'Obfuscated'
+               ELSE 'Other'
+           END AS channel
+    FROM user_joined
+),"""
+
 RELIABLE = "channel NOT IN ('Unknown', 'Obfuscated')"
 
 
@@ -352,6 +386,26 @@ BODIES: dict[str, str] = {
                max(cvr_from_top_pct) FILTER (WHERE funnel_stage[1] = '6') AS final_cvr_pct
         FROM report GROUP BY channel""",
     "channel_attribution": _kpis("channel", where=RELIABLE) + "\nSELECT * FROM rated",
+    "channel_attribution_own_hosts": """
+        regrouped AS (
+            SELECT * REPLACE (CASE
+                WHEN session_source = 'partner.example.com' THEN 'Self-Referral'
+                WHEN session_source = 'shop.googlemerchandisestore.com'
+                    THEN CASE WHEN session_medium = '(none)' THEN 'Direct'
+                              WHEN session_medium = 'referral' THEN 'Referral'
+                              WHEN session_medium IN ('<Other>', '(data deleted)')
+                                  THEN 'Obfuscated' ELSE 'Other' END
+                ELSE channel END AS channel)
+            FROM master
+        ),"""
+    + _kpis("channel", where=RELIABLE).replace("FROM master", "FROM regrouped")
+    + "\nSELECT * FROM rated",
+    "channel_attribution_user_session": USER_MASTER
+    + _kpis("channel", USER_SESSION, RELIABLE).replace("FROM master", "FROM user_master")
+    + "\nSELECT * FROM rated",
+    "funnel_by_channel_user_session": USER_MASTER
+    + _funnel("user_master", "channel").replace("DISTINCT session_id", f"DISTINCT {USER_SESSION}")
+    + "\nSELECT * FROM report",
     "channel_rps_ratio": _kpis("channel", where=RELIABLE)
     + """
         SELECT channel, revenue_per_session,
@@ -366,6 +420,13 @@ BODIES: dict[str, str] = {
     "revenue_by_device": _kpis("device_category") + "\nSELECT * FROM rated",
     "revenue_by_device_user_session": _kpis("device_category", USER_SESSION)
     + "\nSELECT * FROM rated",
+    "device_share": _kpis("device_category")
+    + """
+        SELECT device_category,
+               round(sessions * CAST(100 AS DOUBLE) / sum(sessions) OVER (), 2)
+                   AS session_share_pct,
+               round(revenue * CAST(100 AS DOUBLE) / sum(revenue) OVER (), 2) AS revenue_share_pct
+        FROM report""",
     "monthly_trend": MONTHS + "\nSELECT * FROM trend",
     "monthly_growth": MONTHS
     + """
@@ -388,7 +449,8 @@ BODIES: dict[str, str] = {
                round(count(*) / nullif(CAST(max(n) AS DOUBLE), 0) * 100, 2) AS bounce_rate_pct
         FROM single CROSS JOIN (SELECT count(DISTINCT session_id) AS n FROM master)""",
     "bounce_by_device": _bounce("device_category"),
-    "bounce_by_country": _bounce("country", "v.total_sessions >= 150"),
+    "bounce_by_country": _bounce("country", "v.total_sessions >= 50"),
+    "bounce_by_large_country": _bounce("country", "v.total_sessions >= 160"),
     "bounce_by_channel": _bounce("channel"),
     "new_vs_returning": USERS + "\nSELECT * FROM report",
     "user_type_lift": USERS

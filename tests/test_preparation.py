@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +14,17 @@ from tillpath.functions import channel_label, normalized_page
 from tillpath.operators.attribution import attach_sessions, attribute_sessions, hot_sessions
 from tillpath.plans.channel_mart import session_mart
 from tillpath.plans.prepare import build_items, build_master, parsed_date, without_attribution
-from tillpath.session import shuffle_partitions_for
-from tillpath.sources import read_csv_table, read_table, write_csv_table, write_master, write_table
+from tillpath.session import input_size, shuffle_partitions_for, size_shuffles
+from tillpath.sources import (
+    raw_events,
+    raw_items,
+    read_csv_table,
+    read_table,
+    scratch_path,
+    write_csv_table,
+    write_master,
+    write_table,
+)
 
 
 def test_attributes_come_from_the_first_event_that_has_them(spark):
@@ -208,6 +218,55 @@ def test_csv_rejects_fractions_in_whole_numbers(spark, tmp_path):
         read_csv_table(spark, str(path), S.RAW_ITEMS).collect()
 
 
+ITEM_HEAD = "event_date,session_id,item_name,item_category,item_revenue,quantity\n"
+
+
+@pytest.mark.parametrize("row", ["20201101,1,hat,Hats,1", "20201101,1,hat,Hats,1,1,1", '20201101,1,"hat\ncap",Hats,1,1'])
+def test_csv_rows_must_fit_the_header(spark, tmp_path, row):
+    (tmp_path / "items.csv").write_text(ITEM_HEAD + "20201101,1,mug,Mugs,1,1\n" + row + "\n")
+    for columns in (["item_name"], S.RAW_ITEMS.names):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read_csv_table(spark, str(tmp_path), S.RAW_ITEMS).select(columns).collect()
+
+
+def test_csv_files_must_share_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(ITEM_HEAD + "20201101,1,mug,Mugs,1,1\n")
+    (tmp_path / "b.csv").write_text(
+        "event_date,session_id,item_category,item_name,item_revenue,quantity\n20201101,1,Mugs,mug,1,1\n"
+    )
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_table(spark, str(tmp_path), S.RAW_ITEMS).collect()
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_derived_tables_are_whole(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    whole = lambda name: spark.read.parquet(f"{folder}/{name}.parquet").count()
+    for unmapped in (False, True):
+        assert raw_events(spark, folder, unmapped).filter("event_name IS NOT NULL").count() == whole("events")
+    items = raw_items(spark, folder)
+    assert items.count() == whole("lineitem")
+    assert 0 < items.filter("session_id IS NULL").count() < items.count()
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1024]", "yarn"])
+def test_scratch_needs_a_shared_folder_on_a_cluster(master):
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        scratch_path(session, "x")
+    session.conf["spark.checkpoint.dir"] = "hdfs://shared/"
+    assert scratch_path(session, "x").startswith("hdfs://shared/tillpath-x-")
+
+
+def test_job_sizing(spark, tmp_path):
+    (tmp_path / "a").write_text("x" * 1000)
+    assert input_size(spark, str(tmp_path)) == 1000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    size_shuffles(spark, 10**13, 1.0)  # the session has a setting of its own
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert shuffle_partitions_for(10**14, 1.0) > 9 * shuffle_partitions_for(10**14, 0.1)
+
+
 @pytest.mark.parametrize("rebalance", [False, True])
 def test_master_is_stored_by_month_and_read_by_month(spark, tmp_path, rebalance):
     events = raw(

@@ -12,13 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillpath import schema as S
 from tillpath.plans.reports import REPORTS
-from tillpath.plans.tables import ITEMS, MASTER, RawTables, StoredTables
-from tillpath.session import builder
+from tillpath.plans.tables import ITEMS, MASTER, Options, RawTables, StoredTables
+from tillpath.session import builder, input_size, size_shuffles
 from tillpath.sources import read_csv_table, read_table, write_csv_table, write_table
 
 
-def _read(spark: SparkSession, path: str, table, kind: str) -> DataFrame:
-    return read_csv_table(spark, path, table) if kind == "csv" else read_table(spark, path)
+PREPARE_SHARE, REPORT_SHARE = 1.0, 0.1
+"""Part of the input that a command shuffles: nearly all columns of all rows, or merged rows."""
+
+
+def _read(spark: SparkSession, path: str, table, given: argparse.Namespace) -> DataFrame:
+    if given.format == "parquet":
+        return read_table(spark, path)
+    return read_csv_table(spark, path, table, given.multiline, keep_others=True)
+
+
+def _options(given: argparse.Namespace) -> Options:
+    out = {"session_key": tuple(given.session_key.split(","))}
+    if given.own_host:
+        out["own_hosts"] = tuple(given.own_host)
+    if given.priority:
+        out["priority"] = tuple(given.priority.split(","))
+    if given.stage:
+        out["stages"] = tuple(tuple(stage.split("=", 1)) for stage in given.stage)
+    return Options(**out)
 
 
 def _arguments(given: list[str] | None) -> argparse.Namespace:
@@ -30,12 +47,26 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     prepare.add_argument("--out", required=True)
     prepare.add_argument("--format", choices=["csv", "parquet"], default="csv")
     prepare.add_argument("--csv-copy", action="store_true", help="also write the tables as CSV")
-    prepare.add_argument("--rebalance", action="store_true", help="few, even files per month")
+    prepare.add_argument(
+        "--in-date-order",
+        action="store_true",
+        help="skip the shuffle that gives few, even files per month",
+    )
+    prepare.add_argument("--multiline", action="store_true", help="CSV has quoted line breaks")
+    prepare.add_argument("--own-host", action="append", help="a source that is the shop itself")
+    prepare.add_argument("--priority", help="events for attribution, strongest first, by commas")
+    prepare.add_argument(
+        "--session-key", default="session_id", help="columns that identify a session, by commas"
+    )
+    prepare.add_argument(
+        "--stage", action="append", metavar="EVENT=LABEL", help="a funnel stage; give all in order"
+    )
     report = commands.add_parser("report", help="one report on stored tables")
     report.add_argument("name", choices=sorted(REPORTS))
     report.add_argument("--store", required=True)
     report.add_argument("--raw-events", help="raw events in Parquet, if not landed in the store")
-    report.add_argument("--out", help="folder for the rows; without it the first 100 are shown")
+    report.add_argument("--out", help="folder for the rows; without it they are printed")
+    report.add_argument("--rows", type=int, help="print so many rows at most; else all")
     report.add_argument("--format", choices=["csv", "parquet"], default="csv")
     return parser.parse_args(given)
 
@@ -44,22 +75,26 @@ def main(given: list[str] | None = None) -> None:
     options = _arguments(given)
     spark = builder().getOrCreate()
     if options.command == "prepare":
+        size_shuffles(spark, input_size(spark, options.events, options.items), PREPARE_SHARE)
         raw = RawTables(
-            _read(spark, options.events, S.CSV_EVENTS, options.format),
-            _read(spark, options.items, S.RAW_ITEMS, options.format),
+            _read(spark, options.events, S.CSV_EVENTS, options),
+            _read(spark, options.items, S.RAW_ITEMS, options),
+            _options(options),
         )
         if options.format == "csv":
             raw = raw.landed(spark, options.out)
-        raw.store(options.out, options.rebalance)
+        raw.store(options.out, rebalance=not options.in_date_order)
         if options.csv_copy:
             stored = StoredTables(spark, options.out)
-            write_csv_table(stored.master.drop("year_month"), f"{options.out}/{MASTER}_csv")
+            write_csv_table(stored.master, f"{options.out}/{MASTER}_csv")
             write_csv_table(stored.items, f"{options.out}/{ITEMS}_csv")
         return
+    size_shuffles(spark, input_size(spark, options.store), REPORT_SHARE)
     raw_events = None if options.raw_events is None else read_table(spark, options.raw_events)
     rows = REPORTS[options.name](StoredTables(spark, options.store, raw_events))
     if options.out is None:
-        rows.show(100, truncate=False)
+        # Reports are small; one that is not should get --rows or --out.
+        rows.show(rows.count() if options.rows is None else options.rows, truncate=False)
     elif options.format == "csv":
         write_csv_table(rows, options.out)
     else:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpath import schema as S
-from tillpath.functions import channel_label
+from tillpath.functions import as_columns, channel_label
 
 ATTRIBUTES = {"source": "session_source", "medium": "session_medium", "campaign": "session_campaign"}
 
@@ -55,15 +56,20 @@ def attribution_aggregates(
     ]
 
 
-def attribute_sessions(events: DataFrame, priority: Sequence[str] | None = None) -> DataFrame:
+def attribute_sessions(
+    events: DataFrame,
+    priority: Sequence[str] | None = None,
+    session_key: str | Sequence[str] = "session_id",
+) -> DataFrame:
     """One row per session that has a source: ``session_source``, ``_medium``, ``_campaign``.
 
     ``priority`` lists event names from strongest to weakest; the rest follow as equals.
     """
+    parts = as_columns(session_key)
     return (
         attributed_rows(events)
-        .filter(F.col("session_id").isNotNull())
-        .groupBy("session_id")
+        .dropna(subset=parts)
+        .groupBy(*parts)
         .agg(*attribution_aggregates(events.columns, priority))
     )
 
@@ -78,7 +84,11 @@ def group_channels(df: DataFrame, own_hosts: Sequence[str] = S.OWN_HOSTS) -> Dat
     return df.withColumn("channel", channel_label("session_source", "session_medium", own_hosts))
 
 
-def hot_sessions(events: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+def hot_sessions(
+    events: DataFrame,
+    hot_share: float = HOT_SHARE,
+    session_key: str | Sequence[str] = "session_id",
+) -> DataFrame:
     """Ids of the sessions with more than ``hot_share`` of all rows, under ``1 / hot_share`` of them.
 
     Counting every session would shuffle as many rows as there are sessions. Rows are counted per
@@ -87,24 +97,28 @@ def hot_sessions(events: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     and adaptive execution skips that step.
     """
     buckets = math.ceil(2 / hot_share) if hot_share > 0 else 1
-    known = events.filter(F.col("session_id").isNotNull()).select(
-        "session_id", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
+    parts = as_columns(session_key)
+    known = events.dropna(subset=parts).select(
+        *parts, F.pmod(F.xxhash64(*parts), F.lit(buckets)).alias("bucket")
     )
     total = events.agg(F.count(F.lit(1)).alias("rows"))
     threshold = F.lit(hot_share) * total.scalar()
 
-    def above_threshold(rows: DataFrame, key: str) -> DataFrame:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-        return counts.filter(F.col("rows") > threshold).select(key)
+    def above_threshold(rows: DataFrame, key: list[str]) -> DataFrame:
+        counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+        return counts.filter(F.col("rows") > threshold).select(*key)
 
-    hot_buckets = F.broadcast(above_threshold(known, "bucket"))
-    return above_threshold(known.join(hot_buckets, "bucket", "left_semi"), "session_id")
+    hot_buckets = F.broadcast(above_threshold(known, ["bucket"]))
+    return above_threshold(known.join(hot_buckets, "bucket", "left_semi"), parts)
 
 
 def attach_sessions(
-    events: DataFrame, sessions: DataFrame, hot_share: float = HOT_SHARE
+    events: DataFrame,
+    sessions: DataFrame,
+    hot_share: float = HOT_SHARE,
+    session_key: str | Sequence[str] = "session_id",
 ) -> DataFrame:
-    """Left join of event rows to ``sessions``, which holds a session id at most once.
+    """Left join of event rows to ``sessions``, which holds a session at most once.
 
     Rows of one session meet in one task of a shuffled join, and so do all rows without a
     session. Neither is safe when a single key can hold a third of the table, so only ordinary
@@ -113,14 +127,14 @@ def attach_sessions(
     match nothing and are not joined at all. When no session is hot, adaptive execution drops that
     branch with its scan.
     """
-    attributes = [c for c in sessions.columns if c != "session_id"]
-    known = events.filter(F.col("session_id").isNotNull())
-    hot = hot_sessions(events, hot_share)
-    ordinary = known.join(F.broadcast(hot), "session_id", "left_anti").join(
-        sessions, "session_id", "left"
-    )
-    heavy = known.join(F.broadcast(hot.join(sessions, "session_id", "left")), "session_id")
-    nowhere = events.filter(F.col("session_id").isNull()).select(
+    parts = as_columns(session_key)
+    attributes = [c for c in sessions.columns if c not in parts]
+    known = events.dropna(subset=parts)
+    hot = hot_sessions(events, hot_share, session_key)
+    ordinary = known.join(F.broadcast(hot), parts, "left_anti").join(sessions, parts, "left")
+    heavy = known.join(F.broadcast(hot.join(sessions, parts, "left")), parts)
+    incomplete = reduce(lambda a, b: a | b, [F.col(p).isNull() for p in parts])
+    nowhere = events.filter(incomplete).select(
         *events.columns,
         *[F.lit(None).cast(sessions.schema[c].dataType).alias(c) for c in attributes],
     )

@@ -193,11 +193,15 @@ def missing_channel_category(
 ) -> DataFrame:
     """Pairs of a reliable channel and a category without any sale.
 
-    ``channels`` holds the channels that occur. There are eight labels at most, so they travel as
-    one array to each category; the pairs in ``report`` are then taken away.
+    ``channels`` holds the channels that occur. Where it has the purchase rows that ``report`` reads
+    too, it reads them as well, so that both come from one shuffle. There are eight labels at
+    most, so they travel as one array to each category; the pairs in ``report`` are then taken away.
     """
     reliable = channels.filter(~F.col("channel").isin(*S.UNRELIABLE_CHANNELS))
-    labels = reliable.agg(F.array_sort(F.collect_set("channel")).alias("labels"))
+    occurring = F.col("channel")
+    if "purchase_rows" in channels.columns:
+        occurring = F.when(F.col("purchase_rows") >= 0, occurring)
+    labels = reliable.agg(F.array_sort(F.collect_set(occurring)).alias("labels"))
     categories = with_category(items).select("item_category").distinct()
     pairs = categories.select(F.explode(labels.scalar()).alias("channel"), "item_category")
     return pairs.join(report, ["channel", "item_category"], "left_anti").orderBy(

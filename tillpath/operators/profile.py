@@ -32,11 +32,17 @@ def attribution_coverage(events: DataFrame) -> DataFrame:
     return counts.select("*", share.alias("coverage_pct"))
 
 
-def table_shapes(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Row and column count of each table."""
+def table_shapes(
+    tables: Mapping[str, DataFrame], columns: Mapping[str, int] | None = None
+) -> DataFrame:
+    """Row and column count of each table.
+
+    ``columns`` gives the width of a table whose rows are counted on a narrower one.
+    """
+    widths = columns or {}
     counts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns")
+            F.lit(name).alias("table_name"), "n_rows", F.lit(widths.get(name, len(df.columns))).alias("n_columns")
         )
         for name, df in tables.items()
     ]

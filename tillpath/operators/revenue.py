@@ -11,12 +11,14 @@ from tillpath.functions import month_label, month_start, pct_of, pct_ratio, per_
 from tillpath.operators.sessions import session_rollup, sessions_where
 
 
-def kpis_of_sessions(rollup: DataFrame, by: str, exclude: Sequence[str] = ()) -> DataFrame:
+def kpis_of_sessions(
+    rollup: DataFrame, by: str, exclude: Sequence[str] = (), ordered: bool = True
+) -> DataFrame:
     """`kpis_by` on an existing session rollup."""
     kept = rollup.filter(F.col(by).isNotNull())
     if exclude:
         kept = kept.filter(~F.col(by).isin(*exclude))
-    return (
+    report = (
         kept.groupBy(by)
         .agg(
             F.count("session").alias("sessions"),
@@ -33,8 +35,8 @@ def kpis_of_sessions(rollup: DataFrame, by: str, exclude: Sequence[str] = ()) ->
             per_unit(F.col("revenue"), F.col("sessions"), 2).alias("revenue_per_session"),
             pct_of(F.col("purchase"), F.col("sessions"), 1).alias("cvr_pct"),
         )
-        .orderBy(F.desc("revenue"), by)
     )
+    return report.orderBy(F.desc("revenue"), by) if ordered else report
 
 
 def kpis_by(
@@ -42,13 +44,16 @@ def kpis_by(
     by: str,
     exclude: Sequence[str] = (),
     session_key: str | Sequence[str] = "session_id",
+    ordered: bool = True,
 ) -> DataFrame:
     """Sessions, purchase sessions and purchase revenue per value of ``by``.
 
     Only revenue on purchase rows counts. Values without a purchase, the null value and the
-    values in ``exclude`` are left out; the highest revenue comes first.
+    values in ``exclude`` are left out; the highest revenue comes first. ``ordered=False`` spares
+    the sort for a report that is built on top.
     """
-    return kpis_of_sessions(session_rollup(events, by, session_key=session_key), by, exclude)
+    rollup = session_rollup(events, by, session_key=session_key)
+    return kpis_of_sessions(rollup, by, exclude, ordered)
 
 
 def monthly_trend(
@@ -59,9 +64,9 @@ def monthly_trend(
     Here revenue counts on every row, not on purchase rows alone. ``ordered=False`` spares the
     sort for a report that is built on top.
     """
-    dated = events.filter(F.col("event_date").isNotNull()).withColumn(
-        "month", month_start("event_date")
-    )
+    # Rows without a date are dropped as one month at the end: a filter on the parsed date would be
+    # pushed below the parsing and evaluate it twice for every row.
+    dated = events.withColumn("month", month_start("event_date"))
     months = (
         session_rollup(dated, "month", session_key=session_key)
         .groupBy("month")
@@ -70,8 +75,9 @@ def monthly_trend(
             F.count("session").alias("total_sessions"),
             F.sum("revenue").alias("total_revenue"),
             F.sum("purchase_rows").alias("purchase_rows"),
+            F.count("month").alias("dated"),
         )
-        .filter(F.col("purchase_rows") > 0)
+        .filter((F.col("purchase_rows") > 0) & (F.col("dated") > 0))
     )
     sessions = F.col("total_sessions")
     trend = months.select(
@@ -104,6 +110,19 @@ def monthly_growth(trend: DataFrame) -> DataFrame:
     return trend.select(columns).orderBy("year_month")
 
 
+def shares(report: DataFrame, by: str) -> DataFrame:
+    """Each value's share of the sessions and of the revenue of a `kpis_by` report.
+
+    The window spans the report's rows, one per value.
+    """
+    overall = Window.partitionBy()
+    return report.select(
+        by,
+        pct_of(F.col("sessions"), F.sum("sessions").over(overall), 2).alias("session_share_pct"),
+        pct_of(F.col("revenue"), F.sum("revenue").over(overall), 2).alias("revenue_share_pct"),
+    ).orderBy(by)
+
+
 def rps_ratio(report: DataFrame, by: str = "channel", baseline: str | None = None) -> DataFrame:
     """Revenue per session of each group as a multiple of ``baseline``, or of the lowest group.
 

@@ -23,14 +23,6 @@ def stage_column(position: int) -> str:
     return f"stage_{position}_rows"
 
 
-def stage_of(stages: Stages = S.STAGES) -> Column:
-    """Stage label of an event name; null for an event outside the stages."""
-    label = F.when(F.col("event_name") == stages[0][0], stages[0][1])
-    for event, name in stages[1:]:
-        label = label.when(F.col("event_name") == event, name)
-    return label
-
-
 def rollup_aggregates(columns: Sequence[str], stages: Stages = S.STAGES) -> list[Column]:
     """What every session report needs to know of a session; unused ones are pruned."""
     name = F.col("event_name")

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpath import schema as S
-from tillpath.plans.reports import REPORTS, bounce_by_country
-from tillpath.plans.tables import RawTables
+from tillpath.plans.reports import REPORTS, USER_SESSION, bounce_by_country
+from tillpath.plans.tables import Options, RawTables
 from tillpath.sources import (
     raw_events,
     raw_items,
@@ -24,13 +24,20 @@ from tillpath.sources import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-COUNTRY_MIN_SESSIONS = 150
-"""Smallest country reported; the test tables' countries are all above the usual 50."""
+LARGE_COUNTRY = 160
+"""Smallest country of the variant; the test tables' countries are all above the usual 50."""
+
+OWN_HOSTS = ("partner.example.com",)
+"""Another shop's own host, for the variant that names it."""
+
+BY_USER = Options(session_key=USER_SESSION)
 
 CENTS = {
     "channel_attribution": ["revenue"],
     "revenue_by_device": ["revenue"],
     "revenue_by_device_user_session": ["revenue"],
+    "channel_attribution_user_session": ["revenue"],
+    "channel_attribution_own_hosts": ["revenue"],
     "monthly_trend": ["total_revenue"],
     "top_products": ["total_revenue"],
     "category_revenue": ["total_revenue"],
@@ -42,15 +49,20 @@ CENTS = {
 }
 
 
-def tables(spark: SparkSession, folder: str, keep_unmapped: bool = False) -> RawTables:
+def tables(
+    spark: SparkSession,
+    folder: str,
+    keep_unmapped: bool = False,
+    options: Options | None = None,
+) -> RawTables:
     """The raw tables derived from a folder of test tables."""
-    return RawTables(raw_events(spark, folder, keep_unmapped), raw_items(spark, folder))
+    return RawTables(raw_events(spark, folder, keep_unmapped), raw_items(spark, folder), options)
 
 
-def _query(name: str) -> Query:
+def _query(name: str, report: str | None = None, options: Options | None = None) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        report = REPORTS[name](tables(spark, folder))
-        return report.withColumns({c: F.round(c, 2) for c in CENTS.get(name, [])})
+        found = REPORTS[report or name](tables(spark, folder, options=options))
+        return found.withColumns({c: F.round(c, 2) for c in CENTS.get(name, [])})
 
     return run
 
@@ -78,7 +90,16 @@ CATALOG: dict[str, Query] = {name: _query(name) for name in REPORTS} | {
     "csv_roundtrip_items": csv_roundtrip_items,
     "funnel_unmapped": _on_unmapped("funnel"),
     "funnel_drop_unmapped": _on_unmapped("funnel_drop_unmapped"),
-    "bounce_by_country": lambda spark, folder: bounce_by_country(
-        tables(spark, folder), COUNTRY_MIN_SESSIONS
+    "bounce_by_large_country": lambda spark, folder: bounce_by_country(
+        tables(spark, folder), LARGE_COUNTRY
+    ),
+    "channel_attribution_user_session": _query(
+        "channel_attribution_user_session", "channel_attribution", BY_USER
+    ),
+    "funnel_by_channel_user_session": _query(
+        "funnel_by_channel_user_session", "funnel_by_channel", BY_USER
+    ),
+    "channel_attribution_own_hosts": _query(
+        "channel_attribution_own_hosts", "channel_attribution", Options(own_hosts=OWN_HOSTS)
     ),
 }

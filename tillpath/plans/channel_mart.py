@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillpath import schema as S
+from tillpath.functions import session_key_column
 from tillpath.operators.attribution import (
     ATTRIBUTES,
     attribution_aggregates,
@@ -32,13 +34,14 @@ def session_mart(
     priority: Sequence[str] | None = None,
     own_hosts: Sequence[str] = S.OWN_HOSTS,
     stages: Stages = S.STAGES,
+    session_key: str | Sequence[str] = "session_id",
 ) -> DataFrame:
     """One row per session: its counts and revenue, source, medium, campaign and channel.
 
     Rows without a session form one row with a null ``session`` and the Unknown channel.
     """
     columns = raw_events.columns
-    sessions = raw_events.groupBy(F.col("session_id").alias("session")).agg(
+    sessions = raw_events.groupBy(session_key_column(session_key).alias("session")).agg(
         *rollup_aggregates(columns, stages), *attribution_aggregates(columns, priority)
     )
     known = F.col("session").isNotNull()
@@ -73,11 +76,19 @@ def row_counts(mart: DataFrame, column: str, rows: str = "rows") -> DataFrame:
     )
 
 
+def known_sessions(mart: DataFrame) -> DataFrame:
+    """session_id, channel and purchase rows of every session with an id."""
+    compound = isinstance(mart.schema["session"].dataType, T.StructType)
+    key = F.col("session.session_id" if compound else "session").alias("session_id")
+    return mart.filter(F.col("session").isNotNull()).select(key, "channel", "purchase_rows")
+
+
 def channel_items(
     items: DataFrame, mart: DataFrame, dedup: bool = False, ordered: bool = True
 ) -> DataFrame:
-    """Revenue and orders of every reliable channel and category."""
-    purchases = mart.filter(F.col("session").isNotNull() & (F.col("purchase_rows") > 0)).select(
-        F.col("session").alias("session_id"), "channel", "purchase_rows"
-    )
+    """Revenue and orders of every reliable channel and category.
+
+    Items name no user, so with a compound session key they meet every session with their id.
+    """
+    purchases = known_sessions(mart).filter(F.col("purchase_rows") > 0)
     return channel_category_of_purchases(items, purchases, dedup, ordered)

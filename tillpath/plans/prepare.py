@@ -49,12 +49,13 @@ def build_master(
     priority: Sequence[str] | None = None,
     own_hosts: Sequence[str] = S.OWN_HOSTS,
     hot_share: float = HOT_SHARE,
+    session_key: str | Sequence[str] = "session_id",
 ) -> DataFrame:
     """Every event with the source, medium, campaign and channel of its session.
 
     One row in gives one row out. Sessions without any source, and rows without a session, get
     the Unknown channel.
     """
-    sessions = attribute_sessions(raw_events, priority)
-    joined = attach_sessions(without_attribution(raw_events), sessions, hot_share)
+    sessions = attribute_sessions(raw_events, priority, session_key)
+    joined = attach_sessions(without_attribution(raw_events), sessions, hot_share, session_key)
     return group_channels(fill_missing(joined), own_hosts)

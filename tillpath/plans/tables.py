@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tillpath import schema as S
 from tillpath.plans.channel_mart import session_mart
 from tillpath.plans.prepare import build_items, build_master, without_attribution
-from tillpath.sources import read_table, write_master, write_table
+from tillpath.sources import MONTH_FOLDER, read_table, write_master, write_table
 
 MASTER = "master_events"
 ITEMS = "items_clean"
 SESSIONS = "session_mart"
 RAW_EVENTS = "raw_events"
 RAW_ITEMS = "raw_items"
+OPTIONS = "options"
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a shop may define for itself; stored beside its tables, so reports can't disagree.
+
+    ``priority`` lists event names from strongest to weakest for attribution, ``own_hosts`` the sources
+    that are the shop's own, ``stages`` the funnel's events with their labels, and ``session_key`` the
+    columns that identify a session.
+    """
+
+    priority: Sequence[str] | None = None
+    own_hosts: Sequence[str] = S.OWN_HOSTS
+    stages: Sequence[tuple[str, str]] = S.STAGES
+    session_key: Sequence[str] = ("session_id",)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> Options:
+        given = json.loads(text)
+        given["stages"] = [tuple(stage) for stage in given["stages"]]
+        return cls(**given)
 
 
 class RawTables:
     """Raw events and items; what a report needs beyond them becomes part of its own plan."""
 
-    def __init__(self, raw_events: DataFrame, raw_items: DataFrame):
+    def __init__(
+        self, raw_events: DataFrame, raw_items: DataFrame, options: Options | None = None
+    ):
         self.raw_events = raw_events
         self.raw_items = raw_items
+        self.options = options or Options()
 
     @cached_property
     def events(self) -> DataFrame:
@@ -32,12 +65,14 @@ class RawTables:
     @cached_property
     def master(self) -> DataFrame:
         """Events with the channel of their session."""
-        return build_master(self.raw_events)
+        o = self.options
+        return build_master(self.raw_events, o.priority, o.own_hosts, session_key=o.session_key)
 
     @cached_property
     def sessions(self) -> DataFrame:
         """One row per session with its channel."""
-        return session_mart(self.raw_events)
+        o = self.options
+        return session_mart(self.raw_events, o.priority, o.own_hosts, o.stages, o.session_key)
 
     @cached_property
     def items(self) -> DataFrame:
@@ -52,11 +87,16 @@ class RawTables:
         write_table(self.raw_events, f"{folder}/{RAW_EVENTS}", mode=mode)
         write_table(self.raw_items, f"{folder}/{RAW_ITEMS}", mode=mode)
         return RawTables(
-            read_table(spark, f"{folder}/{RAW_EVENTS}"), read_table(spark, f"{folder}/{RAW_ITEMS}")
+            read_table(spark, f"{folder}/{RAW_EVENTS}"),
+            read_table(spark, f"{folder}/{RAW_ITEMS}"),
+            self.options,
         )
 
-    def store(self, folder: str, rebalance: bool = False, mode: str = "errorifexists") -> None:
-        """Write master events, sessions and items as Parquet below ``folder``."""
+    def store(self, folder: str, rebalance: bool = True, mode: str = "errorifexists") -> None:
+        """Write master events, sessions, items and the options as Parquet below ``folder``."""
+        spark = self.raw_events.sparkSession
+        options = spark.range(1).select(F.lit(self.options.to_json()).alias("options"))
+        write_table(options, f"{folder}/{OPTIONS}", mode=mode)
         write_master(self.master, f"{folder}/{MASTER}", rebalance, mode)
         write_table(self.sessions, f"{folder}/{SESSIONS}", mode=mode)
         write_table(self.items, f"{folder}/{ITEMS}", mode=mode)
@@ -72,10 +112,12 @@ class StoredTables:
     def __init__(self, spark: SparkSession, folder: str, raw_events: DataFrame | None = None):
         self._landed_events = lambda: read_table(spark, f"{folder}/{RAW_EVENTS}")
         self._raw_events = raw_events
-        self.master = read_table(spark, f"{folder}/{MASTER}")
+        stored = read_table(spark, f"{folder}/{MASTER}")
+        self.master = stored.drop(MONTH_FOLDER)
         self.sessions = read_table(spark, f"{folder}/{SESSIONS}")
         self.items = read_table(spark, f"{folder}/{ITEMS}")
         self.events = self.master
+        self.options = Options.from_json(read_table(spark, f"{folder}/{OPTIONS}").first()[0])
 
     @cached_property
     def raw_events(self) -> DataFrame:

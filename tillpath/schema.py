@@ -47,6 +47,14 @@ MASTER_EVENTS = T.StructType(
     ]
 )
 
+# The CSV copy of master events, where user ids may be text as well.
+CSV_MASTER_EVENTS = T.StructType(
+    [
+        T.StructField(f.name, T.StringType() if f.name == "user_pseudo_id" else f.dataType)
+        for f in MASTER_EVENTS.fields
+    ]
+)
+
 RAW_ITEMS = T.StructType(
     [
         T.StructField("event_date", T.StringType()),

@@ -3,6 +3,7 @@
 from tillpath.sources.csv_files import read_csv_table, write_csv_table
 from tillpath.sources.derived import raw_events, raw_items
 from tillpath.sources.store import (
+    MONTH_FOLDER,
     read_table,
     scratch_path,
     shared_folder,
@@ -11,6 +12,7 @@ from tillpath.sources.store import (
 )
 
 __all__ = [
+    "MONTH_FOLDER",
     "raw_events",
     "raw_items",
     "read_csv_table",

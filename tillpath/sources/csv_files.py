@@ -2,7 +2,8 @@
 
 Quotes inside a field are doubled, spaces are kept, dates are ``yyyy-MM-dd`` and a null is an
 empty field. Every column is read as text by its header name, missing-value texts become null,
-and the declared type is cast on; a text that does not fit its type fails the job.
+and the declared type is cast on. What does not fit fails the job: a text of another type, a row with
+more or fewer fields than the header, or a file whose header differs from the other files'.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from tillpath import schema as S
 
 
 def _typed(name: str, data_type: T.DataType) -> Column:
-    text = F.when(~F.col(name).isin(*S.NULL_TOKENS), F.col(name))
+    column = F.col(f"`{name}`")
+    text = F.when(~column.isin(*S.NULL_TOKENS), column)
     if isinstance(data_type, T.IntegralType):
         # A whole number beside nulls is often written as a float ("12.0"); other fractions fail.
         text = F.regexp_replace(text, r"\.0+$", "")
@@ -23,22 +25,40 @@ def _typed(name: str, data_type: T.DataType) -> Column:
 
 
 def read_csv_table(
-    spark: SparkSession, path: str, table: T.StructType, multiline: bool = False
+    spark: SparkSession,
+    path: str,
+    table: T.StructType,
+    multiline: bool = False,
+    keep_others: bool = False,
 ) -> DataFrame:
     """Columns of ``table`` from CSV files, in the table's order whatever the files' order.
 
     Files without event ids give a table without them; any other missing column is an error.
-    ``multiline`` accepts line breaks inside quotes; such files cannot be split between tasks.
+    ``keep_others`` appends the files' further columns as text. ``multiline`` accepts line breaks
+    inside quotes; such files cannot be split between tasks.
     """
-    text = (
+    reader = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+    )
+    header = reader.csv(path).columns
+    names = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    text = (
+        reader.schema(names)
+        .option("enforceSchema", False)  # compares every file's header with the names
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)  # else fields of unused columns are not counted
         .csv(path)
     )
-    present = [f for f in table.fields if f.name in text.columns or f.name != "event_id"]
-    return text.select([_typed(f.name, f.dataType) for f in present])
+    present = [f for f in table.fields if f.name in header or f.name != "event_id"]
+    known = {f.name for f in table.fields}
+    others = [c for c in header if c not in known] if keep_others else []
+    return text.select(
+        [_typed(f.name, f.dataType) for f in present]
+        + [_typed(c, T.StringType()) for c in others]
+    )
 
 
 def write_csv_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -18,7 +18,7 @@ EVENTS = (
 NATION = "n_nationkey int, n_name string"
 LINEITEM = (
     "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, "
-    "l_discount double"
+    "l_discount double, l_shipdate timestamp_ntz"
 )
 PART = "p_partkey bigint, p_name string, p_type string, p_size int"
 
@@ -28,8 +28,9 @@ CASE event_type
     WHEN 'signup' THEN 'session_start'
     WHEN 'view' THEN 'view_item'
     WHEN 'click' THEN if(k < 60, 'add_to_cart', 'begin_checkout')
-    WHEN 'error' THEN if(k < 50, 'add_payment_info', {otherwise})
+    WHEN 'error' THEN if(k < 50, 'add_payment_info', '{otherwise}')
     WHEN 'purchase' THEN 'purchase'
+    ELSE event_type
 END
 """
 
@@ -59,8 +60,12 @@ def _load(spark: SparkSession, folder: str, name: str, columns: str) -> DataFram
 
 
 def raw_events(spark: SparkSession, folder: str, keep_unmapped: bool = False) -> DataFrame:
-    """Raw shop events; ``keep_unmapped`` keeps rows that belong to no funnel stage."""
-    otherwise = "event_type" if keep_unmapped else "NULL"
+    """Raw shop events, one for each test event.
+
+    With ``keep_unmapped`` half of the errors stay errors, which belong to no funnel stage; otherwise
+    they are payment events like the rest. Other event types keep their names.
+    """
+    otherwise = "error" if keep_unmapped else "add_payment_info"
     events = (
         _load(spark, folder, "events", EVENTS)
         .selectExpr(
@@ -76,7 +81,6 @@ def raw_events(spark: SparkSession, folder: str, keep_unmapped: bool = False) ->
             f"{EVENT_NAME.format(otherwise=otherwise)} AS event_name",
             "year(day) * 10000 + month(day) * 100 + dayofmonth(day) AS day_number",
         )
-        .filter("event_name IS NOT NULL")
     )
     # 25 nations whatever the scale; left to Spark's own size check, no broadcast hint.
     nations = _load(spark, folder, "nation", NATION).selectExpr(
@@ -102,28 +106,40 @@ def raw_events(spark: SparkSession, folder: str, keep_unmapped: bool = False) ->
 
 
 def raw_items(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per item of every purchase event."""
+    """One row per line item.
+
+    An item whose order is no purchase event has no session and the date it was shipped; an unknown part
+    has no name and no category.
+    """
     purchases = (
         raw_events(spark, folder)
         .filter(f"event_name = '{S.PURCHASE_EVENT}'")
         .select("event_id", "event_date", "session_id")
     )
+    # Whole amounts, so that their sums don't depend on the order of adding up.
     lines = _load(spark, folder, "lineitem", LINEITEM).selectExpr(
         "l_orderkey AS event_id",
         "l_partkey AS part",
         "l_quantity AS quantity",
-        "l_extendedprice * (1 - l_discount) AS item_revenue",
+        "cast(floor(l_extendedprice * (1 - l_discount)) AS double) AS item_revenue",
+        "date_format(l_shipdate, 'yyyyMMdd') AS ship_date",
     )
+    # A category for each type and size, fine enough that some channels lack some.
     parts = _load(spark, folder, "part", PART).selectExpr(
         "p_partkey AS part",
         "p_name AS item_name",
-        "CASE p_size WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '(not set)' ELSE p_type END"
-        " AS item_category",
+        "CASE p_size WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '(not set)'"
+        " ELSE concat(p_type, ' ', p_size) END AS item_category",
     )
     return (
-        lines.join(purchases, "event_id")
-        .join(parts, "part")
-        .select(
-            "event_date", "session_id", "item_name", "item_category", "item_revenue", "quantity"
+        lines.join(purchases, "event_id", "left")
+        .join(parts, "part", "left")
+        .selectExpr(
+            "coalesce(event_date, ship_date) AS event_date",
+            "session_id",
+            "item_name",
+            "item_category",
+            "item_revenue",
+            "quantity",
         )
     )

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillpath.functions import month_label
 
+MONTH_FOLDER = "year_month"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one in ``spark.checkpoint.dir``.
@@ -52,15 +54,16 @@ def write_table(
 
 
 def write_master(
-    master: DataFrame, path: str, rebalance: bool = False, mode: str = "errorifexists"
+    master: DataFrame, path: str, rebalance: bool = True, mode: str = "errorifexists"
 ) -> None:
-    """Write master events with one folder per ``year_month``.
+    """Write master events with one folder per month, named by ``MONTH_FOLDER``.
 
-    A filter on ``year_month`` then skips whole folders. ``rebalance`` adds a shuffle that gives
-    few, evenly sized files per month and splits an oversized month; without it every task writes
-    one file for each month it holds, which suits inputs that already come in date order.
+    A filter on it skips whole folders; it is no column of the table's own. ``rebalance`` adds a
+    shuffle that gives few, evenly sized files per month and splits an oversized month. Without it
+    every task writes a file for each month it holds: after a join by session that is tasks times
+    months, so leave it out only for rows that come in date order.
     """
-    dated = master.withColumn("year_month", month_label("event_date"))
+    dated = master.withColumn(MONTH_FOLDER, month_label("event_date"))
     if rebalance:
-        dated = dated.hint("rebalance", "year_month")
-    write_table(dated, path, ["year_month"], mode)
+        dated = dated.hint("rebalance", MONTH_FOLDER)
+    write_table(dated, path, [MONTH_FOLDER], mode)
