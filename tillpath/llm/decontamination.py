@@ -39,8 +39,8 @@ SAMPLED = 2
 AGREEMENT = 0.5
 RECALL = 0.99
 MOST_BITS = 1 << 26
-WALKED = 4096
-"""Windows walked at a time."""
+WALKED = 1 << 18
+"""Words of the windows walked at a time."""
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -235,9 +235,9 @@ def find(
                 starts = first_windows(hashes, starts, n)
                 before = np.where(hit, earlier_same(pairs), len(pairs))
                 inside = np.lib.stride_tricks.sliding_window_view(before, n - 1)
-                fresh = np.concatenate(
-                    [(inside[s] < s[:, None]).sum(axis=1) for s in np.split(starts, range(WALKED, len(starts), WALKED))]
-                )
+                some = max(1, WALKED // n)
+                parts = np.split(starts, range(some, len(starts), some))
+                fresh = np.concatenate([(inside[s] < s[:, None]).sum(axis=1) for s in parts])
                 starts = starts[fresh >= needed[n]]
             if len(starts):
                 out.append((n, hashes, starts))
@@ -254,8 +254,9 @@ def find(
             for n, parts in by_length.items():
                 owner = np.concatenate([np.full(len(s), i) for i, _, s in parts])
                 start = np.concatenate([s for _, _, s in parts])
-                for low in range(0, len(owner), WALKED):
-                    part = slice(low, low + WALKED)
+                some = max(1, WALKED // n)
+                for low in range(0, len(owner), some):
+                    part = slice(low, low + some)
                     own = {i: h for i, h, _ in parts}
                     windows = np.stack([own[i][s : s + n] for i, s in zip(owner[part], start[part])])
                     found = keys_of(windows, repeats)

@@ -80,21 +80,26 @@ def gram_chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield rows, np.maximum(begins, low) - low, grams
 
 
+def language_code(declared: str) -> Column:
+    """The primary language of a declaration such as ``en-GB``, in lower case; null if it is empty."""
+    code = F.lower(F.substring_index(F.trim(F.col(declared).cast("string")), "-", 1))
+    return F.when(code != "", code)
+
+
 def train(
     docs: DataFrame, text: str, label: str, row_id: str, sample: int = SAMPLE, min_rows: int = 20
 ) -> tuple[list[str], np.ndarray]:
     """The languages labelled often enough and their trigrams' log-probabilities, a row per language."""
-    sizes = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    labelled = docs.select(language_code(label).alias("label"), text, F.col(row_id).alias("id"))
+    sizes = labelled.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
     common = sizes.where(F.col("rows") >= min_rows).orderBy(F.desc("rows"), "label").limit(MAX_LANGUAGES)
     rows = {r["label"]: r["rows"] for r in common.collect()}
     languages = sorted(rows)
     if not languages:
         return [], np.zeros((0, GRAMS + 1), np.float32)
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / rows[k]))))
-    draw = F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(1_000_000)) / 1_000_000.0
-    chosen = docs.where(F.col(label).isin(languages) & (draw < share[F.col(label)]))
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) / 1_000_000.0
+    chosen = labelled.where(F.col("label").isin(languages) & (draw < share[F.col("label")]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((len(languages), GRAMS + 1), np.int64)
@@ -108,7 +113,7 @@ def train(
         columns = [pa.array(x.astype(np.int64)) for x in (language, gram, seen[language, gram])]
         yield pa.RecordBatch.from_arrays(columns, ["language", "gram", "n"])
 
-    counted = chosen.select(label, text).mapInArrow(count, "language long, gram long, n long")
+    counted = chosen.select("label", text).mapInArrow(count, "language long, gram long, n long")
     table = np.zeros((len(languages), GRAMS + 1))
     for r in counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
         table[r["language"], r["gram"]] = r["n"]
@@ -192,8 +197,8 @@ def identify(
         nothing = {"language": "und", "posterior": 0.0, "text_language": "und"}
         found = found.withColumns({k: F.lit(v) for k, v in nothing.items()})
         return found.withColumns({"n_grams": F.lit(0).cast("long"), "rejected": F.lit(True)})
-    code = F.lower(F.substring_index(F.trim(F.col(declared)), "-", 1)) if declared else F.lit(None)
-    known = F.when(code.isin(languages), code).when(code.isNotNull() & (code != ""), F.lit("other"))
+    code = language_code(declared) if declared else F.lit(None).cast("string")
+    known = F.when(code.isin(languages), code).when(code.isNotNull(), F.lit("other"))
     slim = docs.withColumn("__declared", known.cast("string"))
     slim = slim.withColumn("__host", (F.lower(F.col(host)) if host else F.lit(None)).cast("string"))
     texts = with_text_scores(slim, text, model)
