@@ -13,7 +13,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    joined = both.where("v > u").join(least, F.col("u") == F.col("k"))
+    joined = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("k"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
@@ -21,7 +21,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them. Needs v < u."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select(F.col("u").alias("k"), "m")
-    joined = edges.join(least, F.col("u") == F.col("k"))
+    joined = edges.join(least.hint("merge"), F.col("u") == F.col("k"))
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select(F.col("k").alias("u"), F.col("m").alias("v"))
     return moved.union(own).where("u <> v").distinct()
@@ -30,7 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``: root is the smallest node of its component.
 
-    Nodes are longs. Each round is two steps of aggregates and equi-joins whose hub rows adaptive
+    Nodes are longs. Joins merge: broadcasts, one for each step, would pile up on the driver. Each round is two steps of aggregates and equi-joins whose hub rows adaptive
     execution can split; rounds grow with the logarithm of a component's width. Edges stay on the
     executors, and every round is checkpointed. Roots themselves are not listed.
     """
@@ -40,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = kept(edges.distinct())
     state = None
     while True:
-        edges = kept(_small_star(_large_star(edges)))
+        # Each step reads its input several times, so each is written before the next.
+        edges = kept(_large_star(edges))
+        edges = kept(_small_star(edges))
         checks = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()

@@ -61,7 +61,7 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     languages, model = train(docs, "text", "lang", "doc_id")
     found = identify(docs, languages, model, declared="lang", host="source")
-    return found.withColumn("kept", ~F.col("rejected"))
+    return found.withColumn("kept", ~F.col("rejected")).drop("rejected")
 
 
 def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:

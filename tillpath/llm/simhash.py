@@ -27,12 +27,13 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillpath.llm.common import kept
 from tillpath.llm.components import components
+from tillpath.llm.quality import SPACE
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -40,15 +41,42 @@ SEED = 42
 BLOCK = 1 << 16
 """Shingles hashed at a time, so that memory doesn't follow the length of a text."""
 
+TABLES = 12
+"""Word fingerprints per text: nearly all pairs with the similarity below are within reach in one of them."""
+SIMILAR = 0.8
+SIMILAR_WORDS = 5
+FEW = 1_000_000
+"""Keys of two longs that are small enough to be sent to every executor; more are joined by shuffling."""
+
+SALTS = np.random.default_rng(1).integers(0, 1 << 63, 64, np.uint64)
+WORDS_AT_ONCE = 4096
+
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+BITS_AS_FLOATS = BYTE_BITS.astype(np.float64)
 FIELDS = [np.uint64(1) << np.uint64(2 * i) for i in range(16)]
 TWO = np.uint64(2)
 LOW = np.uint64(0x5555555555555555)
+TABLE_BITS = np.uint64(33)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    seen = [np.bincount(octets[:, place], minlength=256) @ BYTE_BITS for place in range(8)]
+    return np.concatenate(seen)
+
+
+def majority(counts: np.ndarray, of: int) -> int:
+    return int(np.packbits(2 * counts > of, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint(text: str | None) -> int:
     """The 64-bit SimHash of a text's word shingles, lower-cased in ASCII."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = words_of(text)
     if not words:
         return 0
     last = max(1, len(words) - SHINGLE_WORDS + 1)
@@ -57,18 +85,43 @@ def fingerprint(text: str | None) -> int:
         stop = min(start + BLOCK, last)
         runs = (words[start + i : stop + i] for i in range(min(SHINGLE_WORDS, len(words))))
         hashes = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*runs)), repeat(SEED))
-        octets = np.fromiter(hashes, np.uint64, stop - start).view(np.uint8).reshape(-1, 8)
-        for place in range(8):
-            seen = np.bincount(octets[:, place], minlength=256)
-            counts[8 * place : 8 * place + 8] += seen @ BYTE_BITS
-    bits = np.packbits(2 * counts > last, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+        counts += bit_counts(np.fromiter(hashes, np.uint64, stop - start))
+    return majority(counts, last)
+
 
+def word_fingerprints(text: str | None, tables: int = TABLES) -> list[int]:
+    """Independent 64-bit SimHashes of a text's distinct words, as signed longs.
 
-def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` other than the text, and ``fp``, the fingerprint as a signed long."""
-    rest = [f for f in docs.schema.fields if f.name != text and f.name != "fp"]
+    A changed word changes one word but several shingles, so near copies lie closer by their words.
+    """
+    words = set(words_of(text))
+    if not words:
+        return [0] * tables
+    base = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    salts = SALTS[:tables, None]
+    counts = np.zeros((tables, 64), np.int64)
+    for start in range(0, len(base), WORDS_AT_ONCE):
+        mixed = (base[start : start + WORDS_AT_ONCE] ^ salts) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        # A histogram of the bytes for each table and place in the hash, then of their bits.
+        places = np.arange(8 * tables, dtype=np.int64).reshape(tables, 1, 8) << 8
+        octets = mixed.view(np.uint8).reshape(tables, -1, 8) + places
+        seen = np.bincount(octets.ravel(), minlength=tables << 11).reshape(-1, 256)
+        counts += (seen.astype(np.float64) @ BITS_AS_FLOATS).astype(np.int64).reshape(tables, 64)
+    bits = np.packbits(2 * counts > len(words), axis=1, bitorder="little")
+    return bits.view(np.int64).ravel().tolist()
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 0) -> DataFrame:
+    """The columns of ``docs`` other than the text, and ``fp``, the fingerprint as a signed long.
+
+    With ``tables``, ``by_words`` holds so many word fingerprints too.
+    """
+    rest = [f for f in docs.schema.fields if f.name not in (text, "fp", "by_words")]
     schema = T.StructType([*rest, T.StructField("fp", T.LongType())])
+    if tables:
+        schema = schema.add("by_words", T.ArrayType(T.LongType()))
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,27 +130,34 @@ def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
             prints = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             columns.append(pa.array(prints.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, [*names, "fp"])
+            if tables:
+                found = [word_fingerprints(x.as_py(), tables) for x in texts]
+                columns.append(pa.array(found, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select(*names, text).mapInArrow(run, schema)
 
 
-def cells_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, fingerprint) for every cell that a fingerprint belongs to or visits."""
+def cells_of(prints: np.ndarray, tables: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, fingerprint) for every cell that a fingerprint belongs to or visits.
+
+    Each table has cells of its own.
+    """
     counts = prints - ((prints >> np.uint64(1)) & LOW)
+    spaces = np.broadcast_to(np.asarray(tables, np.uint64) << TABLE_BITS, prints.shape)
     cells, members = [], []
     for half in (0, 1):
         shift = np.uint64(32 * half)
-        tag = np.uint64(half << 32)
         vector = (counts >> shift) & np.uint64(0xFFFFFFFF)
-        cells.append(vector | tag)
+        space = spaces | np.uint64(half << 32)
+        cells.append(vector | space)
         members.append(prints)
         odd = (np.bitwise_count((prints >> shift) & np.uint64(0xFFFFFFFF)) & 1).astype(bool)
-        visiting, home = prints[odd], vector[odd]
+        visiting, home, there = prints[odd], vector[odd], space[odd]
         for i, step in enumerate(FIELDS):
             field = (home >> np.uint64(2 * i)) & np.uint64(3)
-            for able, there in ((field < TWO, home + step), (field > 0, home - step)):
-                cells.append(there[able] | tag)
+            for able, neighbour in ((field < TWO, home + step), (field > 0, home - step)):
+                cells.append(neighbour[able] | there[able])
                 members.append(visiting[able])
     return np.concatenate(cells), np.concatenate(members)
 
@@ -119,27 +179,34 @@ def forest(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return links
 
 
-def _links_of_runs(cells: np.ndarray, members: np.ndarray, radius: int):
-    """Links within each run of equal cells of sorted arrays."""
+def _links_of_runs(
+    cells: np.ndarray, members: np.ndarray, radius: int
+) -> list[tuple[int, int, int]]:
+    """(u, v, table) for links within each run of equal cells of sorted arrays."""
     edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
     sizes = np.diff(edges)
     pairs = edges[:-1][sizes == 2]
-    near = np.bitwise_count(members[pairs] ^ members[pairs + 1]) <= radius
-    links = list(zip(members[pairs[near]], members[pairs[near] + 1]))
+    pairs = pairs[np.bitwise_count(members[pairs] ^ members[pairs + 1]) <= radius]
+    links = list(zip(members[pairs], members[pairs + 1], cells[pairs] >> TABLE_BITS))
     for start, size in zip(edges[:-1][sizes > 2], sizes[sizes > 2]):
-        links += forest(members[start : start + size], radius)
+        table = cells[start] >> TABLE_BITS
+        links += [(u, v, table) for u, v in forest(members[start : start + size], radius)]
     return links
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v) for a spanning set of the links among the distinct values of ``prints.fp``."""
+    """(u, v, table) for a spanning set of the links among the distinct values of ``prints.fp``.
+
+    Where ``prints`` has a column ``table``, only fingerprints of the same table are linked.
+    """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the grid finds up to {RADIUS} differing bits, not {radius}")
+    table = F.col("table").cast("long") if "table" in prints.columns else F.lit(0).cast("long")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, members = cells_of(batch.column(0).to_numpy().view(np.uint64))
-            columns = [pa.array(x.view(np.int64)) for x in (cells, members)]
+            tables, values = (c.to_numpy().view(np.uint64) for c in batch.columns)
+            columns = [pa.array(x.view(np.int64)) for x in cells_of(values, tables)]
             yield pa.RecordBatch.from_arrays(columns, ["cell", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +215,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
         def found(parts):
             cells, members = (np.concatenate(x) for x in zip(*parts))
-            pairs = np.array(_links_of_runs(cells, members, radius), np.uint64).reshape(-1, 2)
-            columns = [pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays(columns, ["u", "v"])
+            linked = np.array(_links_of_runs(cells, members, radius), np.uint64).reshape(-1, 3)
+            columns = [pa.array(np.ascontiguousarray(linked[:, i]).view(np.int64)) for i in range(3)]
+            return pa.RecordBatch.from_arrays(columns, ["u", "v", "table"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -168,9 +235,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield found(held)
 
-    cells = prints.select("fp").distinct().mapInArrow(spread, "cell long, fp long")
+    distinct = prints.select(table.alias("table"), "fp").distinct()
+    cells = distinct.mapInArrow(spread, "cell long, fp long")
     ordered = cells.repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(verify, "u long, v long")
+    return ordered.mapInArrow(verify, "u long, v long, table long")
 
 
 def classes(prints: DataFrame, least: list[str]) -> DataFrame:
@@ -182,14 +250,16 @@ def classes(prints: DataFrame, least: list[str]) -> DataFrame:
     return rooted.select("fp", "root").join(first, "root").select("fp", "first")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, text: str = "text", row_id: str = "doc_id", tables: int = 0
+) -> DataFrame:
     """(row_id, text_hash, fingerprint, component_id, first) for every row of ``docs``.
 
     ``component_id`` is the smallest id whose fingerprint can be reached over links of at most three
     differing bits; ``first`` the id and text hash of the row that stands for the component.
     """
     slim = docs.select(F.col(row_id).alias("__id"), F.xxhash64(text).alias("text_hash"), text)
-    prints = kept(with_fingerprint(slim, text))
+    prints = kept(with_fingerprint(slim, text, tables))
     keyed = prints.withColumn("absent", F.col("__id").isNull())
     found = classes(keyed, ["absent", "__id", "text_hash"])
     return keyed.join(found, "fp").select(
@@ -198,18 +268,89 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first.__id").alias("component_id"),
         F.struct(F.col("first.__id").alias("id"), F.col("first.text_hash")).alias("first"),
+        *(["by_words"] if tables else []),
+    )
+
+
+def shingle_set(text: str) -> Column:
+    """The hashes of a text's distinct runs of five words, lower-cased; of all its words if it has fewer."""
+    bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\f\r"))
+    return F.array_distinct(
+        F.transform(
+            F.array(F.transform(F.split(bare, SPACE), lambda w: F.xxhash64(w))),
+            lambda h: F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(h) - SIMILAR_WORDS, F.lit(0))),
+                lambda i: F.xxhash64(F.slice(h, i + 1, SIMILAR_WORDS)),
+            ),
+        )[0]
+    )
+
+
+def similar_to_earlier(docs: DataFrame, chosen: DataFrame, text: str, row_id: str) -> DataFrame:
+    """(__id, __hash) of the chosen rows that are near copies of a chosen row with a smaller key.
+
+    ``chosen`` has a row per (__id, __hash) with its ``by_words``. Rows linked in some table are candidates.
+    Among them the smallest key of each component leads, those with at least ``SIMILAR`` of their
+    shingles in common with it go, and the others go round again, until none is left.
+    """
+    key = F.struct(F.col("__id").isNull().alias("absent"), "__id", "__hash")
+    each = chosen.select("__id", "__hash", F.posexplode("by_words").alias("table", "fp"))
+    # One graph for all tables: fingerprints of different tables are apart, rows hold them together.
+    nodes = each.withColumn("node", F.xxhash64("table", "fp"))
+    found = links(each)
+    found = kept(found.select(*(F.xxhash64(F.col("table").cast("int"), c).alias(c) for c in ("u", "v"))))
+    row = nodes.withColumn("row", F.xxhash64(F.lit("row"), "__id", "__hash"))
+    shared = row.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).union(
+        shared.where("n > 1").select("node")
+    )
+    # Written before they are joined: an aggregate's own side could not be split where a key is hot.
+    ends = kept(ends.distinct())
+    touched = kept(row.join(ends, "node", "left_semi").select("row", "node"))
+    roots = components(found.union(touched.select(F.col("row").alias("u"), F.col("node").alias("v"))))
+    grouped = row.select("row", "__id", "__hash").distinct().join(
+        roots.withColumnRenamed("node", "row"), "row"
     )
+    # A row that is itself the root of its component isn't listed among the roots.
+    own = row.select("row", "__id", "__hash").distinct().join(
+        roots.select(F.col("root").alias("row")).distinct(), "row"
+    )
+    members = kept(
+        grouped.select("root", "__id", "__hash").union(own.select(F.col("row").alias("root"), "__id", "__hash"))
+    )
+    small = members.count() <= FEW
+    wanted = F.broadcast(members) if small else members
+    same = F.col(row_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    sets = docs.select(row_id, text).join(wanted, same).select("root", "__id", "__hash", text)
+    sets = sets.dropDuplicates(["root", "__id", "__hash"])
+    left = kept(sets.select("root", key.alias("key"), shingle_set(text).alias("set")))
+    gone = None
+    while left.limit(1).count():
+        first = kept(left.groupBy("root").agg(F.min_by(F.struct("key", "set"), "key").alias("lead")))
+        held = F.size(F.array_intersect("set", F.col("lead.set")))
+        share = held / (F.size("set") + F.size("lead.set") - held)
+        judged = left.join(first, "root").where(F.col("key") != F.col("lead.key"))
+        judged = kept(judged.select("root", "key", "set", (share >= SIMILAR).alias("near")))
+        drop = judged.where("near").select("key.__id", "key.__hash")
+        gone = drop if gone is None else gone.union(drop)
+        left = judged.where("NOT near").drop("near")
+    return chosen.select("__id", "__hash").limit(0) if gone is None else gone
 
 
 def deduplicated(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id, then text hash.
+    """``docs`` with one row of each group of near duplicates.
 
-    Where that row is repeated, one of the equal rows stays.
+    First one row of each component stays, the one with the smallest id, then text hash; where it is
+    repeated, one of the equal rows. Of these, rows that have at least 0.8 of their five-word shingles
+    in common with a row that stays go too; they are found by their word fingerprints.
     """
-    found = near_duplicates(docs, text, row_id)
+    found = near_duplicates(docs, text, row_id, TABLES)
     stands = F.col("first.id").eqNullSafe(F.col(row_id)) & (F.col("first.text_hash") == F.col("text_hash"))
     chosen = found.where(stands).groupBy(F.col(row_id).alias("__id"), F.col("text_hash").alias("__hash"))
-    chosen = kept(chosen.agg(F.count(F.lit(1)).alias("__rows")))
+    chosen = kept(chosen.agg(F.count(F.lit(1)).alias("__rows"), F.first("by_words").alias("by_words")))
+    near = similar_to_earlier(docs, chosen, text, row_id)
+    again = chosen["__id"].eqNullSafe(near["__id"]) & (chosen["__hash"] == near["__hash"])
+    chosen = kept(chosen.join(near, again, "left_anti").drop("by_words"))
     same = F.col(row_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
     once = docs.join(chosen.where("__rows = 1"), same, "left_semi")
     more = docs.join(chosen.where("__rows > 1"), same, "left_semi")
