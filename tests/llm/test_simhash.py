@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from tests.llm.corpus import SCHEMA, awkward, frame, prose, rows
+from tillpath.llm import simhash
 from tillpath.llm.components import components
 from tillpath.llm.simhash import cells_of, deduplicated, fingerprint, forest, links, near_duplicates, word_fingerprints
 
@@ -138,6 +139,40 @@ def test_near_copies_go_and_others_stay(spark):
     assert {i for i in texts if i % 9 == 8} <= stay and len(stay) <= 12 * 4
 
 
+@pytest.mark.parametrize("kind", ["appended", "tail", "head", "middle"])
+def test_copies_with_a_new_stretch_go(spark, kind):
+    rng = random.Random(kind)
+    data = []
+    for i in range(40):
+        words = prose(rng, rng.choice(["en", "de", "fr"]), rng.choice([150, 400])).split()
+        other = [f"new{i}x{k}" for k in range(len(words))]
+        most = len(words) // 6 if kind == "appended" else len(words) // 12
+        k = rng.randrange(len(words) // 20, most)
+        copy = {
+            "appended": words + other[:k], "tail": words[:-k] + other[:k], "head": other[:k] + words[k:],
+            "middle": words[:60] + other[:k] + words[60 + k :],
+        }[kind]
+        data += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join(copy), "en", "s", 1)]
+        assert 0.8 <= similarity(data[-2][1], data[-1][1]) < 0.95
+    stay = {r["doc_id"] // 2 for r in deduplicated(frame(spark, data)).collect()}
+    assert len(stay) == 40 == deduplicated(frame(spark, data)).count()
+
+
+def test_crowded_shingles_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    rng = random.Random(8)
+    line = prose(rng, "en", 40)
+    data = []
+    for i in range(12):
+        own = prose(rng, "de", rng.choice([4, 12, 60]))
+        data += [(len(data), f"{line} {own}", "en", "s", 1), (len(data) + 1, f"{line} {own} x{i} y", "en", "s", 1)]
+    texts = {d[0]: d[1] for d in data}
+    stay = {r["doc_id"] for r in deduplicated(frame(spark, data)).collect()}
+    assert not [(a, b) for a in stay for b in stay if a < b and similarity(texts[a], texts[b]) >= 0.8]
+    for i in texts.keys() - stay:
+        assert max(similarity(texts[i], texts[k]) for k in stay) >= 0.8
+
+
 def test_word_fingerprints_of_odd_texts():
     assert word_fingerprints(None) == word_fingerprints(" ") == [0] * 12
     long = " ".join(map(str, range(10_000)))

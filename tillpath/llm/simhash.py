@@ -33,7 +33,6 @@ from pyspark.sql import types as T
 
 from tillpath.llm.common import kept
 from tillpath.llm.components import components
-from tillpath.llm.quality import SPACE
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -42,11 +41,14 @@ BLOCK = 1 << 16
 """Shingles hashed at a time, so that memory doesn't follow the length of a text."""
 
 TABLES = 12
-"""Word fingerprints per text: nearly all pairs with the similarity below are within reach in one of them."""
-SIMILAR = 0.8
+"""Word fingerprints per text, where they are asked for."""
 SIMILAR_WORDS = 5
-FEW = 1_000_000
-"""Keys of two longs that are small enough to be sent to every executor; more are joined by shuffling."""
+CROWD = 64
+"""Rows that may meet in pairs at a shingle; it is crowded with more."""
+HOTTEST = 1 << 16
+"""Crowded shingles that are put last, at most, in each pass."""
+PASSES, ONE_OF = 2, 4
+ROUNDS = 12
 
 SALTS = np.random.default_rng(1).integers(0, 1 << 63, 64, np.uint64)
 WORDS_AT_ONCE = 4096
@@ -113,15 +115,10 @@ def word_fingerprints(text: str | None, tables: int = TABLES) -> list[int]:
     return bits.view(np.int64).ravel().tolist()
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 0) -> DataFrame:
-    """The columns of ``docs`` other than the text, and ``fp``, the fingerprint as a signed long.
-
-    With ``tables``, ``by_words`` holds so many word fingerprints too.
-    """
-    rest = [f for f in docs.schema.fields if f.name not in (text, "fp", "by_words")]
+def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` other than the text, and ``fp``, the fingerprint as a signed long."""
+    rest = [f for f in docs.schema.fields if f.name not in (text, "fp")]
     schema = T.StructType([*rest, T.StructField("fp", T.LongType())])
-    if tables:
-        schema = schema.add("by_words", T.ArrayType(T.LongType()))
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +127,6 @@ def with_fingerprint(docs: DataFrame, text: str = "text", tables: int = 0) -> Da
             prints = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             columns.append(pa.array(prints.view(np.int64)))
-            if tables:
-                found = [word_fingerprints(x.as_py(), tables) for x in texts]
-                columns.append(pa.array(found, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select(*names, text).mapInArrow(run, schema)
@@ -250,16 +244,14 @@ def classes(prints: DataFrame, least: list[str]) -> DataFrame:
     return rooted.select("fp", "root").join(first, "root").select("fp", "first")
 
 
-def near_duplicates(
-    docs: DataFrame, text: str = "text", row_id: str = "doc_id", tables: int = 0
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(row_id, text_hash, fingerprint, component_id, first) for every row of ``docs``.
 
     ``component_id`` is the smallest id whose fingerprint can be reached over links of at most three
     differing bits; ``first`` the id and text hash of the row that stands for the component.
     """
     slim = docs.select(F.col(row_id).alias("__id"), F.xxhash64(text).alias("text_hash"), text)
-    prints = kept(with_fingerprint(slim, text, tables))
+    prints = kept(with_fingerprint(slim, text))
     keyed = prints.withColumn("absent", F.col("__id").isNull())
     found = classes(keyed, ["absent", "__id", "text_hash"])
     return keyed.join(found, "fp").select(
@@ -268,73 +260,136 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first.__id").alias("component_id"),
         F.struct(F.col("first.__id").alias("id"), F.col("first.text_hash")).alias("first"),
-        *(["by_words"] if tables else []),
     )
 
 
-def shingle_set(text: str) -> Column:
-    """The hashes of a text's distinct runs of five words, lower-cased; of all its words if it has fewer."""
-    bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\f\r"))
-    return F.array_distinct(
-        F.transform(
-            F.array(F.transform(F.split(bare, SPACE), lambda w: F.xxhash64(w))),
-            lambda h: F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(h) - SIMILAR_WORDS, F.lit(0))),
-                lambda i: F.xxhash64(F.slice(h, i + 1, SIMILAR_WORDS)),
-            ),
-        )[0]
-    )
+def shingles_of(text: str | None) -> np.ndarray:
+    """The sorted hashes of a text's distinct runs of five words, lower-cased; of all its words if it has fewer."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split() or [b""]
+    base = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    run = min(SIMILAR_WORDS, len(words))
+    mixed = np.zeros(len(words) - run + 1, np.uint64)
+    for i in range(run):
+        mixed = (mixed ^ base[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
 
 
-def similar_to_earlier(docs: DataFrame, chosen: DataFrame, text: str, row_id: str) -> DataFrame:
-    """(__id, __hash) of the chosen rows that are near copies of a chosen row with a smaller key.
+def prefix_of(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first fifth of the shingles and one more, the ``hot`` ones coming last.
 
-    ``chosen`` has a row per (__id, __hash) with its ``by_words``. Rows linked in some table are candidates.
-    Among them the smallest key of each component leads, those with at least ``SIMILAR`` of their
-    shingles in common with it go, and the others go round again, until none is left.
+    Two sets with four fifths in common share a shingle of their prefixes, whatever order all sets follow.
     """
-    key = F.struct(F.col("__id").isNull().alias("absent"), "__id", "__hash")
-    each = chosen.select("__id", "__hash", F.posexplode("by_words").alias("table", "fp"))
-    # One graph for all tables: fingerprints of different tables are apart, rows hold them together.
-    nodes = each.withColumn("node", F.xxhash64("table", "fp"))
-    found = links(each)
-    found = kept(found.select(*(F.xxhash64(F.col("table").cast("int"), c).alias(c) for c in ("u", "v"))))
-    row = nodes.withColumn("row", F.xxhash64(F.lit("row"), "__id", "__hash"))
-    shared = row.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    ends = found.select(F.explode(F.array("u", "v")).alias("node")).union(
-        shared.where("n > 1").select("node")
-    )
-    # Written before they are joined: an aggregate's own side could not be split where a key is hot.
-    ends = kept(ends.distinct())
-    touched = kept(row.join(ends, "node", "left_semi").select("row", "node"))
-    roots = components(found.union(touched.select(F.col("row").alias("u"), F.col("node").alias("v"))))
-    grouped = row.select("row", "__id", "__hash").distinct().join(
-        roots.withColumnRenamed("node", "row"), "row"
-    )
-    # A row that is itself the root of its component isn't listed among the roots.
-    own = row.select("row", "__id", "__hash").distinct().join(
-        roots.select(F.col("root").alias("row")).distinct(), "row"
-    )
-    members = kept(
-        grouped.select("root", "__id", "__hash").union(own.select(F.col("row").alias("root"), "__id", "__hash"))
-    )
-    small = members.count() <= FEW
-    wanted = F.broadcast(members) if small else members
-    same = F.col(row_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    sets = docs.select(row_id, text).join(wanted, same).select("root", "__id", "__hash", text)
-    sets = sets.dropDuplicates(["root", "__id", "__hash"])
-    left = kept(sets.select("root", key.alias("key"), shingle_set(text).alias("set")))
-    gone = None
-    while left.limit(1).count():
-        first = kept(left.groupBy("root").agg(F.min_by(F.struct("key", "set"), "key").alias("lead")))
-        held = F.size(F.array_intersect("set", F.col("lead.set")))
-        share = held / (F.size("set") + F.size("lead.set") - held)
-        judged = left.join(first, "root").where(F.col("key") != F.col("lead.key"))
-        judged = kept(judged.select("root", "key", "set", (share >= SIMILAR).alias("near")))
-        drop = judged.where("near").select("key.__id", "key.__hash")
-        gone = drop if gone is None else gone.union(drop)
-        left = judged.where("NOT near").drop("near")
-    return chosen.select("__id", "__hash").limit(0) if gone is None else gone
+    if len(hot):
+        late = np.isin(shingles, hot, assume_unique=True)
+        shingles = np.concatenate([shingles[~late], shingles[late]])
+    return shingles[: len(shingles) // 5 + 1]
+
+
+def with_shingles(rows: DataFrame, text: str, hot: np.ndarray | None = None) -> DataFrame:
+    """(row, size, tokens) of ``rows``: all shingles, or with ``hot`` only their prefix; size counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles_of(x.as_py()) for x in batch.column(1)]
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            tokens = pa.array([x if hot is None else prefix_of(x, hot) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens], ["row", "size", "tokens"])
+
+    return rows.select("row", text).mapInArrow(run, "row long, size int, tokens array<bigint>")
+
+
+def crowded_shingles(rows: DataFrame, text: str) -> np.ndarray:
+    """Shingles that more than ``CROWD`` prefixes hold, as counted on a part of the rows, in several passes.
+
+    With these last in order there are few candidates; which pairs are found doesn't depend on them.
+    """
+    hot = np.zeros(0, np.int64)
+    some = rows.where(F.pmod("row", F.lit(ONE_OF)) == 0)
+    for _ in range(PASSES):
+        tokens = with_shingles(some, text, hot).select(F.explode("tokens").alias("token"))
+        counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * ONE_OF > CROWD)
+        top = counts.orderBy(F.desc("n"), "token").limit(HOTTEST).select("token").toArrow()
+        more = np.setdiff1d(top.column("token").to_numpy(), hot)
+        if not len(more):
+            break
+        hot = np.union1d(hot, more)
+    return hot
+
+
+def shared_tokens(rows: DataFrame, chosen: DataFrame, text: str) -> DataFrame:
+    """(row, size, token) for the shingles of the chosen rows' prefixes that several rows hold."""
+    index = with_shingles(rows, text, crowded_shingles(rows, text)).join(chosen.select("row", "__rows"), "row")
+    index = kept(index)
+    # Only repeated rows have to move to be told apart.
+    once, more = index.where("__rows = 1"), index.where("__rows > 1").dropDuplicates(["row"])
+    tokens = once.unionByName(more).select("row", "size", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    several = kept(counts.where("n > 1").select("token"))
+    return kept(tokens.join(several, "token", "left_semi").select("row", "size", "token"))
+
+
+def similar_pairs(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` that have four fifths of their shingles in common, by the whole sets."""
+    pairs = kept(pairs.distinct())
+    wanted = kept(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+    sets = with_shingles(rows.join(wanted, "row", "left_semi"), text).dropDuplicates(["row"])
+    sets = kept(sets.select("row", "tokens"))
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(sets.select(F.col("row").alias(end), F.col("tokens").alias(f"of_{end}")), end)
+    held = F.size(F.array_intersect("of_a", "of_b"))
+    # In whole numbers, as 4 of 5 is no binary fraction.
+    near = held * 5 >= (F.size("of_a") + F.size("of_b") - held) * 4
+    return kept(both.where(near).select("a", "b"))
+
+
+def alike_in_size(x: str, y: str) -> Column:
+    return (F.col(x) * 5 >= F.col(y) * 4) & (F.col(y) * 5 >= F.col(x) * 4)
+
+
+def similar_to_kept(docs: DataFrame, chosen: DataFrame, text: str, row_id: str) -> DataFrame:
+    """(row) of the chosen rows that are near copies of a chosen row that stays.
+
+    Rows are taken in the order of their hashes, ``row``; one goes if it has four fifths of its shingles in
+    common with an earlier one that stays. Rows that share a shingle of their prefixes are compared, so no pair
+    is missed. Where a shingle is crowded, the first row of each of its shingles meets the others alone: it
+    stays, its near copies go, and the rest goes round again. Then few are left, which meet in pairs.
+    """
+    rows = docs.select(row_of(F.col(row_id), F.xxhash64(text)).alias("row"), text)
+    left = shared_tokens(rows, chosen, text)
+    gone = chosen.select("row").limit(0)
+    for _ in range(ROUNDS):
+        firsts = left.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "size")).alias("lead"))
+        firsts = kept(firsts.where("n > 1"))
+        if not firsts.where(F.col("n") > CROWD).limit(1).count():
+            break
+        met = left.join(firsts.select("token", "lead.row", "lead.size").toDF("token", "lead", "of_lead"), "token")
+        met = kept(met.select("row", "size", "lead", "of_lead").distinct())
+        behind = met.where("row <> lead").select("row").distinct()
+        sure = kept(met.select(F.col("lead").alias("row")).distinct().join(behind, "row", "left_anti"))
+        pairs = met.where((F.col("row") != F.col("lead")) & alike_in_size("size", "of_lead"))
+        pairs = pairs.join(sure.withColumnRenamed("row", "lead"), "lead", "left_semi")
+        near = similar_pairs(pairs.select(F.col("lead").alias("a"), F.col("row").alias("b")), rows, text)
+        drop = kept(near.select(F.col("b").alias("row")).distinct())
+        gone = gone.union(drop)
+        left = kept(left.join(drop.union(sure), "row", "left_anti"))
+
+    one, two = (left.select("token", F.col("row").alias(r), F.col("size").alias(f"size_{r}")) for r in "ab")
+    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & alike_in_size("size_a", "size_b"))
+    near = similar_pairs(pairs.select("a", "b"), rows, text)
+    while near.limit(1).count():
+        later = near.select(F.col("b").alias("a")).distinct()
+        drop = kept(near.join(later, "a", "left_anti").select(F.col("b").alias("row")).distinct())
+        gone = gone.union(drop)
+        for end in ("a", "b"):
+            near = near.join(drop.withColumnRenamed("row", end), end, "left_anti")
+        near = kept(near.select("a", "b"))
+    return gone
+
+
+def row_of(row_id: Column, text_hash: Column) -> Column:
+    return F.xxhash64(F.lit("row"), row_id, text_hash)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -342,15 +397,15 @@ def deduplicated(docs: DataFrame, text: str = "text", row_id: str = "doc_id") ->
 
     First one row of each component stays, the one with the smallest id, then text hash; where it is
     repeated, one of the equal rows. Of these, rows that have at least 0.8 of their five-word shingles
-    in common with a row that stays go too; they are found by their word fingerprints.
+    in common with a row that stays go too, however the edits are spread.
     """
-    found = near_duplicates(docs, text, row_id, TABLES)
+    found = near_duplicates(docs, text, row_id)
     stands = F.col("first.id").eqNullSafe(F.col(row_id)) & (F.col("first.text_hash") == F.col("text_hash"))
     chosen = found.where(stands).groupBy(F.col(row_id).alias("__id"), F.col("text_hash").alias("__hash"))
-    chosen = kept(chosen.agg(F.count(F.lit(1)).alias("__rows"), F.first("by_words").alias("by_words")))
-    near = similar_to_earlier(docs, chosen, text, row_id)
-    again = chosen["__id"].eqNullSafe(near["__id"]) & (chosen["__hash"] == near["__hash"])
-    chosen = kept(chosen.join(near, again, "left_anti").drop("by_words"))
+    chosen = chosen.agg(F.count(F.lit(1)).alias("__rows")).withColumn("row", row_of(F.col("__id"), F.col("__hash")))
+    chosen = kept(chosen)
+    near = similar_to_kept(docs, chosen, text, row_id)
+    chosen = kept(chosen.join(near, "row", "left_anti").drop("row"))
     same = F.col(row_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
     once = docs.join(chosen.where("__rows = 1"), same, "left_semi")
     more = docs.join(chosen.where("__rows > 1"), same, "left_semi")
