@@ -76,6 +76,29 @@ def test_awkward_rows(spark, clashing):
     assert set(range(30)) <= ids and not ids & {1000, 1001, 1002, 1004}
 
 
+def test_a_language_of_few_texts_is_found_and_kept(spark):
+    greek = [(500 + i, x, "el", "s", 1) for i, x in enumerate(["καλημέρα σας κύριε", "η θάλασσα είναι μπλε", "καλημέρα κύριε, η θάλασσα"])]
+    docs = frame(spark, [*labelled(), *greek])
+    names, model = L.train(docs, "text", "lang", "doc_id")
+    assert names == ["de", "el", "en", "fr"]
+    found = L.identify(docs, names, model, declared="lang", host="source").where("doc_id >= 500").collect()
+    assert {(r["text_language"], r["language"], r["rejected"]) for r in found} == {("el", "el", False)}
+    assert L.identified(frame(spark, greek)).count() == 3
+
+
+def test_more_languages_than_are_scored_at_once(spark, monkeypatch):
+    monkeypatch.setattr(L, "AT_ONCE", 16)
+    rng = random.Random(9)
+    alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(70)]
+    text = lambda a: " ".join("".join(rng.choices(a, k=5)) for _ in range(40))
+    data = [(i, text(alphabets[i % 70]), f"l{i % 70:02}", "s", 1) for i in range(210)]
+    docs = frame(spark, data)
+    names, model = L.train(docs.where("doc_id < 140"), "text", "lang", "doc_id")
+    assert names == [f"l{i:02}" for i in range(70)]
+    found = L.identify(docs.where("doc_id >= 140"), names, model).collect()
+    assert np.mean([r["language"] == f"l{r['doc_id'] % 70:02}" for r in found]) > 0.9
+
+
 def test_nothing_labelled_and_empty(spark):
     docs = frame(spark, [(1, "some text", None, None, 1)])
     assert [r["rejected"] for r in L.identify(docs, *L.train(docs, "text", "lang", "doc_id")).collect()] == [True]

@@ -11,7 +11,8 @@ The posterior of a language multiplies
   by level; hosts may number as many as they like, and none needs its rows in one place.
 
 The trigram model is trained on a bounded sample of labelled texts (``sample`` texts for each label,
-about, chosen by a hash of the id); everything else uses all rows. Texts are scored whole, in chunks
+about, chosen by a hash of the id); everything else uses all rows. Every declared language has a model, which is
+mixed with the whole corpus's trigrams, so that one of few texts lies between that and its own. Texts are scored whole, in chunks
 of bytes, so memory follows neither their length nor the batch.
 
 Rows with no letters at all get the language ``und`` and are rejected, as are null and empty texts; so
@@ -37,7 +38,10 @@ from tillpath.llm.common import kept
 GRAMS = 1 << 14
 EVIDENCE = 40.0
 SAMPLE = 2000
-MAX_LANGUAGES = 64
+AT_ONCE = 64
+"""Languages scored at a time."""
+SMOOTHING = 2000.0
+"""Trigrams of the whole corpus that each language's own are mixed with, so that a rare one has a model too."""
 PSEUDO = 20.0
 """Texts that a level of the host hierarchy is worth to the level below."""
 CHUNK = 1 << 20
@@ -87,13 +91,12 @@ def language_code(declared: str) -> Column:
 
 
 def train(
-    docs: DataFrame, text: str, label: str, row_id: str, sample: int = SAMPLE, min_rows: int = 20
+    docs: DataFrame, text: str, label: str, row_id: str, sample: int = SAMPLE
 ) -> tuple[list[str], np.ndarray]:
-    """The languages labelled often enough and their trigrams' log-probabilities, a row per language."""
+    """All declared languages and their trigrams' log-probabilities, a row per language."""
     labelled = docs.select(language_code(label).alias("label"), text, F.col(row_id).alias("id"))
     sizes = labelled.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-    common = sizes.where(F.col("rows") >= min_rows).orderBy(F.desc("rows"), "label").limit(MAX_LANGUAGES)
-    rows = {r["label"]: r["rows"] for r in common.collect()}
+    rows = {r["label"]: r["rows"] for r in sizes.collect()}
     languages = sorted(rows)
     if not languages:
         return [], np.zeros((0, GRAMS + 1), np.float32)
@@ -101,23 +104,28 @@ def train(
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000)) / 1_000_000.0
     chosen = labelled.where(F.col("label").isin(languages) & (draw < share[F.col("label")]))
 
+    place = {x: i for i, x in enumerate(languages)}
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(languages), GRAMS + 1), np.int64)
         for batch in batches:
-            which = np.array([languages.index(x) for x in batch.column(0).to_pylist()])
+            which = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
             for rows, starts, grams in gram_chunks(batch.column(1)):
-                ends = np.append(starts[1:], len(grams))
-                for row, low, high in zip(rows, starts, ends):
-                    seen[which[row]] += np.bincount(grams[low:high], minlength=GRAMS + 1)
-        language, gram = np.nonzero(seen[:, :GRAMS])
-        columns = [pa.array(x.astype(np.int64)) for x in (language, gram, seen[language, gram])]
-        yield pa.RecordBatch.from_arrays(columns, ["language", "gram", "n"])
+                if not len(rows):
+                    continue
+                # What stands before the first row of a chunk belongs to none.
+                of = np.repeat(which[rows], np.diff(np.append(starts, len(grams))))
+                grams = grams[starts[0] :]
+                seen, n = np.unique((of * GRAMS + grams)[grams < GRAMS], return_counts=True)
+                columns = [pa.array(x.astype(np.int64)) for x in (seen // GRAMS, seen % GRAMS, n)]
+                yield pa.RecordBatch.from_arrays(columns, ["language", "gram", "n"])
 
     counted = chosen.select("label", text).mapInArrow(count, "language long, gram long, n long")
-    table = np.zeros((len(languages), GRAMS + 1))
-    for r in counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
-        table[r["language"], r["gram"]] = r["n"]
-    table = table[:, :GRAMS] + 0.5
+    table = np.zeros((len(languages), GRAMS))
+    sums = counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
+    language, gram, n = (sums.column(c).to_numpy() for c in ("language", "gram", "n"))
+    table[language, gram] = n
+    whole = table.sum(axis=0) + 0.5
+    table += SMOOTHING * whole / whole.sum()
     logs = np.log(table / table.sum(axis=1, keepdims=True)) + math.log(GRAMS)
     return languages, np.pad(logs, ((0, 0), (0, 1))).astype(np.float32)
 
@@ -129,15 +137,17 @@ def with_text_scores(docs: DataFrame, text: str, model: np.ndarray) -> DataFrame
     schema = T.StructType(
         [*rest, T.StructField("__grams", T.LongType()), T.StructField("__scores", T.ArrayType(T.FloatType()))]
     )
-    by_gram = np.ascontiguousarray(model.T)
+    parts = [np.ascontiguousarray(model[i : i + AT_ONCE].T) for i in range(0, len(model), AT_ONCE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.zeros((batch.num_rows, by_gram.shape[1]))
+            scores = np.zeros((batch.num_rows, sum(x.shape[1] for x in parts)))
             grams_of = np.zeros(batch.num_rows, np.int64)
             for rows, starts, grams in gram_chunks(batch.column(batch.schema.get_field_index(text))):
                 if len(rows):
-                    scores[rows] += np.add.reduceat(by_gram[grams], starts, axis=0, dtype=np.float64)
+                    for i, part in enumerate(parts):
+                        here = slice(i * AT_ONCE, i * AT_ONCE + part.shape[1])
+                        scores[rows, here] += np.add.reduceat(part[grams], starts, axis=0, dtype=np.float64)
                     grams_of[rows] += np.add.reduceat((grams < GRAMS).astype(np.int64), starts)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             lists = pa.array(list(scores.astype(np.float32)), pa.list_(pa.float32()))
@@ -217,10 +227,10 @@ def identify(
     labels = [*languages, "other"]
     of_language = [sum((said[d][f"n{i}"] if d in said else 0.0) + 1.0 for d in labels) for i in range(size)]
     rates = [
-        F.array(*(F.lit(math.log(((said[d][f"n{i}"] if d in said else 0.0) + 1.0) / of_language[i])) for i in range(size)))
+        (d, [math.log(((said[d][f"n{i}"] if d in said else 0.0) + 1.0) / of_language[i]) for i in range(size)])
         for d in labels
     ]
-    of_declared = F.create_map(*(x for d, r in zip(labels, rates) for x in (F.lit(d), r)))
+    of_declared = docs.sparkSession.createDataFrame(rates, "__said string, __label array<double>")
     neutral = F.array(*[F.lit(0.0)] * size)
     priors = host_priors(seen, size)
     found = texts.join(priors.where("__of IS NOT NULL"), F.col("__host") == F.col("__of"), "left")
@@ -228,7 +238,8 @@ def identify(
     count = sum(x or 0.0 for x in whole)
     base = F.array(*(F.lit(((x or 0.0) + 1.0) / (count + size)) for x in whole))
     found = found.withColumn("__prior", F.coalesce("__prior", base))
-    found = found.withColumn("__label", F.coalesce(of_declared[F.col("__declared")], neutral))
+    found = found.join(F.broadcast(of_declared), F.col("__declared") == F.col("__said"), "left")
+    found = found.withColumn("__label", F.coalesce("__label", neutral))
     fused = F.transform("__text", lambda x, i: x + F.get("__label", i) + F.log(F.get("__prior", i)))
     found = found.withColumn("__fused", softmax(fused))
     names = F.array(*map(F.lit, languages))
@@ -243,7 +254,7 @@ def identify(
             "n_grams": F.col("__grams"),
             "rejected": ~letters | unlike | (F.array_max("__fused") < min_posterior),
         }
-    ).drop(*(f"__{c}" for c in "declared host grams scores text post of prior label fused".split()))
+    ).drop(*(f"__{c}" for c in "declared host grams scores text post of prior said label fused".split()))
 
 
 def identified(
