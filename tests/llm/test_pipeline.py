@@ -100,7 +100,7 @@ def test_empty_documents(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     numbers = {name.split("_")[0] for name in QUERIES} - {"pipeline"}
-    assert numbers == {f"op{n}" for n in range(1, 11)}
+    assert numbers == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLE_SQL) <= set(QUERIES) and set(QUERIES) <= set(contract.queries())
 
 

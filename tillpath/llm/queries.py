@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillpath.llm import oracle
+from tillpath.llm import minhash, oracle
+from tillpath.llm.centroids import cluster, with_summary
 from tillpath.llm.common import table
 from tillpath.llm.decontamination import find
 from tillpath.llm.html import extract_text
@@ -19,6 +20,7 @@ from tillpath.llm.quality import judge
 from tillpath.llm.secrets import judge_findings, weak_labels, with_features
 from tillpath.llm.sharding import shard_documents
 from tillpath.llm.simhash import near_duplicates
+from tillpath.llm.spelling import variants, vocabulary
 from tillpath.llm.urls import judge_urls
 
 
@@ -94,6 +96,22 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "position", "candidate", "before", "after", "covered", "p_secret", "is_secret")
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word of the documents with the frequent word that it is a variant of."""
+    words = vocabulary(table(spark, folder, "documents").select("doc_id", "text"), slips=97)
+    return variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class of near duplicates by the similarity of its shingles."""
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's cluster after three rounds."""
+    return with_summary(*cluster(table(spark, folder, "embeddings").select("vec_id", "embedding")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, folder)
@@ -110,7 +128,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_spelling": op11_spelling,
+    "op12_minhash": op12_minhash,
+    "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": oracle.MIXING, "op6_url_rules": oracle.URL_RULES}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": oracle.MIXING,
+    "op6_url_rules": oracle.URL_RULES,
+    "op11_spelling": oracle.SPELLING,
+    "op12_minhash": oracle.MINHASH,
+    "op13_centroids": oracle.CENTROIDS,
+}
