@@ -117,10 +117,14 @@ def test_page_ranks_read_the_events_once(stored):
     assert "ReusedExchange" in text
 
 
-def test_channel_join_drops_the_unused_hot_branch(stored):
-    text = final_plan(build_master(stored, hot_share=0.5))
-    assert "LeftAnti" not in text
-    assert len(re.findall(r"(SortMergeJoin|HashJoin) ", text)) == 1
+def test_master_events_pass_over_the_events_three_times(stored):
+    for events in (stored, _hot(stored)):
+        master = build_master(events)
+        # The crowded buckets are planned for both sides, and run once.
+        assert plan(master).count("FileScan") == 4
+        text = final_plan(master)
+        assert text.count("FileScan") == 3 and "ReusedExchange" in text
+        assert len(re.findall(r"(SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) ", text)) == 3
 
 
 def _hot(events):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 from types import SimpleNamespace
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.frames import items, raw, records, rows
 from tillpath import schema as S
 from tillpath.functions import channel_label, normalized_page
-from tillpath.operators.attribution import attach_sessions, attribute_sessions, hot_sessions
+from tillpath.operators.attribution import attach_sessions, attribute_sessions, crowded_buckets
 from tillpath.plans.channel_mart import session_mart
 from tillpath.plans.prepare import build_items, build_master, parsed_date, without_attribution
 from tillpath.session import input_size, shuffle_partitions_for, size_shuffles
@@ -159,12 +160,40 @@ def test_a_dominant_session_joins_like_any_other(spark, hot_share):
 
 
 @pytest.mark.parametrize("hot_share", [0.001, 0.02, 0.05, 0.3, 0.9])
-def test_hot_sessions_are_those_above_the_share(spark, hot_share):
+def test_crowded_buckets_hold_all_hot_sessions(spark, hot_share):
     sizes = {n: n for n in range(1, 25)} | {99: 200, None: 100}
     events = raw(spark, *[{"session_id": s} for s, rows_ in sizes.items() for _ in range(rows_)])
-    limit = hot_share * sum(sizes.values())
-    expected = {s for s, rows_ in sizes.items() if s is not None and rows_ > limit}
-    assert {r[0] for r in rows(hot_sessions(events.repartition(3), hot_share))} == expected
+    limit = max(1, hot_share * sum(sizes.values()))
+    buckets = math.ceil(4 / hot_share)
+    keyed = spark.createDataFrame([(s,) for s in sizes if s is not None], "session_id long")
+    place = dict(rows(keyed.select("session_id", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))))
+    counts = {}
+    for session, rows_ in sizes.items():
+        if session is not None:
+            counts[place[session]] = counts.get(place[session], 0) + rows_
+    expected = {(b, math.ceil(n / limit)) for b, n in counts.items() if n > limit}
+    assert set(rows(crowded_buckets(events.repartition(3), hot_share))) == expected
+    assert sum(salts for _, salts in expected) <= 2 / hot_share
+
+
+def test_rows_of_a_hot_session_are_dealt_to_many_parts(spark):
+    hot = [{"session_id": 7, "source": "google"} for _ in range(600)]
+    nowhere = [{"session_id": None} for _ in range(600)]
+    few = [{"session_id": n} for n in range(100, 700)]
+    events = raw(spark, *hot, *nowhere, *few)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = attach_sessions(events, attribute_sessions(events), 0.02)
+        sizes = rows(found.groupBy(F.spark_partition_id()).count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # A plain join has 600 rows in one task, twice.
+    assert sum(n for _, n in sizes) == 1800 and max(n for _, n in sizes) < 250
 
 
 @pytest.mark.parametrize("text", ["20201131", "2020-11-01", "x", "202011", "20201301", ""])
@@ -277,10 +306,10 @@ def test_master_is_stored_by_month_and_read_by_month(spark, tmp_path, rebalance)
     write_master(build_master(events), path, rebalance=rebalance)
     stored = read_table(spark, path)
     assert stored.count() == 4
-    december = stored.filter(F.col("year_month") == "2020-12")
+    december = stored.filter(F.col(S.MONTH_FOLDER) == "2020-12")
     assert december.count() == 2
     scan = december._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year_month" in scan
+    assert f"PartitionFilters: [isnotnull({S.MONTH_FOLDER}" in scan
 
 
 def test_plain_parquet_table(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.frames import items, raw, rows
 from tillpath import schema as S
@@ -90,7 +91,7 @@ def test_both_kinds_of_tables_have_thirteen_columns(spark, given, store):
 
 def test_few_files_per_month(spark, given, store):
     files = [f for f in StoredTables(spark, store).master.inputFiles()]
-    months = {f.split("year_month=")[1].split("/")[0] for f in files}
+    months = {f.split(f"{S.MONTH_FOLDER}=")[1].split("/")[0] for f in files}
     assert len(files) <= 2 * len(months)
 
 
@@ -136,6 +137,22 @@ def test_further_columns_reach_the_master_events(spark, tmp_path):
     assert copy.first()["user_pseudo_id"] == "u1" and copy.first()["note"] == "two\nlines"
 
 
+@pytest.mark.parametrize("name", [*S.RESERVED, "Channel", "year_month", "bucket", "salts", "rows", "__salt", "__bucket"])
+def test_further_columns_with_names_of_added_ones(spark, tmp_path, name):
+    events = raw(spark, {"session_id": 1, "source": "google", "medium": "cpc"}, {"session_id": None}, {"session_id": 2})
+    theirs = events.withColumn(name, F.concat(F.lit("theirs "), "event_id")).withColumn("raw_channel", F.lit("as well"))
+    shop = RawTables(theirs, items(spark, {"session_id": 1}))
+    shop.store(str(tmp_path))
+    clashes = name.lower() in S.RESERVED or name.startswith("__")
+    kept = {"Channel": "raw_raw_Channel", "channel": "raw_raw_channel"}.get(name, "raw_" + name.lstrip("_")) if clashes else name
+    for tables in (shop, StoredTables(spark, str(tmp_path))):
+        found = {r["event_id"]: r for r in tables.master.collect()}
+        assert [found[n][kept] for n in range(3)] == ["theirs 0", "theirs 1", "theirs 2"]
+        assert [found[n]["channel"] for n in range(3)] == ["Google Paid", "Unknown", "Unknown"]
+        assert found[0]["session_source"] == "google" and found[0]["raw_channel"] == "as well"
+        assert rows(REPORTS["channel_value_counts"](tables)) == [("Unknown", 2), ("Google Paid", 1)]
+
+
 def test_an_export_without_event_ids_and_with_fractional_user_ids(spark, tmp_path):
     (tmp_path / "events.csv").write_text(
         "event_date,event_name,user_pseudo_id,session_id,device_category,country,page_location,"

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillpath import schema as S
 from tillpath.functions import as_columns, channel_label
@@ -15,7 +16,10 @@ from tillpath.functions import as_columns, channel_label
 ATTRIBUTES = {"source": "session_source", "medium": "session_medium", "campaign": "session_campaign"}
 
 HOT_SHARE = 1e-4
-"""A session with more than this share of all rows is joined by broadcast, see `attach_sessions`."""
+"""Share of all rows that one session may bring to a task of a join, see `attach_sessions`."""
+
+NOWHERE = 1 << 20
+"""Parts that rows without a session are dealt to; they meet nothing there."""
 
 
 def attributed_rows(events: DataFrame) -> DataFrame:
@@ -84,32 +88,48 @@ def group_channels(df: DataFrame, own_hosts: Sequence[str] = S.OWN_HOSTS) -> Dat
     return df.withColumn("channel", channel_label("session_source", "session_medium", own_hosts))
 
 
-def hot_sessions(
+def _complete(parts: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in parts])
+
+
+def _bucket(parts: Sequence[str], hot_share: float) -> Column:
+    """One of ``4 / hot_share`` buckets for a session, by its hash."""
+    buckets = math.ceil(4 / hot_share) if hot_share > 0 else 1
+    return F.when(_complete(parts), F.pmod(F.xxhash64(*parts), F.lit(buckets)))
+
+
+def crowded_buckets(
     events: DataFrame,
     hot_share: float = HOT_SHARE,
     session_key: str | Sequence[str] = "session_id",
 ) -> DataFrame:
-    """Ids of the sessions with more than ``hot_share`` of all rows, under ``1 / hot_share`` of them.
+    """(bucket, salts) of the buckets of sessions with more than ``hot_share`` of all rows.
+
+    The counts per bucket are a sketch of how often each session occurs: they never fall below a session's
+    own count, merge by adding up, and take one row per bucket, however many sessions there are. So one
+    aggregate that merges map-side replaces counting the sessions, and a hot session is never missed. ``salts`` is the
+    number of parts that leave no more than the share in each. There are under ``1 / hot_share`` such
+    buckets, with under ``2 / hot_share`` salts in all.
 
-    Counting every session would shuffle as many rows as there are sessions. Rows are counted per
-    hash bucket first, which merges to a few thousand counts per task. A hot session makes its
-    bucket hot, so only sessions of hot buckets are then counted one by one; mostly there are none
-    and adaptive execution skips that step.
+    The counts are exact, so evaluating this twice gives the same rows twice.
     """
-    buckets = math.ceil(2 / hot_share) if hot_share > 0 else 1
     parts = as_columns(session_key)
-    known = events.dropna(subset=parts).select(
-        *parts, F.pmod(F.xxhash64(*parts), F.lit(buckets)).alias("bucket")
+    counts = events.groupBy(_bucket(parts, hot_share).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    whole = counts.agg(
+        F.sum("rows").alias("total"), F.collect_list(F.struct("bucket", "rows")).alias("buckets")
+    )
+    limit = F.greatest(F.lit(hot_share) * F.col("total"), F.lit(1.0))
+    return (
+        whole.select(limit.alias("limit"), F.inline("buckets"))
+        .filter(F.col("bucket").isNotNull() & (F.col("rows") > F.col("limit")))
+        .select("bucket", F.ceil(F.col("rows") / F.col("limit")).cast("int").alias("salts"))
     )
-    total = events.agg(F.count(F.lit(1)).alias("rows"))
-    threshold = F.lit(hot_share) * total.scalar()
 
-    def above_threshold(rows: DataFrame, key: list[str]) -> DataFrame:
-        counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-        return counts.filter(F.col("rows") > threshold).select(*key)
 
-    hot_buckets = F.broadcast(above_threshold(known, ["bucket"]))
-    return above_threshold(known.join(hot_buckets, "bucket", "left_semi"), parts)
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
 
 
 def attach_sessions(
@@ -120,23 +140,31 @@ def attach_sessions(
 ) -> DataFrame:
     """Left join of event rows to ``sessions``, which holds a session at most once.
 
-    Rows of one session meet in one task of a shuffled join, and so do all rows without a
-    session. Neither is safe when a single key can hold a third of the table, so only ordinary
-    sessions take that join. The rows of a hot session are joined by broadcast where they lie; the
-    number of such sessions is bounded for any table, see `hot_sessions`. Rows without a session
-    match nothing and are not joined at all. When no session is hot, adaptive execution drops that
-    branch with its scan.
+    Rows of one session would meet in one task of a shuffled join, and so would all rows without a
+    session; a single key can hold a third of the table. So rows meet by session and salt: those of sessions in a
+    crowded bucket are dealt to the bucket's salts by a hash of the row, and the attributes of these sessions are repeated
+    for every salt. Sessions share a bucket at random, so on average less than half a row per session is
+    added, and mostly none. Rows without a session are spread the same way and match nothing.
+
+    Salts depend on the rows alone: tasks that run again give the same rows. Only rows that are equal in every
+    column stay together.
     """
     parts = as_columns(session_key)
     attributes = [c for c in sessions.columns if c not in parts]
-    known = events.dropna(subset=parts)
-    hot = hot_sessions(events, hot_share, session_key)
-    ordinary = known.join(F.broadcast(hot), parts, "left_anti").join(sessions, parts, "left")
-    heavy = known.join(F.broadcast(hot.join(sessions, parts, "left")), parts)
-    incomplete = reduce(lambda a, b: a | b, [F.col(p).isNull() for p in parts])
-    nowhere = events.filter(incomplete).select(
-        *events.columns,
-        *[F.lit(None).cast(sessions.schema[c].dataType).alias(c) for c in attributes],
+    crowded = F.broadcast(crowded_buckets(events, hot_share, session_key).toDF("__bucket", "__salts"))
+    bucket = _bucket(parts, hot_share).alias("__bucket")
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in events.schema if not _has_map(f.dataType)])
+    salt = (
+        F.when(~_complete(parts), F.pmod(row, F.lit(NOWHERE)))
+        .when(F.col("__salts").isNotNull(), F.pmod(row, F.col("__salts")))
+        .otherwise(F.lit(0))
+    )
+    dealt = events.select("*", bucket).join(crowded, "__bucket", "left").withColumn("__salt", salt.cast("int"))
+    salts = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    repeated = (
+        sessions.select("*", bucket)
+        .join(crowded, "__bucket", "left")
+        .select(*sessions.columns, F.explode(salts).alias("__salt"))
     )
-    columns = [*events.columns, *attributes]
-    return ordinary.select(columns).union(heavy.select(columns)).union(nowhere.select(columns))
+    found = dealt.join(repeated, [*parts, "__salt"], "left")
+    return found.select(*[F.col(f"`{c}`") for c in [*events.columns, *attributes]])

@@ -36,12 +36,30 @@ def build_items(raw_items: DataFrame) -> DataFrame:
     return raw_items.withColumn("event_date", parsed_date())
 
 
+def without_clashes(raw_events: DataFrame) -> DataFrame:
+    """``raw_events`` with further columns that are named like an added one renamed, as in ``raw_channel``.
+
+    Names differ by more than their case, as in all of Spark.
+    """
+    taken = {c.lower() for c in raw_events.columns}
+    renamed = {}
+    for name in raw_events.columns:
+        if name.lower() in S.RESERVED or name.startswith(S.RESERVED_START):
+            new = S.RENAMED + name.lstrip("_")
+            while new.lower() in taken:
+                new = S.RENAMED + new
+            taken.add(new.lower())
+            renamed[name] = new
+    return raw_events.withColumnsRenamed(renamed) if renamed else raw_events
+
+
 def without_attribution(raw_events: DataFrame) -> DataFrame:
     """Events with a parsed date and without the source columns of the single event.
 
     All that reports need which do not look at channels; they read this and skip the join.
     """
-    return raw_events.drop("source", "medium", "campaign").withColumn("event_date", parsed_date())
+    events = without_clashes(raw_events).drop("source", "medium", "campaign")
+    return events.withColumn("event_date", parsed_date())
 
 
 def build_master(
@@ -54,7 +72,7 @@ def build_master(
     """Every event with the source, medium, campaign and channel of its session.
 
     One row in gives one row out. Sessions without any source, and rows without a session, get
-    the Unknown channel.
+    the Unknown channel. Further columns are carried along, see `without_clashes`.
     """
     sessions = attribute_sessions(raw_events, priority, session_key)
     joined = attach_sessions(without_attribution(raw_events), sessions, hot_share, session_key)

@@ -122,6 +122,12 @@ NULL_TOKENS = (
     "null",
 )
 
+# Columns that preparation adds. A further column of the input with such a name, in any case, is renamed.
+MONTH_FOLDER = "tillpath_month"
+RESERVED = ("session_source", "session_medium", "session_campaign", "channel", MONTH_FOLDER)
+RESERVED_START = "__"
+RENAMED = "raw_"
+
 # Labels of the two kinds of user.
 NEW_USER = "New"
 RETURNING_USER = "Returning"

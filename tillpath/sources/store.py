@@ -8,9 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillpath import schema as S
 from tillpath.functions import month_label
 
-MONTH_FOLDER = "year_month"
+MONTH_FOLDER = S.MONTH_FOLDER
 
 
 def shared_folder(spark: SparkSession) -> str:
