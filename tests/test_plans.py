@@ -127,6 +127,11 @@ def test_master_events_pass_over_the_events_three_times(stored):
         assert len(re.findall(r"(SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) ", text)) == 3
 
 
+def test_new_and_returning_users_come_from_one_pass(stored):
+    text = final_plan(engagement.new_vs_returning(without_attribution(stored)))
+    assert text.count("FileScan") == 1 and "ReusedExchange" in text
+
+
 def _hot(events):
     """A third of all rows in one session, of one user, on one page and without a country."""
     third = F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0

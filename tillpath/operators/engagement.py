@@ -67,22 +67,26 @@ def new_vs_returning(
     Users are labelled by comparing their lowest and highest session. No label is joined back to
     the events, as one very active user would then meet all its rows in one task: a session's
     returning users are all its users less the new ones, and a new user has one session only.
-    Three groupings that merge map-side, by user, by session and user and by session, give every
-    count.
+    The events are read and shuffled once, merged by session and user; groupings of that by user and
+    by session give every count.
     """
     known = events.filter(F.col("user_pseudo_id").isNotNull()).withColumn(
         "session", session_key_column(session_key)
     )
-    has_session = F.col("session").isNotNull()
     bought = F.coalesce(F.col("event_name") == S.PURCHASE_EVENT, F.lit(False))
+    visits = known.groupBy("session", "user_pseudo_id").agg(
+        F.max(bought.cast("int")).alias("buyer"),
+        F.sum(F.col("revenue").cast("double")).alias("revenue"),
+    )
+    has_session = F.col("session").isNotNull()
     is_new = F.coalesce(F.col("session") == F.col("last_session"), F.lit(False))
     users = (
-        known.groupBy("user_pseudo_id")
+        visits.groupBy("user_pseudo_id")
         .agg(
             F.min("session").alias("session"),
             F.max("session").alias("last_session"),
-            F.max((bought & has_session).cast("int")).alias("buyer"),
-            F.sum(F.col("revenue").cast("double")).alias("revenue"),
+            F.max(F.when(has_session, F.col("buyer")).otherwise(0)).alias("buyer"),
+            F.sum("revenue").alias("revenue"),
         )
         .select(
             F.when(is_new, F.col("session")).alias("session"),
@@ -95,17 +99,14 @@ def new_vs_returning(
             F.when(~is_new, F.col("revenue")).alias("old_revenue"),
         )
     )
-    visitors = (
-        known.filter(has_session)
-        .groupBy("session", "user_pseudo_id")
-        .agg(F.max(bought.cast("int")).alias("buyer"))
-        .select(
-            "session",
-            F.lit(1).alias("users"),
-            F.col("buyer").alias("buyers"),
-            F.lit(0).alias("new_users"),
-            F.lit(0).alias("new_buyers"),
-        )
+    # Always true; with the revenue both branches read the same columns, so they come from one shuffle.
+    counts = has_session & F.coalesce(F.abs("revenue") >= 0, F.lit(True))
+    visitors = visits.select(
+        "session",
+        F.when(counts, 1).otherwise(0).alias("users"),
+        F.when(counts, F.col("buyer")).otherwise(0).alias("buyers"),
+        F.lit(0).alias("new_users"),
+        F.lit(0).alias("new_buyers"),
     )
     sums = [c for c in users.columns if c != "session"]
     totals = (
