@@ -340,6 +340,7 @@ BODIES: dict[str, str] = {
                arg_min(campaign, slot) FILTER (WHERE campaign IS NOT NULL) AS session_campaign
         FROM placed GROUP BY session_id""",
     "master_events": "SELECT * FROM master",
+    "master_events_incremental": "SELECT * FROM master",
     "channel_grouping": """
         SELECT DISTINCT session_id, session_source, session_medium, session_campaign, channel
         FROM master
@@ -452,6 +453,7 @@ BODIES: dict[str, str] = {
     "bounce_by_country": _bounce("country", "v.total_sessions >= 50"),
     "bounce_by_large_country": _bounce("country", "v.total_sessions >= 160"),
     "bounce_by_channel": _bounce("channel"),
+    "bounce_by_channel_incremental": _bounce("channel"),
     "new_vs_returning": USERS + "\nSELECT * FROM report",
     "user_type_lift": USERS
     + """

@@ -1,6 +1,7 @@
 """Prepare a shop's tables, or print or store one of its reports.
 
     python -m tillpath prepare --events dataset.csv --items items.csv --out store
+    python -m tillpath add --events day.csv --items day_items.csv --out store --batch 2021-01-31
     python -m tillpath report channel_attribution --store store
 """
 
@@ -11,6 +12,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from tillpath import schema as S
+from tillpath.plans.growing import GrowingStore
 from tillpath.plans.reports import REPORTS
 from tillpath.plans.tables import ITEMS, MASTER, Options, RawTables, StoredTables
 from tillpath.session import builder, input_size, size_shuffles
@@ -38,29 +40,36 @@ def _options(given: argparse.Namespace) -> Options:
     return Options(**out)
 
 
+def _input_arguments(parser: argparse.ArgumentParser) -> None:
+    parser.add_argument("--events", required=True)
+    parser.add_argument("--items", required=True)
+    parser.add_argument("--out", required=True)
+    parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    parser.add_argument("--multiline", action="store_true", help="CSV has quoted line breaks")
+    parser.add_argument("--own-host", action="append", help="a source that is the shop itself")
+    parser.add_argument("--priority", help="events for attribution, strongest first, by commas")
+    parser.add_argument(
+        "--session-key", default="session_id", help="columns that identify a session, by commas"
+    )
+    parser.add_argument(
+        "--stage", action="append", metavar="EVENT=LABEL", help="a funnel stage; give all in order"
+    )
+
+
 def _arguments(given: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="tillpath", description=__doc__.splitlines()[0])
     commands = parser.add_subparsers(dest="command", required=True)
     prepare = commands.add_parser("prepare", help="raw tables to stored tables")
-    prepare.add_argument("--events", required=True)
-    prepare.add_argument("--items", required=True)
-    prepare.add_argument("--out", required=True)
-    prepare.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    _input_arguments(prepare)
     prepare.add_argument("--csv-copy", action="store_true", help="also write the tables as CSV")
     prepare.add_argument(
         "--in-date-order",
         action="store_true",
         help="skip the shuffle that gives few, even files per month",
     )
-    prepare.add_argument("--multiline", action="store_true", help="CSV has quoted line breaks")
-    prepare.add_argument("--own-host", action="append", help="a source that is the shop itself")
-    prepare.add_argument("--priority", help="events for attribution, strongest first, by commas")
-    prepare.add_argument(
-        "--session-key", default="session_id", help="columns that identify a session, by commas"
-    )
-    prepare.add_argument(
-        "--stage", action="append", metavar="EVENT=LABEL", help="a funnel stage; give all in order"
-    )
+    add = commands.add_parser("add", help="new raw rows to a growing store, which the first batch starts")
+    _input_arguments(add)
+    add.add_argument("--batch", required=True, help="a name for these rows; a failed batch is added again")
     report = commands.add_parser("report", help="one report on stored tables")
     report.add_argument("name", choices=sorted(REPORTS))
     report.add_argument("--store", required=True)
@@ -89,6 +98,13 @@ def main(given: list[str] | None = None) -> None:
             write_csv_table(stored.master, f"{options.out}/{MASTER}_csv")
             write_csv_table(stored.items, f"{options.out}/{ITEMS}_csv")
         return
+    if options.command == "add":
+        size_shuffles(spark, input_size(spark, options.events, options.items), PREPARE_SHARE)
+        events = _read(spark, options.events, S.CSV_EVENTS, options)
+        sold = _read(spark, options.items, S.RAW_ITEMS, options)
+        months = GrowingStore(spark, options.out, _options(options)).add(options.batch, events, sold)
+        print(f"added {options.batch}; months written: {' '.join(months)}")
+        return
     size_shuffles(spark, input_size(spark, options.store), REPORT_SHARE)
     raw_events = None if options.raw_events is None else read_table(spark, options.raw_events)
     rows = REPORTS[options.name](StoredTables(spark, options.store, raw_events))

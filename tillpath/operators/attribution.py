@@ -27,7 +27,7 @@ def attributed_rows(events: DataFrame) -> DataFrame:
     return events.filter(F.col("source").isNotNull())
 
 
-def _precedence(columns: Sequence[str], value: str, priority: Sequence[str] | None) -> Column:
+def precedence(columns: Sequence[str], value: str, priority: Sequence[str] | None) -> Column:
     """Sort key of an event for one attribute: lowest first, null where the value is missing.
 
     Without ``priority`` event names count in ascending order, null names last. Ties inside one
@@ -55,7 +55,7 @@ def attribution_aggregates(
     """
     has_source = F.col("source").isNotNull()
     return [
-        F.min_by(value, F.when(has_source, _precedence(columns, value, priority))).alias(alias)
+        F.min_by(value, F.when(has_source, precedence(columns, value, priority))).alias(alias)
         for value, alias in ATTRIBUTES.items()
     ]
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpath import schema as S
+from tillpath.plans.growing import GrowingStore
 from tillpath.plans.reports import REPORTS, USER_SESSION, bounce_by_country
-from tillpath.plans.tables import Options, RawTables
+from tillpath.plans.tables import Options, RawTables, StoredTables
 from tillpath.sources import (
     raw_events,
     raw_items,
@@ -85,11 +86,30 @@ def csv_roundtrip_items(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_table(spark, path, S.ITEMS_CLEAN)
 
 
+def added_in_two_halves(spark: SparkSession, folder: str) -> StoredTables:
+    """The tables of a folder, added to a store in two batches that share sessions and months."""
+    shop = tables(spark, folder)
+    path = scratch_path(spark, "growing")
+    store = GrowingStore(spark, path)
+    by_event = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    by_item = F.pmod(F.xxhash64("session_id", "item_name"), F.lit(2))
+    for half in (0, 1):
+        events = shop.raw_events.filter(by_event == half)
+        store.add(f"half-{half}", events, shop.raw_items.filter(by_item == half))
+    return StoredTables(spark, path)
+
+
+def _growing(report: str) -> Query:
+    return lambda spark, folder: REPORTS[report](added_in_two_halves(spark, folder))
+
+
 CATALOG: dict[str, Query] = {name: _query(name) for name in REPORTS} | {
     "csv_roundtrip_events": csv_roundtrip_events,
     "csv_roundtrip_items": csv_roundtrip_items,
     "funnel_unmapped": _on_unmapped("funnel"),
     "funnel_drop_unmapped": _on_unmapped("funnel_drop_unmapped"),
+    "master_events_incremental": _growing("master_events"),
+    "bounce_by_channel_incremental": _growing("bounce_by_channel"),
     "bounce_by_large_country": lambda spark, folder: bounce_by_country(
         tables(spark, folder), LARGE_COUNTRY
     ),

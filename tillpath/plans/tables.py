@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillpath import schema as S
 from tillpath.plans.channel_mart import session_mart
 from tillpath.plans.prepare import build_items, build_master, without_attribution
-from tillpath.sources import MONTH_FOLDER, read_table, write_master, write_table
+from tillpath.sources import BATCH_FOLDER, MONTH_FOLDER, read_table, write_master, write_table
 
 MASTER = "master_events"
 ITEMS = "items_clean"
@@ -103,19 +103,20 @@ class RawTables:
 
 
 class StoredTables:
-    """Tables that `RawTables.store` wrote.
+    """Tables that `RawTables.store` or `GrowingStore.add` wrote.
 
     Channel reports read the sessions, which are far fewer than the events; the attribution is not
     computed again. Reports on raw columns need the raw events, given or landed in the folder.
     """
 
     def __init__(self, spark: SparkSession, folder: str, raw_events: DataFrame | None = None):
-        self._landed_events = lambda: read_table(spark, f"{folder}/{RAW_EVENTS}")
+        landed = f"{folder}/{RAW_EVENTS}"
+        self._landed_events = lambda: read_table(spark, landed).drop(MONTH_FOLDER, BATCH_FOLDER)
         self._raw_events = raw_events
         stored = read_table(spark, f"{folder}/{MASTER}")
         self.master = stored.drop(MONTH_FOLDER)
         self.sessions = read_table(spark, f"{folder}/{SESSIONS}")
-        self.items = read_table(spark, f"{folder}/{ITEMS}")
+        self.items = read_table(spark, f"{folder}/{ITEMS}").drop(BATCH_FOLDER)
         self.events = self.master
         self.options = Options.from_json(read_table(spark, f"{folder}/{OPTIONS}").first()[0])
 

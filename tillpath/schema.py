@@ -124,7 +124,8 @@ NULL_TOKENS = (
 
 # Columns that preparation adds. A further column of the input with such a name, in any case, is renamed.
 MONTH_FOLDER = "tillpath_month"
-RESERVED = ("session_source", "session_medium", "session_campaign", "channel", MONTH_FOLDER)
+BATCH_FOLDER = "tillpath_batch"
+RESERVED = ("session_source", "session_medium", "session_campaign", "channel", MONTH_FOLDER, BATCH_FOLDER)
 RESERVED_START = "__"
 RENAMED = "raw_"
 

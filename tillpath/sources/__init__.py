@@ -3,15 +3,18 @@
 from tillpath.sources.csv_files import read_csv_table, write_csv_table
 from tillpath.sources.derived import raw_events, raw_items
 from tillpath.sources.store import (
+    BATCH_FOLDER,
     MONTH_FOLDER,
     read_table,
     scratch_path,
     shared_folder,
+    table_exists,
     write_master,
     write_table,
 )
 
 __all__ = [
+    "BATCH_FOLDER",
     "MONTH_FOLDER",
     "raw_events",
     "raw_items",
@@ -19,6 +22,7 @@ __all__ = [
     "read_table",
     "scratch_path",
     "shared_folder",
+    "table_exists",
     "write_csv_table",
     "write_master",
     "write_table",

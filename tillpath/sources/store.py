@@ -6,12 +6,13 @@ import functools
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tillpath import schema as S
 from tillpath.functions import month_label
 
-MONTH_FOLDER = S.MONTH_FOLDER
+MONTH_FOLDER, BATCH_FOLDER = S.MONTH_FOLDER, S.BATCH_FOLDER
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,26 +46,46 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists"
+    df: DataFrame,
+    path: str,
+    partition_by: list[str] | None = None,
+    mode: str = "errorifexists",
+    only_given: bool = False,
 ) -> None:
-    """Write ``df`` as Parquet."""
+    """Write ``df`` as Parquet. With ``only_given`` an overwrite leaves partitions alone that ``df`` has no rows of."""
     writer = df.write.mode(mode)
+    if only_given:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
 def write_master(
-    master: DataFrame, path: str, rebalance: bool = True, mode: str = "errorifexists"
+    master: DataFrame,
+    path: str,
+    rebalance: bool = True,
+    mode: str = "errorifexists",
+    only_given: bool = False,
 ) -> None:
     """Write master events with one folder per month, named by ``MONTH_FOLDER``.
 
     A filter on it skips whole folders; it is no column of the table's own. ``rebalance`` adds a
     shuffle that gives few, evenly sized files per month and splits an oversized month. Without it
     every task writes a file for each month it holds: after a join by session that is tasks times
-    months, so leave it out only for rows that come in date order.
+    months, so leave it out only for rows that come in date order. ``only_given`` replaces the months
+    of ``master`` and leaves all others.
     """
     dated = master.withColumn(MONTH_FOLDER, month_label("event_date"))
     if rebalance:
         dated = dated.hint("rebalance", MONTH_FOLDER)
-    write_table(dated, path, [MONTH_FOLDER], mode)
+    write_table(dated, path, [MONTH_FOLDER], mode, only_given)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet table can be read at ``path``."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
