@@ -257,6 +257,24 @@ trend AS (
     FROM months
 )"""
 
+def _active_by_range(value: str = "CAST(NULL AS VARCHAR)") -> str:
+    """Exact counts; the sketched ones have to be within their bound."""
+    return f"""
+dated AS (
+    SELECT strftime(event_date, '%Y-%m') AS month, {value} AS value, session_id, user_pseudo_id
+    FROM master WHERE event_date IS NOT NULL
+),
+months AS (SELECT DISTINCT month FROM dated),
+ranges AS (
+    SELECT a.month AS first_month, b.month AS last_month FROM months a JOIN months b ON a.month <= b.month
+)
+SELECT first_month, last_month, value, count(DISTINCT session_id) AS exact_sessions,
+       count(DISTINCT user_pseudo_id) AS exact_users,
+       TRUE AS sessions_within_bound, TRUE AS users_within_bound
+FROM ranges JOIN dated ON month BETWEEN first_month AND last_month
+GROUP BY first_month, last_month, value"""
+
+
 USERS = """
 labels AS (
     SELECT user_pseudo_id,
@@ -497,6 +515,15 @@ BODIES: dict[str, str] = {
         FROM by_month""",
     "channel_category": _channel_category() + "\nSELECT * FROM report",
     "channel_category_dedup": _channel_category("DISTINCT") + "\nSELECT * FROM report",
+    "channel_category_stored": _channel_category() + "\nSELECT * FROM report",
+    "channel_category_aov_stored": _channel_category()
+    + "\nSELECT *, round(total_revenue / orders, 2) AS aov FROM report",
+    "top_category_per_channel_stored": _channel_category()
+    + """
+        SELECT * FROM report
+        QUALIFY rank() OVER (PARTITION BY channel ORDER BY total_revenue DESC) = 1""",
+    "active_by_range": _active_by_range(),
+    "active_by_range_and_country": _active_by_range("country"),
     "category_share": """
         sums AS (
             SELECT item_category, sum(item_revenue) AS revenue FROM shelved GROUP BY item_category

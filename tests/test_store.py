@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.frames import items, raw, rows
 from tillpath import schema as S
 from tillpath.__main__ import main
+from tillpath.operators.distinct import active, active_by_range, distinct_sketches, exact_by_range, sketch_errors
 from tillpath.plans.reports import REPORTS
 from tillpath.plans.tables import Options, RawTables, StoredTables
 from tillpath.sources import read_csv_table, write_csv_table
@@ -181,6 +182,50 @@ def test_csv_copy_holds_the_master_events(spark, given, store):
     assert sorted(rows(copy), key=repr) == sorted(rows(given.master), key=repr)
 
 
+def test_channels_and_categories_join_without_a_shuffle(spark, given, store):
+    shop = StoredTables(spark, store)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = REPORTS["channel_category"](shop)
+        text = report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = text[text.index("SortMergeJoin") :]
+    assert "Exchange" not in below
+    assert below.count("FileScan") == 2 and below.count("Bucketed: true") == 2
+    assert "raw_events" not in text and "master_events" not in text
+    assert sorted(rows(report)) == sorted(rows(REPORTS["channel_category"](given)))
+
+
+def test_distinct_counts_come_from_the_sketches(spark, given, store):
+    shop = StoredTables(spark, store)
+    for found in (active_by_range(shop.sketches), active(shop.sketches, "2020-12", "2021-01", "country")):
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "distinct_sketches" in text and "master_events" not in text and "raw_events" not in text
+    # So few are counted exactly.
+    exact = {(r[0], r[1]): (r[3], r[4]) for r in exact_by_range(given.events).collect()}
+    counted = {(r["first_month"], r["last_month"]): (r["sessions"], r["users"]) for r in active_by_range(shop.sketches).collect()}
+    assert counted == exact and len(exact) == 6
+    assert rows(active(shop.sketches, "2020-12", "2021-01")) == [(None, *exact["2020-12", "2021-01"])]
+    assert rows(active(shop.sketches)) == [(None, *exact["2020-11", "2021-01"])]
+
+
+def test_sketches_of_many_sessions_are_within_the_bound(spark):
+    ids = spark.range(60_000)
+    events = ids.select(
+        F.col("id").alias("event_id"),
+        F.expr("date_add(DATE'2020-11-01', cast(id % 91 AS int))").alias("event_date"),
+        F.expr("id * 7 % 41011").alias("session_id"),
+        F.expr("if(id % 10 = 0, NULL, id % 20011)").alias("user_pseudo_id"),
+        F.expr("array('a', 'b', NULL)[id % 3]").alias("device_category"),
+        F.expr("if(id % 3 = 0, 'Greece', 'Chile')").alias("country"),
+    )
+    for dimension in (None, "device_category", "country"):
+        found = sketch_errors(distinct_sketches(events), events, dimension).collect()
+        assert len(found) == 6 * {None: 1, "device_category": 3, "country": 2}[dimension]
+        assert all(r["sessions_within_bound"] and r["users_within_bound"] for r in found)
+
+
 def test_report_from_the_command_line(spark, given, store, tmp_path, capsys):
     main(["report", "funnel", "--store", store])
     assert "1 - Session Start" in capsys.readouterr().out

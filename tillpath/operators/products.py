@@ -86,6 +86,16 @@ def purchases_per_session(events: DataFrame) -> DataFrame:
     )
 
 
+def sold_per_session(items: DataFrame) -> DataFrame:
+    """Revenue and item rows of each session and category."""
+    return (
+        with_category(items)
+        .filter(F.col("session_id").isNotNull())
+        .groupBy("session_id", "item_category")
+        .agg(F.sum("item_revenue").alias("revenue"), F.count(F.lit(1)).alias("item_rows"))
+    )
+
+
 def channel_category_of_purchases(
     items: DataFrame, purchases: DataFrame, dedup: bool = False, ordered: bool = True
 ) -> DataFrame:
@@ -95,13 +105,14 @@ def channel_category_of_purchases(
     per session first and the sums multiplied, which gives the totals of all pairs without
     building them. ``ordered=False`` spares the sort for a report that is built on top.
     """
+    return channel_category_of_sold(sold_per_session(items), purchases, dedup, ordered)
+
+
+def channel_category_of_sold(
+    sold: DataFrame, purchases: DataFrame, dedup: bool = False, ordered: bool = True
+) -> DataFrame:
+    """The same on items already summed as in `sold_per_session`."""
     times = F.lit(1) if dedup else F.col("purchase_rows")
-    sold = (
-        with_category(items)
-        .filter(F.col("session_id").isNotNull())
-        .groupBy("session_id", "item_category")
-        .agg(F.sum("item_revenue").alias("revenue"), F.count(F.lit(1)).alias("item_rows"))
-    )
     reliable = purchases.filter(~F.col("channel").isin(*S.UNRELIABLE_CHANNELS))
     report = (
         sold.join(reliable, "session_id")

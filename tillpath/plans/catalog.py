@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpath import schema as S
+from tillpath.operators.distinct import sketch_errors
+from tillpath.operators.products import (
+    channel_category_aov,
+    channel_category_of_sold,
+    top_category_per_channel,
+)
 from tillpath.plans.growing import GrowingStore
 from tillpath.plans.reports import REPORTS, USER_SESSION, bounce_by_country
-from tillpath.plans.tables import Options, RawTables, StoredTables
+from tillpath.plans.tables import Options, RawTables, StoredSales, StoredTables
 from tillpath.sources import (
     raw_events,
     raw_items,
     read_csv_table,
+    read_table,
     scratch_path,
     write_csv_table,
+    write_table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +111,29 @@ def _growing(report: str) -> Query:
     return lambda spark, folder: REPORTS[report](added_in_two_halves(spark, folder))
 
 
+def _on_stored_sales(report: Callable[[DataFrame], DataFrame], dedup: bool = False) -> Query:
+    """A report on channels and categories from the two bucketed tables, written and read back."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = scratch_path(spark, "sales")
+        tables(spark, folder).store_sales(path)
+        sales = StoredSales(spark, path)
+        return report(channel_category_of_sold(sales.sold, sales.purchases, dedup, ordered=False))
+
+    return run
+
+
+def _sketch_errors(dimension: str | None = None) -> Query:
+    """Sketches written and read back, beside the exact counts from the events."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        shop, path = tables(spark, folder), scratch_path(spark, "sketches")
+        write_table(shop.sketches, path)
+        return sketch_errors(read_table(spark, path), shop.events, dimension)
+
+    return run
+
+
 CATALOG: dict[str, Query] = {name: _query(name) for name in REPORTS} | {
     "csv_roundtrip_events": csv_roundtrip_events,
     "csv_roundtrip_items": csv_roundtrip_items,
@@ -110,6 +141,11 @@ CATALOG: dict[str, Query] = {name: _query(name) for name in REPORTS} | {
     "funnel_drop_unmapped": _on_unmapped("funnel_drop_unmapped"),
     "master_events_incremental": _growing("master_events"),
     "bounce_by_channel_incremental": _growing("bounce_by_channel"),
+    "channel_category_stored": _on_stored_sales(lambda found: found),
+    "channel_category_aov_stored": _on_stored_sales(channel_category_aov),
+    "top_category_per_channel_stored": _on_stored_sales(top_category_per_channel),
+    "active_by_range": _sketch_errors(),
+    "active_by_range_and_country": _sketch_errors("country"),
     "bounce_by_large_country": lambda spark, folder: bounce_by_country(
         tables(spark, folder), LARGE_COUNTRY
     ),

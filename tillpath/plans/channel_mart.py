@@ -90,5 +90,9 @@ def channel_items(
 
     Items name no user, so with a compound session key they meet every session with their id.
     """
-    purchases = known_sessions(mart).filter(F.col("purchase_rows") > 0)
-    return channel_category_of_purchases(items, purchases, dedup, ordered)
+    return channel_category_of_purchases(items, purchasing_sessions(mart), dedup, ordered)
+
+
+def purchasing_sessions(mart: DataFrame) -> DataFrame:
+    """`known_sessions` with a purchase."""
+    return known_sessions(mart).filter(F.col("purchase_rows") > 0)

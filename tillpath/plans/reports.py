@@ -33,7 +33,7 @@ def bounce_by_country(t: Tables, min_sessions: int = COUNTRY_MIN_SESSIONS) -> Da
 
 
 def channel_category(t: Tables, dedup: bool = False, ordered: bool = True) -> DataFrame:
-    return mart.channel_items(t.items, t.sessions, dedup, ordered)
+    return products.channel_category_of_sold(t.sold, t.purchases, dedup, ordered)
 
 
 def session_attribution(t: Tables) -> DataFrame:

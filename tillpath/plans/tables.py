@@ -11,9 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpath import schema as S
-from tillpath.plans.channel_mart import session_mart
+from tillpath.operators.distinct import distinct_sketches
+from tillpath.operators.products import sold_per_session
+from tillpath.plans.channel_mart import purchasing_sessions, session_mart
 from tillpath.plans.prepare import build_items, build_master, without_attribution
-from tillpath.sources import BATCH_FOLDER, MONTH_FOLDER, read_table, write_master, write_table
+from tillpath.sources import (
+    BATCH_FOLDER,
+    MONTH_FOLDER,
+    read_bucketed,
+    read_table,
+    table_exists,
+    write_bucketed,
+    write_master,
+    write_table,
+)
 
 MASTER = "master_events"
 ITEMS = "items_clean"
@@ -21,6 +32,10 @@ SESSIONS = "session_mart"
 RAW_EVENTS = "raw_events"
 RAW_ITEMS = "raw_items"
 OPTIONS = "options"
+SOLD = "sold_per_session"
+PURCHASES = "purchasing_sessions"
+BUCKETS = "buckets"
+SKETCHES = "distinct_sketches"
 
 
 @dataclass(frozen=True)
@@ -79,6 +94,21 @@ class RawTables:
         """Items with a date."""
         return build_items(self.raw_items)
 
+    @cached_property
+    def sold(self) -> DataFrame:
+        """Revenue and item rows of each session and category."""
+        return sold_per_session(self.items)
+
+    @cached_property
+    def purchases(self) -> DataFrame:
+        """Sessions with a purchase, with their channel and purchase rows."""
+        return purchasing_sessions(self.sessions)
+
+    @cached_property
+    def sketches(self) -> DataFrame:
+        """Sketches of each month's sessions and users."""
+        return distinct_sketches(self.events, session_key=self.options.session_key)
+
     def landed(self, spark: SparkSession, folder: str, mode: str = "errorifexists") -> RawTables:
         """The same tables, written as Parquet below ``folder`` and read from there.
 
@@ -100,6 +130,29 @@ class RawTables:
         write_master(self.master, f"{folder}/{MASTER}", rebalance, mode)
         write_table(self.sessions, f"{folder}/{SESSIONS}", mode=mode)
         write_table(self.items, f"{folder}/{ITEMS}", mode=mode)
+        self.store_sales(folder, mode)
+        write_table(self.sketches, f"{folder}/{SKETCHES}", mode=mode)
+
+    def store_sales(self, folder: str, mode: str = "errorifexists") -> None:
+        """Write what reports on channels and categories join, both parts bucketed by session.
+
+        Both are summed per session first, so a session with a third of all items is a few rows.
+        """
+        spark = self.raw_items.sparkSession
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_bucketed(self.sold, f"{folder}/{SOLD}", "session_id", buckets, mode)
+        write_bucketed(self.purchases, f"{folder}/{PURCHASES}", "session_id", buckets, mode)
+        number = spark.range(1).select(F.lit(buckets).alias("buckets"))
+        write_table(number, f"{folder}/{BUCKETS}", mode=mode)
+
+
+class StoredSales:
+    """The two tables that `RawTables.store_sales` wrote."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        buckets = read_table(spark, f"{folder}/{BUCKETS}").first()[0]
+        self.sold = read_bucketed(spark, f"{folder}/{SOLD}", "session_id", buckets)
+        self.purchases = read_bucketed(spark, f"{folder}/{PURCHASES}", "session_id", buckets)
 
 
 class StoredTables:
@@ -110,6 +163,7 @@ class StoredTables:
     """
 
     def __init__(self, spark: SparkSession, folder: str, raw_events: DataFrame | None = None):
+        self._spark, self._folder = spark, folder
         landed = f"{folder}/{RAW_EVENTS}"
         self._landed_events = lambda: read_table(spark, landed).drop(MONTH_FOLDER, BATCH_FOLDER)
         self._raw_events = raw_events
@@ -120,6 +174,30 @@ class StoredTables:
         self.events = self.master
         self.options = Options.from_json(read_table(spark, f"{folder}/{OPTIONS}").first()[0])
 
+    @cached_property
+    def _sales(self) -> StoredSales | None:
+        """Not in a store that grows by batches."""
+        there = table_exists(self._spark, f"{self._folder}/{BUCKETS}")
+        return StoredSales(self._spark, self._folder) if there else None
+
+    @cached_property
+    def sold(self) -> DataFrame:
+        """Revenue and item rows of each session and category."""
+        return sold_per_session(self.items) if self._sales is None else self._sales.sold
+
+    @cached_property
+    def purchases(self) -> DataFrame:
+        """Sessions with a purchase, with their channel and purchase rows."""
+        return purchasing_sessions(self.sessions) if self._sales is None else self._sales.purchases
+
+    @cached_property
+    def sketches(self) -> DataFrame:
+        """Sketches of each month's sessions and users."""
+        path = f"{self._folder}/{SKETCHES}"
+        if table_exists(self._spark, path):
+            return read_table(self._spark, path)
+        return distinct_sketches(self.events, session_key=self.options.session_key)
+
     @cached_property
     def raw_events(self) -> DataFrame:
         """Raw events."""

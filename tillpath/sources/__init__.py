@@ -5,10 +5,12 @@ from tillpath.sources.derived import raw_events, raw_items
 from tillpath.sources.store import (
     BATCH_FOLDER,
     MONTH_FOLDER,
+    read_bucketed,
     read_table,
     scratch_path,
     shared_folder,
     table_exists,
+    write_bucketed,
     write_master,
     write_table,
 )
@@ -19,10 +21,12 @@ __all__ = [
     "raw_events",
     "raw_items",
     "read_csv_table",
+    "read_bucketed",
     "read_table",
     "scratch_path",
     "shared_folder",
     "table_exists",
+    "write_bucketed",
     "write_csv_table",
     "write_master",
     "write_table",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import tempfile
 import uuid
 
@@ -82,6 +83,39 @@ def write_master(
     write_table(dated, path, [MONTH_FOLDER], mode, only_given)
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, mode: str = "errorifexists") -> None:
+    """Write ``df`` as Parquet in ``buckets`` files by the hash of ``key``, each in its order.
+
+    Two tables with the same key and number of buckets are joined on the key without a shuffle, see `read_bucketed`.
+    One key's rows are in one file, so ``df`` should be summed per key or so before.
+    """
+    spark, name = df.sparkSession, _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    dealt = df.repartition(buckets, key)
+    writer = dealt.write.format("parquet").mode(mode).bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table that `write_bucketed` wrote, in this session or an earlier one.
+
+    How a folder is bucketed is known to a session's catalog alone, so the folder is named there; its files stay as they are.
+    """
+    name, columns = _table_name(path), read_table(spark, path).schema
+    location = path.replace("\\", "\\\\").replace("'", "\\'")
+    ddl = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in columns)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(
+        f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`)"
+        f" INTO {buckets} BUCKETS LOCATION '{location}'"
+    )
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return f"tillpath_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a Parquet table can be read at ``path``."""
     try:
