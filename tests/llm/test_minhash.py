@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.corpus import SCHEMA, awkward, frame, prose, rows
-from tillpath.llm.minhash import Sets, forest, likely, near_duplicates, shingles, similar
+from tillpath.llm.minhash import Sets, forest, likely, near_duplicates, near_to_kept, row_key, shingles, similar
 
 
 def plain_set(text):
@@ -99,6 +100,25 @@ def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("cell_shingles", [1 << 21, 1500, 300])
+@pytest.mark.parametrize("seed", [11, 12])
+def test_rows_near_one_that_stays_go(spark, seed, cell_shingles):
+    data = families(seed, 6, 25, lengths=(30, 60, 90)) + families(seed, 1, 40, lengths=(60,))
+    data = [(i, *d[1:]) for i, d in enumerate(data)] + [(900, None, "en", "s", 0), (901, "", "en", "s", 0)]
+    docs = frame(spark, data)
+    every = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"))
+    rows_ = {r["doc_id"]: r["row"] for r in every.collect()}
+    only = {i for i in rows_ if i % 5}
+    chosen = every.where("doc_id % 5 <> 0").select("row")
+    gone = {r["row"] for r in near_to_kept(docs, chosen, percent=80, cell_shingles=cell_shingles).collect()}
+    sets = {i: plain_set(text) for i, text, *_ in data}
+    alike = lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    stay = {i for i in only if rows_[i] not in gone}
+    assert {900, 901} - stay <= {900} and len(stay) < len(only)
+    assert not [(a, b) for a in stay for b in stay if a < b and alike(a, b)]
+    assert all(any(alike(i, k) for k in stay) for i in only - stay)
+
+
 def test_sketches_allow_all_similar_pairs():
     rng = random.Random(6)
     for _ in range(60):

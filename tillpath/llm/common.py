@@ -49,6 +49,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
+MARKS = 1 << 23
+"""Bits of a set of marks: 1 MB, in 131,072 rows, whatever is marked."""
+
+
+def marked(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """``df`` with ``__marked``: false for rows whose ``row`` is surely not among those of ``keys``.
+
+    A bitmap of the keys' hashes is broadcast, of a fixed size. Where many keys set most of its bits it tells little, and what
+    follows takes more rows; results don't depend on it.
+    """
+    place = F.pmod("row", F.lit(MARKS))
+    word, bit = F.shiftright(place, 6), F.expr(f"shiftleft(1L, cast(pmod(row, {MARKS}) & 63 AS int))")
+    words = keys.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    joined = df.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+    found = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return joined.withColumn("__marked", found).drop("__word", "__bits")
+
+
 def bits_for(rows: int, cell_rows: int = CELL_ROWS) -> int:
     """Leading hash bits that cut ``rows`` rows into cells of about ``cell_rows``."""
     return max(0, (max(rows, 1) // cell_rows).bit_length())

@@ -4,11 +4,11 @@ A text is the set of its distinct shingles, hashed to 64 bits each. Its sketch i
 hashes, so a small set is its own sketch. Texts with equal sets are one member from then on. Then
 
 1. **Inverted lists** of retained values. A value is crowded if more than ``CROWD`` sketches retain it.
-   A member is listed under its first ``LISTED`` values that aren't crowded, and, only if more than
-   ``BULK`` of its sketch is crowded, under its first ``LISTED_CROWDED`` crowded ones. So a passage or a line that many texts have
-   lists only the texts that consist of little else. Two sets with 0.85 of their union in common share all of
-   these values' lists but with a probability below one in a million (each value of the union is shared with a probability of 0.85, or of
-   0.62 among the rest where 0.6 are crowded and shared, and no list is shared only if each of the first 16 of the union fails).
+   A member is listed under its first ``LISTED`` values that aren't crowded, and, only if more of its sketch is crowded
+   than `bulk` says, under its first ``LISTED_CROWDED`` crowded ones. So a passage or a line that many texts have
+   lists only the texts that consist of little else. Two similar sets share no list with a probability below one in a million:
+   at least 0.6 of the values that aren't crowded, or as many of the crowded ones as asked for of all, are common, and a list is missed only if each of
+   the first 16, or 10, of the union is not.
 2. **Union sketches.** Within a list a walk takes from any member the unvisited ones whose estimate, the share of
    common values in the part of the union that both sketches know, isn't ``SLACK`` standard deviations below the
    similarity asked for. That gives a spanning forest of the likely links, and no list gives more rows than it has members.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpath.llm.common import kept
+from tillpath.llm.common import kept, marked
 from tillpath.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -43,7 +43,6 @@ PERCENT = 85
 SKETCH = 64
 CROWD = 64
 LISTED, LISTED_CROWDED = 16, 10
-BULK = 0.6
 SLACK = 6.5
 LIST_ROWS = 2048
 """Members of a list that are walked together."""
@@ -97,7 +96,12 @@ def sketches(docs: DataFrame, text: str, row_id: str, words_in: int, sketch: int
 
 
 def row_key(row_id: Column, text: Column) -> Column:
-    return F.xxhash64(F.lit("row"), row_id, text)
+    return F.xxhash64(F.lit("row"), row_id, F.xxhash64(text))
+
+
+def bulk(percent: int) -> float:
+    """The share of crowded values up to which 0.6 of the others must be common for sets to be similar."""
+    return 1 - 2.5 * (1 - percent / 100)
 
 
 class Sets:
@@ -236,7 +240,7 @@ def walked(rows: DataFrame, key: list[str], columns: list[str], links: Callable,
     return ordered.mapInArrow(run, schema)
 
 
-def listed(members: DataFrame, crowd: int, first: int, first_crowded: int, bulk: float) -> DataFrame:
+def listed(members: DataFrame, crowd: int, first: int, first_crowded: int, most: float) -> DataFrame:
     """(value, row): the inverted lists of several members. Needs ``members(row, size, sketch)``."""
     entries = members.select("row", F.size("sketch").alias("length"), F.posexplode("sketch").alias("place", "value"))
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -250,7 +254,7 @@ def listed(members: DataFrame, crowd: int, first: int, first_crowded: int, bulk:
         "entries",
         lambda e: ~e["crowded"] & (e["place"] - F.size(F.filter(places, lambda p: p < e["place"])) < first),
     )
-    full = F.size(crowded) > bulk * F.col("length")
+    full = F.size(crowded) > most * F.col("length")
     chosen = F.concat(early, F.when(full, F.slice(crowded, 1, first_crowded)).otherwise(F.slice(crowded, 1, 0)))
     return by_row.select("row", F.explode(F.transform(chosen, lambda e: e["value"])).alias("value"))
 
@@ -279,64 +283,161 @@ def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return array.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lengths)])
 
 
+def with_blocks(cells: DataFrame, cell_shingles: int) -> DataFrame:
+    """(cell, blocks) of the cells of several members."""
+    sizes = cells.groupBy("cell").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    return sizes.select("cell", F.least(F.ceil(F.col("n") / cell_shingles), F.col("m")).alias("blocks"))
+
+
+def with_texts(docs: DataFrame, wanted: DataFrame, text: str, row_id: str) -> DataFrame:
+    """``wanted`` with the texts of its rows; texts of other rows need not move."""
+    texts = docs.select(row_key(F.col(row_id), F.col(text)).alias("row"), F.col(text).alias("text"))
+    return marked(texts, wanted).where("__marked").drop("__marked").join(wanted, "row")
+
+
+def _whole_sets(rows: pa.ChunkedArray, texts: pa.ChunkedArray, words_in: int) -> tuple[np.ndarray, np.ndarray, Sets]:
+    """The rows, each once, with its place and its whole set."""
+    names, first = np.unique(rows.to_numpy(), return_index=True)
+    found = [shingles(texts[int(i)].as_py(), words_in) for i in first]
+    return names, first, Sets(found, np.array([len(x) for x in found], np.int64))
+
+
 def exact_links(docs: DataFrame, cells: DataFrame, text: str, row_id: str, words_in: int, percent: int, cell_shingles: int) -> DataFrame:
     """(u, v): a spanning forest, cell by cell, of the pairs that have the similarity. Needs ``cells(row, cell, size)``."""
 
     def links(rows: pa.ChunkedArray, texts: pa.ChunkedArray) -> list[tuple[int, int]]:
-        names = rows.to_numpy()
-        # Repeated rows are one.
-        names, first = np.unique(names, return_index=True)
-        found = [shingles(texts[int(i)].as_py(), words_in) for i in first]
-        sets = Sets(found, np.array([len(x) for x in found], np.int64))
+        names, _, sets = _whole_sets(rows, texts, words_in)
         return [(names[a], names[b]) for a, b in forest(sets, percent, similar(sets, percent))]
 
-    sizes = cells.groupBy("cell").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    sizes = sizes.select("cell", F.least(F.ceil(F.col("n") / cell_shingles), F.col("m")).alias("blocks"))
-    wanted = blocks(cells.drop("size"), sizes, ["cell"])
-    texts = docs.select(row_key(F.col(row_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-    rows = texts.join(wanted, "row")
+    wanted = blocks(cells.drop("size"), with_blocks(cells, cell_shingles), ["cell"])
+    rows = with_texts(docs, wanted, text, row_id)
     return walked(rows, ["cell", "first", "second"], ["row", "text"], links)
 
 
-def near_duplicates(
+STAYS, GOES, WAITS = 0, 1, 2
+
+
+def verdicts(names: np.ndarray, settled: np.ndarray, whole: bool, sets: Sets, percent: int) -> list[tuple[int, int]]:
+    """(row, verdict) of the members of a cell that aren't settled to stay.
+
+    In the order of their rows, a member goes if it is similar to an earlier one that stays. With only a part of the cell at
+    hand, a member waits that has an earlier similar one which isn't settled.
+    """
+    names, settled = names[sets.order], settled[sets.order]
+    linked = similar(sets, percent)
+    verdict = np.where(settled, STAYS, -1)
+    for i in np.argsort(names):
+        if verdict[i] == GOES or (whole and verdict[i] == STAYS):
+            continue
+        low = int(np.searchsorted(100 * sets.sizes, percent * sets.sizes[i]))
+        high = int(np.searchsorted(percent * sets.sizes, 100 * sets.sizes[i], "right"))
+        near = low + np.flatnonzero(linked(i, low, high))
+        near = near[near != i]
+        if whole:
+            verdict[i] = STAYS
+            verdict[near] = GOES
+        elif settled[i]:
+            verdict[near] = GOES
+        elif verdict[i] == -1 and (names[near] < names[i]).any():
+            verdict[i] = WAITS
+    verdict[verdict == -1] = STAYS
+    return [(names[i], verdict[i]) for i in np.flatnonzero(~settled)]
+
+
+def followers(docs: DataFrame, cells: DataFrame, text: str, row_id: str, words_in: int, percent: int, cell_shingles: int) -> DataFrame:
+    """(row) of the members that are similar to an earlier one that stays, in the order of their rows.
+
+    A cell that a task holds is settled at once. Larger ones take rounds: a member stays when no earlier similar one is
+    left, and goes when one stays. Rows are hashes, so the rounds grow with the logarithm of a cell.
+    """
+
+    def judged(rows: pa.ChunkedArray, texts: pa.ChunkedArray, settled: pa.ChunkedArray, whole: pa.ChunkedArray) -> list[tuple[int, int]]:
+        names, first, sets = _whole_sets(rows, texts, words_in)
+        return verdicts(names, settled.to_numpy(zero_copy_only=False)[first], whole[0].as_py(), sets, percent)
+
+    counted = kept(with_blocks(cells, cell_shingles))
+    left = cells.join(counted.select("cell"), "cell", "left_semi").select("row", "cell", F.lit(False).alias("settled"))
+    gone = cells.select("row").limit(0)
+    while True:
+        wanted = blocks(left, counted, ["cell"]).join(
+            counted.select("cell", (F.col("blocks") == 1).alias("whole")), "cell"
+        )
+        rows = with_texts(docs, wanted, text, row_id)
+        said = walked(rows, ["cell", "first", "second"], ["row", "text", "settled", "whole"], judged)
+        said = said.groupBy(F.col("u").alias("row")).agg(
+            F.bool_or(F.col("v") == GOES).alias("goes"), F.bool_or(F.col("v") == WAITS).alias("waits")
+        )
+        said = kept(said)
+        gone = gone.union(said.where("goes").select("row"))
+        waiting = said.where("waits AND NOT goes").select("row")
+        if not waiting.limit(1).count():
+            return gone
+        cells_left = left.join(waiting, "row", "left_semi").select("cell").distinct()
+        left = left.join(cells_left, "cell", "left_semi").join(said, "row", "left").where("NOT coalesce(goes, false)")
+        left = kept(left.select("row", "cell", (~F.coalesce("waits", F.lit(False))).alias("settled")))
+
+
+MARK = ["low", "high", "size"]
+"""What tells sets apart."""
+
+
+def similar_cells(
     docs: DataFrame,
-    text: str = "text",
-    row_id: str = "doc_id",
+    text: str,
+    row_id: str,
+    only: DataFrame | None = None,
     words_in: int = SHINGLE_WORDS,
     percent: int = PERCENT,
     sketch: int = SKETCH,
     crowd: int = CROWD,
     list_rows: int = LIST_ROWS,
-    cell_shingles: int = CELL_SHINGLES,
-) -> DataFrame:
-    """(row_id, n_shingles, component_id, kept) for every row of ``docs``.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, sets and cells.
 
-    Two rows are linked if their sets have ``percent`` of their union in common; ``component_id`` is the smallest id that
-    can be reached over links. The chances given above hold for 85 percent or more.
+    Rows are (id, row, size, low, high); sets (size, low, high, row, least) are those of the rows that aren't empty, ``least`` being
+    the smallest (absent, id, row) with the set and ``row`` its row; cells (row, cell, size) hold all sets that may be similar to another.
+    With ``only(row)`` no other rows are looked at. The chances given above hold from 80 percent on.
     """
-    found = kept(sketches(docs, text, row_id, words_in, sketch))
-    mark = ["low", "high", "size"]
+    found = sketches(docs, text, row_id, words_in, sketch)
+    found = kept(found if only is None else found.join(only, "row", "left_semi"))
     least = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "row")).alias("least")
-    classes = found.where("size > 0").groupBy(*mark).agg(least, F.min_by("sketch", "row").alias("sketch"))
-    classes = classes.select(*mark, "sketch", "least", F.col("least.row").alias("row"))
+    classes = found.where("size > 0").groupBy(*MARK).agg(least, F.min_by("sketch", "row").alias("sketch"))
+    classes = classes.select(*MARK, "sketch", "least", F.col("least.row").alias("row"))
     classes = kept(classes)
     members = classes.select("row", "size", "sketch")
 
-    lists = kept(listed(members, crowd, LISTED, LISTED_CROWDED, BULK))
+    lists = kept(listed(members, crowd, LISTED, LISTED_CROWDED, bulk(percent)))
     likely_pairs = likely_links(members, lists, percent, SLACK, sketch, list_rows)
     cells = components(likely_pairs)
     cells = cells.select(F.col("node").alias("row"), F.col("root").alias("cell"))
     roots = cells.select(F.col("cell").alias("row"), "cell").distinct()
     cells = kept(cells.unionByName(roots).join(members.select("row", "size"), "row"))
+    return found.drop("sketch"), classes.drop("sketch"), cells
+
+
+def near_duplicates(
+    docs: DataFrame,
+    text: str = "text",
+    row_id: str = "doc_id",
+    words_in: int = SHINGLE_WORDS,
+    percent: int = PERCENT,
+    cell_shingles: int = CELL_SHINGLES,
+    **options: int,
+) -> DataFrame:
+    """(row_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Two rows are linked if their sets have ``percent`` of their union in common; ``component_id`` is the smallest id that
+    can be reached over links. Further options are those of `similar_cells`.
+    """
+    found, classes, cells = similar_cells(docs, text, row_id, words_in=words_in, percent=percent, **options)
     links = exact_links(docs, cells, text, row_id, words_in, percent, cell_shingles)
     reached = components(links).select(F.col("node").alias("row"), "root")
-
-    rooted = classes.select(*mark, "row", "least").join(reached, "row", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "row"))
+    rooted = classes.join(reached, "row", "left").withColumn("root", F.coalesce("root", "row"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
-    rooted = rooted.join(smallest, "root").select(*(F.col(c).alias(f"__{c}") for c in mark), F.col("smallest.id").alias("component"))
-    same = [F.col(c) == F.col(f"__{c}") for c in mark]
-    joined = found.join(rooted, same, "left")
+    named = rooted.join(smallest, "root").select(
+        *(F.col(c).alias(f"__{c}") for c in MARK), F.col("smallest.id").alias("component")
+    )
+    joined = found.join(named, [F.col(c) == F.col(f"__{c}") for c in MARK], "left")
     component = F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component"))
     return joined.select(
         F.col("id").alias(row_id),
@@ -344,3 +445,26 @@ def near_duplicates(
         component.alias("component_id"),
         component.eqNullSafe(F.col("id")).alias("kept"),
     )
+
+
+def near_to_kept(
+    docs: DataFrame,
+    only: DataFrame,
+    text: str = "text",
+    row_id: str = "doc_id",
+    words_in: int = SHINGLE_WORDS,
+    percent: int = PERCENT,
+    cell_shingles: int = CELL_SHINGLES,
+    **options: int,
+) -> DataFrame:
+    """(row) of the rows among ``only(row)`` that are similar to one of them that stays; the rest is apart.
+
+    Of rows with equal sets one counts. Rows without words stay.
+    """
+    found, classes, cells = similar_cells(docs, text, row_id, only, words_in=words_in, percent=percent, **options)
+    gone = followers(docs, cells, text, row_id, words_in, percent, cell_shingles).select("row", F.lit(True).alias("goes"))
+    judged = classes.join(gone, "row", "left").select(
+        *(F.col(c).alias(f"__{c}") for c in MARK), F.col("row").alias("stands"), "goes"
+    )
+    joined = found.join(judged, [F.col(c) == F.col(f"__{c}") for c in MARK])
+    return joined.where("goes OR row <> stands").select("row").distinct()

@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillpath.llm.common import kept
+from tillpath.llm.common import kept, marked
 from tillpath.llm.components import components
+from tillpath.llm.minhash import near_to_kept
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -40,21 +41,12 @@ SEED = 42
 BLOCK = 1 << 16
 """Shingles hashed at a time, so that memory doesn't follow the length of a text."""
 
-TABLES = 12
-"""Word fingerprints per text, where they are asked for."""
 SIMILAR_WORDS = 5
+SIMILAR_PERCENT = 80
 CROWD = 64
-"""Rows that may meet in pairs at a shingle; it is crowded with more."""
-HOTTEST = 1 << 16
-"""Crowded shingles that are put last, at most, in each pass."""
-PASSES, ONE_OF = 2, 4
-ROUNDS = 12
-
-SALTS = np.random.default_rng(1).integers(0, 1 << 63, 64, np.uint64)
-WORDS_AT_ONCE = 4096
+"""Texts that may share a shingle before it is crowded, see `minhash`."""
 
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-BITS_AS_FLOATS = BYTE_BITS.astype(np.float64)
 FIELDS = [np.uint64(1) << np.uint64(2 * i) for i in range(16)]
 TWO = np.uint64(2)
 LOW = np.uint64(0x5555555555555555)
@@ -91,30 +83,6 @@ def fingerprint(text: str | None) -> int:
     return majority(counts, last)
 
 
-def word_fingerprints(text: str | None, tables: int = TABLES) -> list[int]:
-    """Independent 64-bit SimHashes of a text's distinct words, as signed longs.
-
-    A changed word changes one word but several shingles, so near copies lie closer by their words.
-    """
-    words = set(words_of(text))
-    if not words:
-        return [0] * tables
-    base = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    salts = SALTS[:tables, None]
-    counts = np.zeros((tables, 64), np.int64)
-    for start in range(0, len(base), WORDS_AT_ONCE):
-        mixed = (base[start : start + WORDS_AT_ONCE] ^ salts) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(29)
-        # A histogram of the bytes for each table and place in the hash, then of their bits.
-        places = np.arange(8 * tables, dtype=np.int64).reshape(tables, 1, 8) << 8
-        octets = mixed.view(np.uint8).reshape(tables, -1, 8) + places
-        seen = np.bincount(octets.ravel(), minlength=tables << 11).reshape(-1, 256)
-        counts += (seen.astype(np.float64) @ BITS_AS_FLOATS).astype(np.int64).reshape(tables, 64)
-    bits = np.packbits(2 * counts > len(words), axis=1, bitorder="little")
-    return bits.view(np.int64).ravel().tolist()
-
-
 def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` other than the text, and ``fp``, the fingerprint as a signed long."""
     rest = [f for f in docs.schema.fields if f.name not in (text, "fp")]
@@ -263,131 +231,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     )
 
 
-def shingles_of(text: str | None) -> np.ndarray:
-    """The sorted hashes of a text's distinct runs of five words, lower-cased; of all its words if it has fewer."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split() or [b""]
-    base = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    run = min(SIMILAR_WORDS, len(words))
-    mixed = np.zeros(len(words) - run + 1, np.uint64)
-    for i in range(run):
-        mixed = (mixed ^ base[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed.view(np.int64))
-
-
-def prefix_of(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first fifth of the shingles and one more, the ``hot`` ones coming last.
-
-    Two sets with four fifths in common share a shingle of their prefixes, whatever order all sets follow.
-    """
-    if len(hot):
-        late = np.isin(shingles, hot, assume_unique=True)
-        shingles = np.concatenate([shingles[~late], shingles[late]])
-    return shingles[: len(shingles) // 5 + 1]
-
-
-def with_shingles(rows: DataFrame, text: str, hot: np.ndarray | None = None) -> DataFrame:
-    """(row, size, tokens) of ``rows``: all shingles, or with ``hot`` only their prefix; size counts all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles_of(x.as_py()) for x in batch.column(1)]
-            sizes = pa.array([len(x) for x in sets], pa.int32())
-            tokens = pa.array([x if hot is None else prefix_of(x, hot) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens], ["row", "size", "tokens"])
-
-    return rows.select("row", text).mapInArrow(run, "row long, size int, tokens array<bigint>")
-
-
-def crowded_shingles(rows: DataFrame, text: str) -> np.ndarray:
-    """Shingles that more than ``CROWD`` prefixes hold, as counted on a part of the rows, in several passes.
-
-    With these last in order there are few candidates; which pairs are found doesn't depend on them.
-    """
-    hot = np.zeros(0, np.int64)
-    some = rows.where(F.pmod("row", F.lit(ONE_OF)) == 0)
-    for _ in range(PASSES):
-        tokens = with_shingles(some, text, hot).select(F.explode("tokens").alias("token"))
-        counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * ONE_OF > CROWD)
-        top = counts.orderBy(F.desc("n"), "token").limit(HOTTEST).select("token").toArrow()
-        more = np.setdiff1d(top.column("token").to_numpy(), hot)
-        if not len(more):
-            break
-        hot = np.union1d(hot, more)
-    return hot
-
-
-def shared_tokens(rows: DataFrame, chosen: DataFrame, text: str) -> DataFrame:
-    """(row, size, token) for the shingles of the chosen rows' prefixes that several rows hold."""
-    index = with_shingles(rows, text, crowded_shingles(rows, text)).join(chosen.select("row", "__rows"), "row")
-    index = kept(index)
-    # Only repeated rows have to move to be told apart.
-    once, more = index.where("__rows = 1"), index.where("__rows > 1").dropDuplicates(["row"])
-    tokens = once.unionByName(more).select("row", "size", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    several = kept(counts.where("n > 1").select("token"))
-    return kept(tokens.join(several, "token", "left_semi").select("row", "size", "token"))
-
-
-def similar_pairs(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` that have four fifths of their shingles in common, by the whole sets."""
-    pairs = kept(pairs.distinct())
-    wanted = kept(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-    sets = with_shingles(rows.join(wanted, "row", "left_semi"), text).dropDuplicates(["row"])
-    sets = kept(sets.select("row", "tokens"))
-    both = pairs
-    for end in ("a", "b"):
-        both = both.join(sets.select(F.col("row").alias(end), F.col("tokens").alias(f"of_{end}")), end)
-    held = F.size(F.array_intersect("of_a", "of_b"))
-    # In whole numbers, as 4 of 5 is no binary fraction.
-    near = held * 5 >= (F.size("of_a") + F.size("of_b") - held) * 4
-    return kept(both.where(near).select("a", "b"))
-
-
-def alike_in_size(x: str, y: str) -> Column:
-    return (F.col(x) * 5 >= F.col(y) * 4) & (F.col(y) * 5 >= F.col(x) * 4)
-
-
-def similar_to_kept(docs: DataFrame, chosen: DataFrame, text: str, row_id: str) -> DataFrame:
-    """(row) of the chosen rows that are near copies of a chosen row that stays.
-
-    Rows are taken in the order of their hashes, ``row``; one goes if it has four fifths of its shingles in
-    common with an earlier one that stays. Rows that share a shingle of their prefixes are compared, so no pair
-    is missed. Where a shingle is crowded, the first row of each of its shingles meets the others alone: it
-    stays, its near copies go, and the rest goes round again. Then few are left, which meet in pairs.
-    """
-    rows = docs.select(row_of(F.col(row_id), F.xxhash64(text)).alias("row"), text)
-    left = shared_tokens(rows, chosen, text)
-    gone = chosen.select("row").limit(0)
-    for _ in range(ROUNDS):
-        firsts = left.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "size")).alias("lead"))
-        firsts = kept(firsts.where("n > 1"))
-        if not firsts.where(F.col("n") > CROWD).limit(1).count():
-            break
-        met = left.join(firsts.select("token", "lead.row", "lead.size").toDF("token", "lead", "of_lead"), "token")
-        met = kept(met.select("row", "size", "lead", "of_lead").distinct())
-        behind = met.where("row <> lead").select("row").distinct()
-        sure = kept(met.select(F.col("lead").alias("row")).distinct().join(behind, "row", "left_anti"))
-        pairs = met.where((F.col("row") != F.col("lead")) & alike_in_size("size", "of_lead"))
-        pairs = pairs.join(sure.withColumnRenamed("row", "lead"), "lead", "left_semi")
-        near = similar_pairs(pairs.select(F.col("lead").alias("a"), F.col("row").alias("b")), rows, text)
-        drop = kept(near.select(F.col("b").alias("row")).distinct())
-        gone = gone.union(drop)
-        left = kept(left.join(drop.union(sure), "row", "left_anti"))
-
-    one, two = (left.select("token", F.col("row").alias(r), F.col("size").alias(f"size_{r}")) for r in "ab")
-    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & alike_in_size("size_a", "size_b"))
-    near = similar_pairs(pairs.select("a", "b"), rows, text)
-    while near.limit(1).count():
-        later = near.select(F.col("b").alias("a")).distinct()
-        drop = kept(near.join(later, "a", "left_anti").select(F.col("b").alias("row")).distinct())
-        gone = gone.union(drop)
-        for end in ("a", "b"):
-            near = near.join(drop.withColumnRenamed("row", end), end, "left_anti")
-        near = kept(near.select("a", "b"))
-    return gone
-
-
 def row_of(row_id: Column, text_hash: Column) -> Column:
     return F.xxhash64(F.lit("row"), row_id, text_hash)
 
@@ -397,17 +240,23 @@ def deduplicated(docs: DataFrame, text: str = "text", row_id: str = "doc_id") ->
 
     First one row of each component stays, the one with the smallest id, then text hash; where it is
     repeated, one of the equal rows. Of these, rows that have at least 0.8 of their five-word shingles
-    in common with a row that stays go too, however the edits are spread.
+    in common with a row that stays go too, however the edits are spread. Texts without copies stay where they lie.
     """
     found = near_duplicates(docs, text, row_id)
     stands = F.col("first.id").eqNullSafe(F.col(row_id)) & (F.col("first.text_hash") == F.col("text_hash"))
-    chosen = found.where(stands).groupBy(F.col(row_id).alias("__id"), F.col("text_hash").alias("__hash"))
-    chosen = chosen.agg(F.count(F.lit(1)).alias("__rows")).withColumn("row", row_of(F.col("__id"), F.col("__hash")))
-    chosen = kept(chosen)
-    near = similar_to_kept(docs, chosen, text, row_id)
-    chosen = kept(chosen.join(near, "row", "left_anti").drop("row"))
-    same = F.col(row_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    once = docs.join(chosen.where("__rows = 1"), same, "left_semi")
-    more = docs.join(chosen.where("__rows > 1"), same, "left_semi")
-    more = more.withColumn("__hash", F.xxhash64(text)).dropDuplicates([row_id, "__hash"]).drop("__hash")
-    return once.unionByName(more)
+    rows = found.groupBy(row_of(F.col(row_id), F.col("text_hash")).alias("row"), stands.alias("stands"))
+    rows = kept(rows.agg(F.count(F.lit(1)).alias("copies")))
+    chosen = rows.where("stands").select("row")
+    near = near_to_kept(docs, chosen, text, row_id, words_in=SIMILAR_WORDS, percent=SIMILAR_PERCENT, crowd=CROWD)
+    judged = rows.join(near.withColumn("goes", F.lit(True)), "row", "left")
+    judged = judged.select("row", "copies", (F.col("stands") & F.col("goes").isNull()).alias("stays"))
+    judged = kept(judged.where("NOT stays OR copies > 1").select("row", "stays"))
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*names).alias("whole"), row_of(F.col(row_id), F.xxhash64(text)).alias("row"))
+    keyed = marked(keyed, judged)
+    alone = keyed.where("NOT __marked").select("whole.*")
+    met = keyed.where("__marked").join(judged, "row", "left")
+    others = met.where("stays IS NULL").select("whole.*")
+    one = met.where("stays").dropDuplicates(["row"]).select("whole.*")
+    return alone.unionByName(others).unionByName(one)
