@@ -46,7 +46,7 @@ LISTED, LISTED_CROWDED = 16, 10
 SLACK = 6.5
 LIST_ROWS = 2048
 """Members of a list that are walked together."""
-CELL_SHINGLES = 1 << 21
+CELL_SHINGLES = 1 << 19
 """Shingles of a cell that are walked together, but for a single text with more."""
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,12 +89,18 @@ def sketches(docs: DataFrame, text: str, row_id: str, words_in: int, sketch: int
                 pa.array(smallest, pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     slim = docs.select(F.col(row_id).alias("id"), row_key(F.col(row_id), F.col(text)).alias("row"), F.col(text).alias("t"))
     schema = f"id {id_type}, row long, size long, low long, high long, sketch array<bigint>"
     return slim.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Memory that a task no longer needs goes back to the machine, as its Python worker lives on."""
+    pa.default_memory_pool().release_unused()
+
+
 def row_key(row_id: Column, text: Column) -> Column:
     return F.xxhash64(F.lit("row"), row_id, F.xxhash64(text))
 
@@ -235,6 +241,8 @@ def walked(rows: DataFrame, key: list[str], columns: list[str], links: Callable,
             last = keys[-1]
         if held:
             yield found(held)
+        held.clear()
+        give_back()
 
     ordered = rows.select(*key, *columns).repartition(*key).sortWithinPartitions(*key)
     return ordered.mapInArrow(run, schema)
