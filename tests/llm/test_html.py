@@ -1,3 +1,8 @@
+import random
+import re
+from collections import Counter
+from html.parser import HTMLParser
+
 import pytest
 
 from tillpath.llm.html import extract, extract_text
@@ -23,7 +28,17 @@ from tillpath.llm.html import extract, extract_text
         ("a</b></p>b</div>", "ab"),
         ("<a href='x>y'>link</a> 5 < 6 <3", "link 5 < 6 <3"),
         ("<dl><dt>T<dd>D<dt>U<dd>E</dl>", "T\n  D\nU\n  E"),
-        ("<select><option>a<option>b</select>x", "x"),
+        ("<select><option>a<option>b</select>x", "a\nb\nx"),
+        ("<select><optgroup label=G><option>a</select>", "G\na"),
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+        ("<svg><title>no</title><defs/><text>one</text><text>two</text></svg>b", "one\ntwo\nb"),
+        ("<object data=x>in <b>place</b></object>", "in place"),
+        ("<xmp><b> &amp;</xmp>z", "<b> &amp;\n\nz"),
+        ("<input type=submit value='Send it'> <input type=hidden value=no><input value=typed>", "Send it typed"),
+        ("a<!--> visible b<!---> c<!-- no --!> d<!-- -- no -->e", "a visible b c de"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td>a<td rowspan=9>b<tbody><tr><td>c<td>d</table>", "a | b\nc | d"),
         ("<p>open <script>never closed", "open"),
         ("one <!-- never closed", "one"),
         ("<UL><LI>A</UL><IMG ALT='pic'>", "- A\n\npic"),
@@ -50,6 +65,93 @@ def test_unclosed_quotes_and_tags():
     assert isinstance(extract(page)[1], str)
 
 
+class PlainReader(HTMLParser):
+    """All text outside invisible elements, without any layout."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.words = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "template") or dict(attrs).get("class") == "hide":
+            self.hidden += 1
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "template", "i"):
+            self.hidden -= 1
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += re.findall(r"w\d+", data)
+
+
+def made_page(rng, words=None, depth=0):
+    """A random page of numbered words; i elements are hidden ones."""
+    words = words if words is not None else iter(range(10**9))
+    text = lambda: " ".join(f" w{next(words)} " for _ in range(rng.randint(0, 3)))
+    inner = lambda: made_page(rng, words, depth + 1)
+    parts = []
+    for _ in range(rng.randint(1, 3)):
+        parts.append(text())
+        if depth > 2:
+            continue
+        rows = "".join(
+            "<tr>" + "".join(f"<td rowspan={rng.randint(1, 4)} colspan={rng.randint(1, 3)}>{inner()}" for _ in range(rng.randint(0, 3)))
+            for _ in range(rng.randint(1, 2))
+        )
+        parts.append(
+            rng.choice(
+                [
+                    f"<p>{text()}",
+                    f"<div>{inner()}</div>",
+                    f"<ul><li>{inner()}<li>{inner()}</ul>",
+                    f"<table>{rows}</table>",
+                    f"<i class=hide hidden>{text()}</i>",
+                    f"<script>{text()}</script><style>{text()}</style><template>{text()}</template><!-- {text()} -->",
+                    f"<select><option>{text()}<option>{text()}</select>",
+                    f"<svg><text>{text()}</text><path/></svg><math><mi>{text()}</mi></math><object>{text()}</object>",
+                    f"<pre>{text()}</pre><blockquote>{inner()}</blockquote><xmp>{text()}</xmp>",
+                    f"</b></td>{text()}<b>{text()}",
+                ]
+            )
+        )
+    return "".join(parts)
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_every_visible_word_once(seed):
+    page = made_page(random.Random(seed))
+    reader = PlainReader()
+    reader.feed(page)
+    reader.close()
+    assert Counter(re.findall(r"w\d+", extract(page)[1])) == Counter(reader.words)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr><td>" + "x" * 1_000_000 + "<td>y" + "<tr><td>a<td>b" * 10_000 + "</table>",
+        "<table><tr>" + "<td rowspan=60000>w" * 3_000 + "<tr><td>w" * 3_000 + "</table>",
+        "<table><tr>" + "<td>w" * 1_000 + "<td>" + "w<br>" * 10_000 + "</table>",
+        "<table><tr>" + "<td colspan=100>w" * 5_000 + "</table>",
+    ],
+)
+def test_layout_costs_no_more_than_the_text(page):
+    text = extract(page)[1]
+    assert len(text) < 40 * len(page)
+    assert text.count("w") == page.count("w") - page.count("rowspan")
+    assert text.count("x") == page.count("x")
+
+
+def test_ids_beyond_doubles_and_clashing_columns_pass(spark):
+    big = 9007199254740993
+    rows = [(big, "<title>T</title><p>a", "given", "given", big, [1, None]), (None, None, None, None, None, None)]
+    schema = "page_id long, html string, title string, text string, other long, many array<long>"
+    found = extract_text(spark.createDataFrame(rows, schema).coalesce(1)).collect()
+    assert found[0].asDict() == {"page_id": big, "other": big, "many": [1, None], "title": "T", "text": "a"}
+    assert found[1].asDict() == {"page_id": None, "other": None, "many": None, "title": "", "text": ""}
+
+
 def test_pages(spark):
     rows = [(1, "<p>a", "t"), (None, None, "t"), (1, "<p>a", "t"), (2, "<p>" + "w " * 200_000, None)]
     pages = spark.createDataFrame(rows, "page_id long, html string, title string").withColumnRenamed("title", "Text2")

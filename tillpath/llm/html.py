@@ -5,17 +5,26 @@ paragraph, an item ends the item before it, a cell the cell before it, and so on
 without a start tag is ignored, and what is still open at the end is closed. The tree is then
 rendered: invisible subtrees are skipped, blocks are set apart by line breaks (paragraphs, headings,
 lists and tables by a blank line), list items get their marks and the indent of their depth,
-preformatted text keeps its spaces, and the cells of a table are padded to the width of their columns.
+preformatted text keeps its spaces, and the cells of a table are padded to the width of their columns,
+``colspan`` and ``rowspan`` included.
 
 All visible text is kept, navigation and advertisements included; nothing is judged by its content.
+Formulas, the texts of drawings, the fallback of an object, all options of a selection and the
+values that form controls show are visible.
 
 Invisible are: comments, declarations, script, style, template, noscript, head (the title has a
-column of its own), form controls without text, ``hidden`` attributes, and inline styles with
-``display: none`` or ``visibility: hidden``.
+column of its own), the fallbacks of frames, sound, films and canvases, descriptions and
+annotations within drawings and formulas, ``hidden`` attributes, and inline styles with ``display: none``. What is within an
+element of ``visibility: hidden`` is invisible up to an element of ``visibility: visible``.
+
+Layout costs no more than the text: cells are padded to ``WIDEST`` characters at most, longer ones stand
+out of line; cells of one row are set below each other if side by side they would be mostly empty;
+and spans beyond as many places as the table has cells, several times, are not carried on. No text is cut for it.
 
 Null and empty pages give an empty text. Pages are read whole. Nesting below ``DEEPEST`` levels
 is flattened, not cut: deeper elements are attached to the same parent, and their text stays. Repeated rows are
-rendered alike, and an empty table gives no rows. Columns named like an output column are replaced.
+rendered alike, and an empty table gives no rows. Columns named like an output column are replaced; all others pass
+through as they are.
 """
 
 from __future__ import annotations
@@ -24,23 +33,28 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 DEEPEST = 200
+WIDEST = 80
+EMPTY_PLACES = 8
+"""Empty places of a row or table for each line or cell that it has, at most, and 256 more."""
 
 # The element classes of HTML that matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style template noscript iframe noembed noframes object svg math audio video canvas"
-    " select datalist title".split()
+    "head script style template noscript iframe noembed noframes audio video canvas datalist title".split()
 )
+UNSEEN_IN_DRAWING = frozenset("title desc metadata defs symbol annotation annotation-xml".split())
+PREFORMATTED = frozenset("pre textarea xmp".split())
+MUTE_INPUT = frozenset("hidden password checkbox radio file image color range".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCK = SPACED | frozenset(
     "html body address article aside details dialog dd div dt fieldset figcaption footer form header"
-    " hgroup legend li main nav option section summary tbody td tfoot th thead tr caption menu".split()
+    " hgroup legend li main nav optgroup option section summary tbody td text tfoot th thead tr caption menu".split()
 )
 #: A start tag of the key ends an open element of the value, unless one of the fences is nearer.
 ENDS = {
@@ -64,17 +78,19 @@ FENCES = {
     "option": frozenset(("select", "datalist")),
     "optgroup": frozenset(("select",)),
 }
-ENDS_P = BLOCK - frozenset("html body option caption td th tr tbody thead tfoot".split())
+ENDS_P = BLOCK - frozenset("html body optgroup option caption td text th tr tbody thead tfoot".split())
 IN_HEAD = frozenset("base link meta title style script noscript template head html".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
+DRAWING = re.compile(r"<(?:svg|math)\b", re.I)
 
 
 class Node:
@@ -85,11 +101,15 @@ class Node:
     def __init__(self, tag: str, attributes: dict[str, str]) -> None:
         self.tag, self.attributes, self.children = tag, attributes, []
 
-    def seen(self) -> bool:
+    def shown(self) -> bool:
         if self.tag in UNSEEN or "hidden" in self.attributes:
             return False
         return not HIDING.search(self.attributes.get("style", ""))
 
+    def visible(self, inherited: bool) -> bool:
+        said = VISIBILITY.findall(self.attributes.get("style", ""))
+        return said[-1].lower() not in ("hidden", "collapse") if said else inherited
+
 
 def attributes_of(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
@@ -102,6 +122,7 @@ def tree(page: str) -> tuple[Node, str]:
     """The page's tree and its title."""
     root = Node("html", {})
     stack, title, at = [root], "", 0
+    drawings = DRAWING.search(page) is not None
 
     def close(tags: tuple[str, ...], fences: frozenset[str]) -> None:
         for depth in range(len(stack) - 1, 0, -1):
@@ -147,18 +168,23 @@ def tree(page: str) -> tuple[Node, str]:
                 close(ENDS[tag], fences)
         if tag == "html":
             continue
+        within = drawings and any(n.tag in ("svg", "math") for n in stack)
+        if within and tag in UNSEEN_IN_DRAWING:
+            attributes = attributes | {"hidden": ""}
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (token[3].endswith("/") and (within or tag in ("svg", "math"))):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             inside = page[at : stop.start() if stop else len(page)]
             at = stop.end() if stop else len(page)
-            if tag == "title":
+            if tag == "title" and not within:
                 title = title or SPACES.sub(" ", unescape(inside)).strip()
             elif tag == "textarea":
                 node.children.append(unescape(inside))
+            elif tag == "xmp":
+                node.children.append(inside)
             continue
         if len(stack) < DEEPEST:
             stack.append(node)
@@ -174,6 +200,21 @@ def _inner(stack: list[Node], fences: frozenset[str]) -> list[Node]:
     return stack[1:]
 
 
+def without_hidden(node: Node, visible: bool = True) -> None:
+    """Take what can't be seen out of a tree; cells keep their place."""
+    children = []
+    for child in node.children:
+        if isinstance(child, str):
+            if visible:
+                children.append(child)
+        elif child.shown():
+            seen = child.visible(visible)
+            without_hidden(child, seen)
+            if seen or child.children or child.tag in ("td", "th"):
+                children.append(child)
+    node.children = children
+
+
 class Page:
     """Lines of text that grow block by block."""
 
@@ -228,8 +269,6 @@ def _render(node: Node, page: Page) -> None:
         if isinstance(child, str):
             page.text(child)
             continue
-        if not child.seen():
-            continue
         tag = child.tag
         if tag == "br":
             if page.line:
@@ -240,6 +279,10 @@ def _render(node: Node, page: Page) -> None:
             page.block(True)
         elif tag == "img":
             page.text(child.attributes.get("alt", ""))
+        elif tag == "input":
+            kind = child.attributes.get("type", "text").lower()
+            if kind not in MUTE_INPUT or kind == "image":
+                page.text(child.attributes.get("alt" if kind == "image" else "value", ""))
         elif tag in ("ul", "ol", "menu"):
             page.block(True)
             _list(child, page)
@@ -249,7 +292,7 @@ def _render(node: Node, page: Page) -> None:
             for line in _table(child):
                 page.put(line)
             page.block(True)
-        elif tag in ("pre", "textarea"):
+        elif tag in PREFORMATTED:
             page.block(True)
             for line in _raw(child).strip("\n").split("\n"):
                 page.put(line)
@@ -260,6 +303,9 @@ def _render(node: Node, page: Page) -> None:
             page.block(tag in SPACED)
         elif tag in BLOCK:
             page.block(tag in SPACED)
+            if tag == "optgroup":
+                page.text(child.attributes.get("label", ""))
+                page.end_line()
             _render(child, page)
             page.block(tag in SPACED)
         else:
@@ -273,7 +319,7 @@ def _raw(node: Node) -> str:
             parts.append(child)
         elif child.tag == "br":
             parts.append("\n")
-        elif child.seen():
+        else:
             parts.append(_raw(child))
     return "".join(parts)
 
@@ -284,77 +330,119 @@ def _list(node: Node, page: Page) -> None:
     loose = Node("li", {})
     for child in node.children:
         if isinstance(child, Node) and child.tag == "li":
-            if child.seen():
-                _indented(page, f"{number}. " if node.tag == "ol" else "- ", render(child))
-                number += 1
+            _indented(page, f"{number}. " if node.tag == "ol" else "- ", render(child))
+            number += 1
         else:
             loose.children = [child]
             for line in render(loose):
                 page.put(line)
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    given = cell.attributes.get(name, "1")
+    return min(int(given), most) if re.fullmatch(r"[1-9]\d{0,4}", given) else 1
+
+
+class Grid:
+    """Rows of a table with their cells in columns; a cell of several rows keeps its columns free below it."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[list[str]]] = []
+        self.below: dict[int, int] = {}
+        self.free = 256
+
+    def section(self) -> None:
+        """Cells don't reach beyond the rows of a thead, tbody or tfoot."""
+        self.below = {}
+
+    def add(self, cells: list[tuple[list[str], int, int]]) -> None:
+        row: list[list[str]] = []
+        below = {column: left - 1 for column, left in self.below.items() if left > 1}
+        for lines, across, down in cells:
+            while len(row) in self.below and self.free > 0:
+                self.free -= 1
+                row.append([])
+            start = len(row)
+            row.append(lines)
+            self.free += EMPTY_PLACES
+            across = 1 + min(across - 1, self.free)
+            self.free -= across - 1
+            row += [[]] * (across - 1)
+            if down > 1:
+                below |= {column: down - 1 for column in range(start, len(row))}
+        self.rows.append(row)
+        self.below = below if self.free > 0 else {}
+        self.free -= len(self.below)
+
+    def lines(self) -> list[str]:
+        """The rows, padded to the widths of their columns."""
+        widths: list[int] = []
+        for row in self.rows:
+            widths += [0] * (len(row) - len(widths))
+            for i, cell in enumerate(row):
+                fitting = [len(x) for x in cell if len(x) <= WIDEST]
+                widths[i] = max(widths[i], *fitting, 0) if fitting else widths[i]
+        out = []
+        for row in self.rows:
+            height = max(map(len, row), default=0)
+            if height * len(row) > EMPTY_PLACES * sum(map(len, row)) + 256:
+                out += [line for cell in row for line in cell]
+                continue
+            for n in range(height):
+                parts = [(c[n] if n < len(c) else "").ljust(w) for c, w in zip(row, widths)]
+                out.append(" | ".join(parts).rstrip())
+        return out
+
+
 def _table(node: Node) -> list[str]:
     """A table's caption, then its rows with cells in columns."""
     lines: list[str] = []
-    rows: list[list[list[str]]] = []
+    grid = Grid()
 
     def gather(part: Node) -> None:
         for child in part.children:
             if isinstance(child, str):
                 if child.strip():
                     lines.append(SPACES.sub(" ", child).strip())
-            elif not child.seen():
-                continue
             elif child.tag in ("thead", "tbody", "tfoot"):
+                grid.section()
                 gather(child)
+                grid.section()
             elif child.tag == "tr":
                 cells = []
                 for cell in child.children:
-                    if isinstance(cell, str):
-                        if cell.strip():
-                            cells.append([SPACES.sub(" ", cell).strip()])
-                    elif cell.seen():
-                        cells.append(render(cell))
-                        span = cell.attributes.get("colspan", "1")
-                        cells += [[]] * (min(int(span), 100) - 1 if re.fullmatch(r"[1-9]\d{0,4}", span) else 0)
-                rows.append(cells)
+                    if not isinstance(cell, str):
+                        cells.append((render(cell), _span(cell, "colspan", 100), _span(cell, "rowspan", 65534)))
+                    elif cell.strip():
+                        cells.append(([SPACES.sub(" ", cell).strip()], 1, 1))
+                grid.add(cells)
             elif child.tag in ("td", "th"):
-                rows.append([render(child)])
+                grid.add([(render(child), 1, 1)])
             else:
                 lines.extend(render(child))
 
     gather(node)
-    widths: list[int] = []
-    for cells in rows:
-        for i, cell in enumerate(cells):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], *map(len, cell or [""]))
-    for cells in rows:
-        for height in range(max((len(c) for c in cells), default=0)):
-            parts = [(c[height] if height < len(c) else "").ljust(w) for c, w in zip(cells, widths)]
-            lines.append(" | ".join(parts).rstrip())
-    return lines
+    return lines + grid.lines()
 
 
 def extract(page: str | None) -> tuple[str, str]:
     """(title, text) of a page."""
     root, title = tree(page or "")
+    without_hidden(root, root.visible(True))
     return title, "\n".join(render(root)).strip("\n")
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without the markup, with title and text."""
-    rest = [f for f in pages.schema.fields if f.name not in (html, "title", "text")]
-    names = [f.name for f in rest]
+    names = [f.name for f in pages.schema.fields if f.name not in (html, "title", "text")]
     added = [T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]
+    schema = T.StructType([*(pages.schema[n] for n in names), *added])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [extract(x) for x in frame[html]]
-            out = frame[names].copy()
-            out["title"] = [x[0] for x in found]
-            out["text"] = [x[1] for x in found]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [extract(x.as_py()) for x in batch.column(batch.schema.get_field_index(html))]
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            columns += [pa.array([x[i] for x in found], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "title", "text"])
 
-    return pages.select(*names, html).mapInPandas(run, T.StructType([*rest, *added]))
+    return pages.select(*names, html).mapInArrow(run, schema)
