@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tests.llm.corpus import SCHEMA, awkward, frame, rows
-from tillpath.llm.mixing import mix, schedule_sql, units_of
+from tillpath.llm.mixing import mix, schedule_sql, units_of, whole_units
 
 
 @pytest.mark.parametrize("weights", [[1], [1, 1], [5, 3, 2], [100, 1, 1, 1], [1] * 7, list(range(1, 21))])
@@ -48,6 +48,30 @@ def test_no_row_is_lost(spark, lanes, clashing):
         assert all(sizes[b] == 2 for b in range(len(sizes) - 1))
 
 
+@pytest.mark.parametrize(
+    "weights, units",
+    [([2, 1], [2, 1]), ([0.5, 0.3, 0.2], [5, 3, 2]), ([4, 6], [2, 3]), ([1e-3, 1], [1, 1000]), ([1 / 3, 2 / 3], [1, 2]), ([0.12345, 1], None), ([7], [1])],
+)
+def test_whole_units(weights, units):
+    assert whole_units(weights, 10_000) == units
+
+
+def test_given_weights_do_not_drift(spark):
+    data = [(i, None, "en", "b" if i % 3 == 0 else "a", 1) for i in range(30_000)]
+    found = mix(frame(spark, data), {"a": 2, "b": 1}, block_rows=1).select("position", "source").collect()
+    seen = Counter()
+    for t, r in enumerate(sorted(found, key=lambda r: r["position"]), 1):
+        seen[r["source"]] += 1
+        assert abs(3 * seen["a"] - 2 * t) < 3
+
+
+def test_more_given_weights_than_slots(spark):
+    data = [(i, None, "en", f"s{i % 300}", 1) for i in range(900)]
+    found = mix(frame(spark, data), {f"s{i}": 1 + i % 3 / 7 for i in range(300)}, block_rows=1, period=10).collect()
+    assert sorted(r["position"] for r in found) == list(range(900))
+    assert len({r["lane"] for r in found}) == 300
+
+
 def test_unlisted_sources_share_a_lane(spark):
     found = mix(frame(spark, rows(3, 80)), {"big": 1.0}, period=10).collect()
     assert {r["lane"] for r in found if r["source"] == "big"} == {0}

@@ -10,6 +10,10 @@ The schedule repeats after ``period`` slots, so one period is worked out, as one
 ``period`` steps, and joined to the rows by lane and block number. When a source has no blocks
 left, its slots stay empty and the others go on in their proportions; no row is left out.
 
+Given weights are taken exactly, as whole numbers or decimals, where their smallest whole ratio adds up to ``LONGEST`` at most:
+that sum is the period, and nothing drifts however long the mixture is. Other weights are rounded to units of the period, and what is less than
+a block away is the rounded weight. Weights that aren't given are defined in units of the period.
+
 Rows of a source are taken in the order of a hash of their id. A source of any size is numbered in
 cells of some hundred rows.
 
@@ -22,6 +26,7 @@ named like an output column are replaced; all others are kept.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +35,7 @@ from tillpath.llm.common import bits_for, numbered
 
 BLOCK_ROWS = 16
 PERIOD = 1000
+LONGEST = 10_000
 LANES = 256
 EXPONENT = 0.5
 """Without given weights a source weighs (rows ** exponent), so that large ones don't crowd out the rest."""
@@ -49,6 +55,15 @@ def units_of(weights: list[float], period: int) -> list[int]:
     return [u + 1 for u in units]
 
 
+def whole_units(weights: list[float], longest: int) -> list[int] | None:
+    """The smallest whole numbers in the ratio of the weights as they are written; None if they add up to more than ``longest``."""
+    exact = [Fraction(str(w)) for w in weights]
+    unit = Fraction(math.gcd(*(x.numerator for x in exact)), math.lcm(*(x.denominator for x in exact)))
+    units = [int(x / unit) for x in exact]
+    units = [u // math.gcd(*units) for u in units]
+    return units if sum(units) <= longest else None
+
+
 def schedule_sql(units: list[int], period: int) -> str:
     """SQL for the lanes in slot order: of the released blocks, each slot takes the one due first."""
     given = f"array({', '.join(map(str, units))})"
@@ -89,8 +104,8 @@ def mix(
         top = [(r["source"], r["rows"] ** exponent) for r in ranked.limit(lanes).collect()]
     else:
         top = sorted(weights.items(), key=lambda x: (x[0] is not None, x[0] or ""))
-        if any(not w > 0 for _, w in top):
-            raise ValueError("target weights must be positive")
+        if any(not 0 < w < math.inf for _, w in top):
+            raise ValueError("target weights must be positive and finite")
     totals = docs.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
     listed = spark.createDataFrame(
         [(name, n) for n, (name, _) in enumerate(top)], "__source string, __lane int"
@@ -99,10 +114,14 @@ def mix(
     shares = [w for _, w in top]
     beyond = rest.agg(F.sum("rows")).first()[0]
     if beyond:
-        shares.append(beyond**exponent if weights is None else sum(shares) / len(shares))
+        mean = sum(Fraction(str(w)) for w in shares) / len(shares) if weights else None
+        shares.append(beyond**exponent if weights is None else mean)
     if not shares:
         shares = [1.0]
-    units = units_of(shares, period)
+    units = whole_units(shares, LONGEST) if weights else None
+    if units is None:
+        units = units_of(shares, max(period, 4 * len(shares)))
+    period = sum(units)
 
     # At most ``period`` rows: which lane, and which of its blocks in a period, has which slot.
     slots = spark.range(1).select(F.posexplode(F.expr(schedule_sql(units, period))).alias("__phase", "__on"))
