@@ -103,3 +103,8 @@ def test_nothing_labelled_and_empty(spark):
     docs = frame(spark, [(1, "some text", None, None, 1)])
     assert [r["rejected"] for r in L.identify(docs, *L.train(docs, "text", "lang", "doc_id")).collect()] == [True]
     assert L.identified(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_without_labels_all_documents_stay(spark):
+    docs = frame(spark, [(i, "some English text", None, "s", 1) for i in range(20)] + [(None, None, None, None, None)])
+    assert L.identified(docs).count() == 21

@@ -200,7 +200,10 @@ def identify(
     host: str | None = None,
     min_posterior: float = 0.5,
 ) -> DataFrame:
-    """``docs`` without the text, with language, posterior, text_language, n_grams and rejected."""
+    """``docs`` without the text, with language, posterior, text_language, n_grams and rejected.
+
+    Without any language to compare with, no language can be told: each is ``und``, and every row is rejected.
+    """
     size = len(languages)
     if not size:
         found = docs.drop(text)
@@ -266,9 +269,12 @@ def identified(
 ) -> DataFrame:
     """``docs`` without the rows that are rejected, the model being trained on their declared languages.
 
-    Rows equal in id and text share a decision: they go only if each of them is rejected.
+    Rows equal in id and text share a decision: they go only if each of them is rejected. Where no row declares a language,
+    there is nothing to train on, and all rows are kept.
     """
     languages, model = train(docs, text, declared, row_id)
+    if not languages:
+        return docs
     slim = docs.select(
         F.col(row_id).alias("__id"), F.xxhash64(text).alias("__hash"), text, declared, host
     )
