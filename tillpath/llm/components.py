@@ -30,8 +30,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``: root is the smallest node of its component.
 
-    Nodes are longs. Joins merge: broadcasts, one for each step, would pile up on the driver. Each round is two steps of aggregates and equi-joins whose hub rows adaptive
-    execution can split; rounds grow with the logarithm of a component's width. Edges stay on the
+    Nodes are longs. Joins merge: broadcasts, one for each step, would pile up on the driver. Each round is two steps of aggregates and equi-joins; rounds grow with the logarithm of a
+    component's width. A hub is not split: its edges, two numbers each, pass through one task, as adaptive execution does not split a join
+    with an aggregate. Edges stay on the
     executors, and every round is checkpointed. Roots themselves are not listed.
     """
     edges = edges.where("u <> v").select(
