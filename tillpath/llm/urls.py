@@ -6,8 +6,8 @@ path. An expression is joined to the rules by the first 32 bits of its SHA-256;
 if the whole digests agree. Of the rules that fit, the longest decides, and of equal rules a block.
 
 The expansion depends on the rules' shapes alone, so a long URL or a host with many labels makes no
-more rows than a short one. The join back to the pages is by (host, path), in which a hot page is
-split by adaptive execution.
+more rows than a short one. The join back to the pages is by (host, path); the pages of one
+URL, and those without a URL, pass through one task if the other side isn't small enough for Spark to broadcast.
 
 A null URL, or one without ``://``, has an empty host and path, which no rule fits. Repeated rows are
 judged like others, and an empty table gives no rows. Columns named like an output column are
