@@ -35,6 +35,40 @@ def test_candidates_equal_a_plain_search(spark):
     assert lead[0] == ("=", '"') and lead[1] == ("password:", "")
 
 
+def test_candidates_of_other_forms(spark):
+    letters = "ABCDEFGHIJKLMNOP"
+    expected = {
+        "password=hunter2": ["hunter2"],
+        f"key AKIA{letters} here": [f"AKIA{letters}"],
+        "https://user:pa55w0rd@host/": ["pa55w0rd"],
+        "pwd=Tr0ub4dor&3!xyz": ["Tr0ub4dor&3!xyz"],
+        "token: abcdefghijklmnopqrstuvwx.": ["abcdefghijklmnopqrstuvwx"],
+        "db_password = 'p\u00e4ss'": ["p\u00e4ss"],
+        '{"api_key":"x"}': ["x"],
+        "SECRET => (s3cr3t)": ["s3cr3t"],
+        "password == a; PWD:\n\tb": ["a", "b"],
+        "token=" + "a1" * 10 + "!~": ["a1" * 10 + "!~"],
+        "x=" + "1a" * 9 + ";y=" + "1a" * 9: ["1a" * 9] * 2,
+        "the password is long": [], "a secret word": [], "token:": [], "http://host:80/a@b": [], "password=''": [],
+        "passwords: ": [], f"AKIA{letters[:9]}": [],
+    }
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(expected)]
+    found = S.candidates(frame(spark, data)).collect()
+    for i, (text, want) in enumerate(expected.items()):
+        assert sorted(r["candidate"] for r in found if r["doc_id"] == i) == want, text
+
+
+def test_a_bounded_sample_stands_for_all(spark):
+    rows = [(float(i % 500), float(i % 500 < 200)) for i in range(1500)] + [(900.0, 1.0)] * 3000
+    data = spark.createDataFrame(rows, "f double, label double")
+    whole = S.sample(data, 501).collect()
+    assert sum(r["weight"] for r in whole) == len(rows) and len(whole) == 501
+    part = S.sample(data, 100).collect()
+    assert len(part) == 100 and [r["weight"] for r in part if r["f"] == 900] == [3000]
+    assert sum(r["weight"] for r in part) == pytest.approx(len(rows), rel=0.15)
+    assert sum(r["weight"] for r in part if not r["label"]) == pytest.approx(900, rel=0.3)
+
+
 def test_coverage_by_common_words(spark):
     data = [(i, "common words here", "en", "s", 1) for i in range(6)]
     data.append((9, "rare commonwords12345678 common-words-1234", "en", "s", 1))

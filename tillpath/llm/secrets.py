@@ -1,10 +1,13 @@
 """Secrets in texts: patterns find candidates, a random forest removes the false ones.
 
-A candidate is a run of at least 16 letters, digits and ``+/_-`` with a digit in it. The forest
+A candidate is a run of at least 16 letters, digits and ``+/_-`` with a digit in it; a key with a known prefix, digits or not;
+what is assigned to a guarded name such as ``password``, of any length and alphabet, in the same word or the next ones; or the password
+of a user in a URL. One that is part of another in the same word isn't reported apart. The forest
 judges it by its length, its characters and the transitions between their classes, the share of it
 that common words of the corpus cover, the path of its file, and the words beside it. It is trained
-on labelled findings, of which a bounded sample (``TRAINING`` rows, by a hash) is used; common words
-are counted over all texts.
+on labelled findings: equal ones (features and label) are summed to a weight, and at most ``TRAINING`` of the sums are used, a priority sample
+in which heavy ones are sure to be and the others stand for those left out. Common words
+are counted over all texts and are common by their share of all words.
 
 All steps are DataFrame and SQL functions and Spark's own forest. A text is split into words only where it
 holds a candidate. Words are counted per task before they are shuffled, so frequent ones cost no more
@@ -28,9 +31,20 @@ from tillpath.llm.common import kept
 from tillpath.llm.quality import SPACE
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+
+#: Prefixes of keys, and names to which secrets are assigned.
+PREFIXED = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[abps]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"
+NAMED = r"(?i)(?:token|secret|passw|pwd|passphrase|api[_.-]?key|access[_.-]?key|credential|private[_.-]?key)[A-Za-z0-9_-]*"
+
+ASSIGNS = r"[\"'\]]*\s*(?:=>|:=|={1,2}|:)"
+VALUE = r"[\"'(\[{]*([^\"',;]*[^\"',;.)\]}>])"
+ASSIGNED = NAMED + ASSIGNS + VALUE
+IN_URL = r"://[^\s/:@]*:([^\s/@]+)@"
+HELD = f"{CANDIDATE}|{PREFIXED}|{IN_URL}|(?:{NAMED}{ASSIGNS})"
+
 TRAINING = 20_000
-COMMON = 5
-"""A word is common if the corpus holds it at least so often."""
+COMMON, COMMON_SHARE = 5, 1e-6
+"""A word is common if the corpus holds it at least ``COMMON`` times and it is that share of the words held so often."""
 TREES, DEPTH, SEED = 30, 6, 7
 
 #: Words that tend to stand before a secret, or before something that only looks like one.
@@ -48,25 +62,34 @@ def candidates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", path
     """
     where = F.col(path).cast("string") if path else F.lit("")
     bare = F.btrim(F.col(text), F.lit(" \t\n\x0b\f\r"))
-    held = docs.where(F.col(text).rlike(CANDIDATE)).select(
+    held = docs.where(F.col(text).rlike(HELD)).select(
         F.col(row_id), F.coalesce(where, F.lit("")).alias("path"), F.split(bare, SPACE).alias("__words")
     )
     near = lambda i: F.coalesce(F.get("__words", i), F.lit(""))
+    beside = lambda i: F.concat_ws(" ", near(i - 2), near(i - 1))
+    given = f"{NAMED}{ASSIGNS}$"
     found = F.transform(
         "__words",
         lambda w, i: F.when(
-            w.rlike(CANDIDATE),
+            w.rlike(f"{CANDIDATE}|{PREFIXED}|{IN_URL}|{ASSIGNED}") | beside(i).rlike(given),
             F.struct(
                 i.cast("long").alias("position"),
                 w.alias("word"),
-                F.concat_ws(" ", near(i - 2), near(i - 1)).alias("before"),
+                beside(i).alias("before"),
                 near(i + 1).alias("after"),
             ),
         ),
     )
     words = held.select(row_id, "path", F.explode(F.array_compact(found)).alias("at"))
-    each = words.select(
-        row_id, "path", "at.*", F.explode(F.regexp_extract_all("at.word", F.lit(CANDIDATE), F.lit(0))).alias("candidate")
+    all_of = lambda pattern, group: F.regexp_extract_all("at.word", F.lit(pattern), F.lit(group))
+    value = F.regexp_extract("at.word", f"^{VALUE}", 1)
+    next_to = F.when(F.col("at.before").rlike(given) & (value != ""), F.array(value)).otherwise(F.array().cast("array<string>"))
+    others = F.array_distinct(F.concat(all_of(PREFIXED, 0), all_of(IN_URL, 1), all_of(ASSIGNED, 1), next_to))
+    runs = words.select(row_id, "path", "at.*", all_of(CANDIDATE, 0).alias("__runs"), others.alias("__others"))
+    every = F.concat("__runs", F.array_except("__others", "__runs"))
+    whole = F.filter("__every", lambda c: ~F.exists("__every", lambda d: (d != c) & F.contains(d, c)))
+    each = runs.select("*", every.alias("__every")).select(
+        row_id, "path", "position", "word", "before", "after", F.explode(whole).alias("candidate")
     )
     lead = F.call_function("substring_index", F.col("word"), F.col("candidate"), F.lit(1))
     return each.select(row_id, "path", "position", "candidate", lead.alias("lead"), "before", "after")
@@ -76,7 +99,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(run, n) of the common words of three letters and more, over all texts."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^a-z]+")).alias("run"))
     counts = words.where(F.length("run").between(3, 40)).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") >= COMMON)
+    counts = kept(counts.where(F.col("n") >= COMMON))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= total * COMMON_SHARE)
 
 
 def coverage(found: DataFrame, common: DataFrame) -> DataFrame:
@@ -123,6 +148,23 @@ def with_features(docs: DataFrame, text: str = "text", row_id: str = "doc_id", p
     return kept(found.join(covered, "candidate", "left").withColumns(features()))
 
 
+def sample(rows: DataFrame, size: int) -> DataFrame:
+    """The distinct rows with their number as ``weight``, or ``size`` of them that stand for all: a priority sample.
+
+    A row's priority is its weight by a hash in (0, 1]. Those first by priority are taken, with the priority of the next one as their
+    least weight, so the weights of any kind of rows are expected to add up to what they were.
+    """
+    uniform = (F.shiftrightunsigned(F.xxhash64(*rows.columns), 11) + 1) / F.lit(float(1 << 53))
+    summed = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    order = [F.desc("__priority"), *rows.columns]
+    # At most size + 1 rows, so one partition; in an order of their own, so that trees don't vary.
+    first = kept(summed.withColumn("__priority", F.col("weight") / uniform).orderBy(*order).limit(size + 1).coalesce(1))
+    count, least = first.agg(F.count(F.lit(1)), F.min("__priority")).first()
+    if count > size:
+        first = first.where(F.col("__priority") > least).withColumn("weight", F.greatest("weight", F.lit(least)))
+    return first.drop("__priority")
+
+
 def judge_findings(found: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``found`` with p_secret and is_secret, by a forest trained on ``labelled``.
 
@@ -130,19 +172,17 @@ def judge_findings(found: DataFrame, labelled: DataFrame, threshold: float = 0.5
     """
     names = list(features())
     bounded = labelled.where(F.col("label").isin(0.0, 1.0)).select(*names, F.col("label").cast("double"))
-    # At most TRAINING rows, so one partition; in an order of their own, so that trees don't vary.
-    order = [F.xxhash64(*names), *names, "label"]
-    bounded = kept(bounded.orderBy(*order).limit(TRAINING).coalesce(1))
     known = bounded.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("true")).first()
     if not known["n"] or known["true"] in (0.0, float(known["n"])):
         sure = known["true"] / known["n"] if known["n"] else 0.5
         judged = found.withColumn("p_secret", F.lit(float(sure)))
     else:
+        training = sample(bounded, TRAINING)
         assemble = VectorAssembler(inputCols=names, outputCol="__features")
         forest = RandomForestClassifier(
-            featuresCol="__features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED
+            featuresCol="__features", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED
         )
-        model = forest.fit(assemble.transform(bounded))
+        model = forest.fit(assemble.transform(training))
         model.setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__said")
         judged = model.transform(assemble.transform(found))
         judged = judged.withColumn("p_secret", vector_to_array("__p")[1]).drop("__features", "__p", "__raw", "__said")
