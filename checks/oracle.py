@@ -343,6 +343,15 @@ BODIES: dict[str, str] = {
         SELECT event_date, session_id, item_name, nullif(item_category, '') AS item_category,
                item_revenue, quantity
         FROM items""",
+    "csv_reject_counts": """
+        SELECT CASE session_id % 10 WHEN 1 THEN 'too few fields' WHEN 2 THEN 'too many fields'
+                    WHEN 3 THEN 'session_id isn''t bigint' ELSE 'event_date isn''t a day' END AS reason,
+               count(*) AS n_rows
+        FROM raw_items WHERE session_id % 10 BETWEEN 1 AND 4 GROUP BY 1""",
+    "csv_accepted_items": """
+        SELECT event_date, session_id, item_name, nullif(item_category, '') AS item_category,
+               item_revenue, quantity
+        FROM items WHERE coalesce(session_id % 10, 0) NOT BETWEEN 1 AND 4""",
     "items_clean": "SELECT * FROM items",
     "attribution_filter": "SELECT * FROM raw_events WHERE source IS NOT NULL",
     "session_attribution": "SELECT * FROM session_origin",

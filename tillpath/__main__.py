@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,17 +17,33 @@ from tillpath.plans.growing import GrowingStore
 from tillpath.plans.reports import REPORTS
 from tillpath.plans.tables import ITEMS, MASTER, Options, RawTables, StoredTables
 from tillpath.session import builder, input_size, size_shuffles
-from tillpath.sources import read_csv_table, read_table, write_csv_table, write_table
+from tillpath.sources import (
+    at_most,
+    land_csv_judged,
+    read_csv_judged,
+    read_csv_table,
+    read_table,
+    write_csv_table,
+    write_table,
+)
 
 
 PREPARE_SHARE, REPORT_SHARE = 1.0, 0.1
 """Part of the input that a command shuffles: nearly all columns of all rows, or merged rows."""
 
 
-def _read(spark: SparkSession, path: str, table, given: argparse.Namespace) -> DataFrame:
+PARSED = "parsed"
+"""Folders below the store with a command's parsed rows: those that fit, and rejected ones with reason, text and file."""
+
+
+def _read(spark: SparkSession, name: str, table, given: argparse.Namespace) -> DataFrame:
+    path = getattr(given, name)
     if given.format == "parquet":
         return read_table(spark, path)
-    return read_csv_table(spark, path, table, given.multiline, keep_others=True)
+    if given.rejects is None:
+        return read_csv_table(spark, path, table, given.multiline, keep_others=True)
+    judged = read_csv_judged(spark, path, table, ["event_date"], given.multiline, keep_others=True)
+    return at_most(land_csv_judged(judged, f"{given.out}/{PARSED}_{uuid.uuid4().hex}/{name}"), given.rejects)
 
 
 def _options(given: argparse.Namespace) -> Options:
@@ -46,6 +63,9 @@ def _input_arguments(parser: argparse.ArgumentParser) -> None:
     parser.add_argument("--out", required=True)
     parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
     parser.add_argument("--multiline", action="store_true", help="CSV has quoted line breaks")
+    parser.add_argument(
+        "--rejects", type=int, help="go on with up to so many faulty CSV rows per table; without it the first one fails the job"
+    )
     parser.add_argument("--own-host", action="append", help="a source that is the shop itself")
     parser.add_argument("--priority", help="events for attribution, strongest first, by commas")
     parser.add_argument(
@@ -86,8 +106,8 @@ def main(given: list[str] | None = None) -> None:
     if options.command == "prepare":
         size_shuffles(spark, input_size(spark, options.events, options.items), PREPARE_SHARE)
         raw = RawTables(
-            _read(spark, options.events, S.CSV_EVENTS, options),
-            _read(spark, options.items, S.RAW_ITEMS, options),
+            _read(spark, "events", S.CSV_EVENTS, options),
+            _read(spark, "items", S.RAW_ITEMS, options),
             _options(options),
         )
         if options.format == "csv":
@@ -100,8 +120,8 @@ def main(given: list[str] | None = None) -> None:
         return
     if options.command == "add":
         size_shuffles(spark, input_size(spark, options.events, options.items), PREPARE_SHARE)
-        events = _read(spark, options.events, S.CSV_EVENTS, options)
-        sold = _read(spark, options.items, S.RAW_ITEMS, options)
+        events = _read(spark, "events", S.CSV_EVENTS, options)
+        sold = _read(spark, "items", S.RAW_ITEMS, options)
         months = GrowingStore(spark, options.out, _options(options)).add(options.batch, events, sold)
         print(f"added {options.batch}; months written: {' '.join(months)}")
         return

@@ -19,13 +19,18 @@ from tillpath.operators.products import (
     top_category_per_channel,
 )
 from tillpath.plans.growing import GrowingStore
+from tillpath.plans.prepare import build_items
 from tillpath.plans.reports import REPORTS, USER_SESSION, bounce_by_country
 from tillpath.plans.tables import Options, RawTables, StoredSales, StoredTables
 from tillpath.sources import (
+    accepted,
+    land_csv_judged,
     raw_events,
     raw_items,
+    read_csv_judged,
     read_csv_table,
     read_table,
+    reject_counts,
     scratch_path,
     write_csv_table,
     write_table,
@@ -94,6 +99,39 @@ def csv_roundtrip_items(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_table(spark, path, S.ITEMS_CLEAN)
 
 
+def faulty_item_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a CSV file of items in which sessions that end in 1 to 4 have a fault each."""
+    items = tables(spark, folder).raw_items
+    line = F.to_csv(F.struct(*S.RAW_ITEMS.names))
+    digit = F.pmod("session_id", F.lit(10))
+    others = F.to_csv(F.struct("event_date", F.lit("unknown"), *S.RAW_ITEMS.names[2:]))
+    undated = F.to_csv(F.struct(F.lit("20201399"), *S.RAW_ITEMS.names[1:]))
+    faulty = (
+        F.when(digit == 1, F.regexp_replace(line, ",[^,]*$", ""))
+        .when(digit == 2, F.concat(line, F.lit(",1")))
+        .when(digit == 3, others)
+        .when(digit == 4, undated)
+    )
+    return items.select(F.coalesce(faulty, line).alias("value"))
+
+
+def _judged_items(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "faulty-items")
+    faulty_item_rows(spark, folder).write.text(path)
+    judged = read_csv_judged(spark, path, S.RAW_ITEMS, ["event_date"], names=S.RAW_ITEMS.names)
+    return land_csv_judged(judged, scratch_path(spark, "judged-items"))
+
+
+def csv_reject_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows of a file with faults are rejected, by reason."""
+    return reject_counts(_judged_items(spark, folder))
+
+
+def csv_accepted_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a file with faults that fit."""
+    return build_items(accepted(_judged_items(spark, folder)))
+
+
 def added_in_two_halves(spark: SparkSession, folder: str) -> StoredTables:
     """The tables of a folder, added to a store in two batches that share sessions and months."""
     shop = tables(spark, folder)
@@ -137,6 +175,8 @@ def _sketch_errors(dimension: str | None = None) -> Query:
 CATALOG: dict[str, Query] = {name: _query(name) for name in REPORTS} | {
     "csv_roundtrip_events": csv_roundtrip_events,
     "csv_roundtrip_items": csv_roundtrip_items,
+    "csv_reject_counts": csv_reject_counts,
+    "csv_accepted_items": csv_accepted_items,
     "funnel_unmapped": _on_unmapped("funnel"),
     "funnel_drop_unmapped": _on_unmapped("funnel_drop_unmapped"),
     "master_events_incremental": _growing("master_events"),

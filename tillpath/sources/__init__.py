@@ -2,6 +2,7 @@
 
 from tillpath.sources.csv_files import read_csv_table, write_csv_table
 from tillpath.sources.derived import raw_events, raw_items
+from tillpath.sources.rejects import accepted, at_most, land_csv_judged, read_csv_judged, reject_counts
 from tillpath.sources.store import (
     BATCH_FOLDER,
     MONTH_FOLDER,
@@ -18,11 +19,16 @@ from tillpath.sources.store import (
 __all__ = [
     "BATCH_FOLDER",
     "MONTH_FOLDER",
+    "accepted",
+    "at_most",
+    "land_csv_judged",
     "raw_events",
     "raw_items",
+    "read_csv_judged",
     "read_csv_table",
     "read_bucketed",
     "read_table",
+    "reject_counts",
     "scratch_path",
     "shared_folder",
     "table_exists",

@@ -8,20 +8,32 @@ more or fewer fields than the header, or a file whose header differs from the ot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillpath import schema as S
 
 
+def whole_number(text: Column, data_type: T.DataType) -> Column:
+    """``text`` ready to be cast: a whole number beside nulls is often written as a float ("12.0"); other fractions stay."""
+    return F.regexp_replace(text, r"\.0+$", "") if isinstance(data_type, T.IntegralType) else text
+
+
 def _typed(name: str, data_type: T.DataType) -> Column:
     column = F.col(f"`{name}`")
     text = F.when(~column.isin(*S.NULL_TOKENS), column)
-    if isinstance(data_type, T.IntegralType):
-        # A whole number beside nulls is often written as a float ("12.0"); other fractions fail.
-        text = F.regexp_replace(text, r"\.0+$", "")
-    return text.cast(data_type).alias(name)
+    return whole_number(text, data_type).cast(data_type).alias(name)
+
+
+def csv_reader(spark: SparkSession, multiline: bool = False) -> DataFrameReader:
+    """A reader of files with a header line and doubled quotes."""
+    return (
+        spark.read.option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multiline)
+    )
 
 
 def read_csv_table(
@@ -37,12 +49,7 @@ def read_csv_table(
     ``keep_others`` appends the files' further columns as text. ``multiline`` accepts line breaks
     inside quotes; such files cannot be split between tasks.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-    )
+    reader = csv_reader(spark, multiline)
     header = reader.csv(path).columns
     names = T.StructType([T.StructField(c, T.StringType()) for c in header])
     text = (
