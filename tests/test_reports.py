@@ -446,3 +446,22 @@ def test_mart_reports_equal_event_level_reports(spark):
     for ours, theirs in pairs:
         assert ours.columns == theirs.columns
         assert rows(ours) == rows(theirs)
+
+
+@pytest.mark.parametrize("low, cell_bits", [(1 << 16, 10), (3, 2), (1, 1), (1000, 3)])
+def test_page_ranks_do_not_depend_on_cells(spark, monkeypatch, low, cell_bits):
+    monkeypatch.setattr(pages, "LOW", low)
+    monkeypatch.setattr(pages, "CELL_BITS", cell_bits)
+    visits = {f"p{i:02}": (i * i) % 37 for i in range(40)}
+    data = [{"page_location": p, "event_name": "session_start" if k % 3 else "view_item"} for p, n in visits.items() for k in range(n)]
+    found = pages.page_rank_compare(raw(spark, *({"user_pseudo_id": 1} | d for d in data))).collect()
+    enter = {p: sum(k % 3 > 0 for k in range(n)) for p, n in visits.items()}
+    rank = lambda counts, p: 1 + sum(n > counts[p] for n in counts.values())
+    seen = {p for p, n in visits.items() if n}
+    entered = {p: n for p, n in enter.items() if n}
+    assert {r["page_location"] for r in found} == seen
+    for r in found:
+        page = r["page_location"]
+        assert (r["total_visits"], r["visit_rank"]) == (visits[page], rank(visits, page))
+        want = (entered[page], rank(entered, page)) if page in entered else (None, None)
+        assert (r["sessions_entering_here"], r["entry_rank"]) == want
