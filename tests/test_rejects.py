@@ -1,11 +1,17 @@
 """CSV files with faulty rows: the rows that fit, and the others with their reason."""
 
+import json
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from tillpath import schema as S
 from tillpath.__main__ import main
 from tillpath.plans.tables import StoredTables
 from tillpath.sources import accepted, at_most, land_csv_judged, read_csv_judged, read_csv_table, reject_counts
+from tillpath.sources.store import OPEN_FILES, open_folders
 
 HEAD = "event_date,session_id,item_name,item_category,item_revenue,quantity"
 FINE = ["20201101,1,mug,Mugs,1,1", '20201102,2.0,"a, ""b""",NA,2.5,1', ",,,,,"]
@@ -81,3 +87,48 @@ def test_prepare_with_faulty_rows(spark, files, tmp_path):
     assert stored.master.count() == 1 and stored.items.count() == len(FINE)
     with pytest.raises(ValueError, match="more than 8 rows rejected"):
         main([*given, "--out", str(tmp_path / "other"), "--rejects", "8"])
+
+
+LANDING = """
+import sys
+from tillpath import schema as S
+from tillpath.session import builder
+from tillpath.sources import land_csv_judged, read_csv_judged
+
+folder = sys.argv[1]
+logged = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{folder}/log", "spark.eventLog.compress": "false"}
+logged |= {"spark.eventLog.rolling.enabled": "false", "spark.ui.enabled": "false"}
+spark = builder("landing").master("local[1]").config(map=logged).getOrCreate()
+land_csv_judged(read_csv_judged(spark, f"{folder}/in", S.RAW_ITEMS, ["event_date"]), f"{folder}/out")
+spark.stop()
+"""
+
+
+def test_landing_sorts_no_rows(tmp_path):
+    """A task that writes both folders holds none of its rows in memory, however long its part of the input is."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "log").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("\n".join([HEAD, *[*FINE[:2], *FAULTY] * 500]) + "\n")
+    root = str(Path(__file__).resolve().parent.parent)
+    subprocess.run([sys.executable, "-c", LANDING, str(tmp_path)], cwd=root, check=True, timeout=300)
+    (log,) = (tmp_path / "log").iterdir()
+    told = [json.loads(line) for line in log.read_text().splitlines()]
+    ended = [e["Task Metrics"] for e in told if e["Event"] == "SparkListenerTaskEnd"]
+    written = [m["Output Metrics"]["Records Written"] for m in ended]
+    assert max(written) == 500 * (2 + len(FAULTY))
+    assert max(m["Peak Execution Memory"] for m in ended) == 0
+    folders = [path for path in (tmp_path / "out").iterdir() if path.is_dir()]
+    assert sorted(len(list(path.glob("*.parquet"))) for path in folders) == [1, 1]
+
+
+@pytest.mark.parametrize("before", [None, "7"])
+def test_open_folders_leaves_the_setting_as_it_was(spark, before):
+    if before is not None:
+        spark.conf.set(OPEN_FILES, before)
+    try:
+        with pytest.raises(RuntimeError), open_folders(spark, 2):
+            assert spark.conf.get(OPEN_FILES) == (before or "3")
+            raise RuntimeError
+        assert spark.conf.get(OPEN_FILES, None) == before
+    finally:
+        spark.conf.unset(OPEN_FILES)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from tillpath.functions import month_label
 
 MONTH_FOLDER, BATCH_FOLDER = S.MONTH_FOLDER, S.BATCH_FOLDER
 
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one in ``spark.checkpoint.dir``.
@@ -62,6 +66,25 @@ def write_table(
     writer.parquet(path)
 
 
+@contextlib.contextmanager
+def open_folders(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within it, a task that writes at most ``most`` folders of a partitioned table holds a file of each open.
+
+    Else Spark sorts all rows of a task by folder before it writes the first, in memory that grows with the
+    task's input. Each open file has a buffer of its own, so this is for few folders.
+    """
+    before = spark.conf.get(OPEN_FILES, None)
+    # A task that reaches the number goes back to sorting, hence one more.
+    spark.conf.set(OPEN_FILES, str(max(most + 1, int(before or 0))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(OPEN_FILES)
+        else:
+            spark.conf.set(OPEN_FILES, before)
+
+
 def write_master(
     master: DataFrame,
     path: str,
